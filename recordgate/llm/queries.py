@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .shared import load
 from .simhash_dedup import simhash_groups
 from .source_mixing import label_quality, mix
+from .substring_dedup import substring_dedup
+from .suffix_dedup import suffix_dedup
 from .token_store import token_digest
 from .vector_search import nearest
 
@@ -18,11 +20,19 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(load(spark, sf_dir, "documents"), width=200).drop("kept")
+
+
 def op2_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = load(spark, sf_dir, "embeddings")
     return nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(load(spark, sf_dir, "documents"), width=20).drop("kept")
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(load(spark, sf_dir, "documents"), width=3, radius=3)
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -39,6 +49,6 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_vector_search, op6_simhash_dedup, op7_source_mixing, op8_token_store)
+    for f in (op1_suffix_dedup, op2_vector_search, op5_substring_dedup, op6_simhash_dedup, op7_source_mixing, op8_token_store)
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -57,3 +57,13 @@ def text_or_empty(column: str = "text"):
 def parts_for(rows: int, per_part: int) -> int:
     """Groups so that each holds about per_part rows, however many rows there are."""
     return max(1, -(-rows // per_part))
+
+
+def packed(docs: DataFrame, *more) -> DataFrame:
+    """docs as one struct column ``row``, so that no name can clash with further columns."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *more)
+
+
+def row_columns(docs: DataFrame) -> list:
+    """The columns of docs, out of the ``row`` that packed() made."""
+    return [F.col("row").getField(c).alias(c) for c in docs.columns]
