@@ -61,10 +61,10 @@ def cell_errors(df: DataFrame, contract: DataFrame, keys: list[str], columns: li
 
 
 def rows_from_cells(cell_table: DataFrame, names: list[str], header_row: int = 1) -> DataFrame:
-    """(sheet, row, col, value) -> a record per row below the header row, a column per name; headers match by trimmed lower case."""
-    headers = cell_table.where(F.col("row") == header_row).select("sheet", "col", F.lower(F.trim("value")).alias("header"))
-    data = cell_table.where(F.col("row") > header_row).join(headers, ["sheet", "col"])
-    return data.groupBy("sheet", "row").pivot("header", [n.lower() for n in names]).agg(F.first("value", ignorenulls=True))
+    """(sheet, row_no, col, value) -> a record per row below the header row, a column per name; headers match by trimmed lower case."""
+    headers = cell_table.where(F.col("row_no") == header_row).select("sheet", "col", F.lower(F.trim("value")).alias("header"))
+    data = cell_table.where(F.col("row_no") > header_row).join(headers, ["sheet", "col"])
+    return data.groupBy("sheet", "row_no").pivot("header", [n.lower() for n in names]).agg(F.first("value", ignorenulls=True))
 
 
 def read_if_valid(spark: SparkSession, reader, path: str, contract: DataFrame, dataset: str) -> tuple[DataFrame | None, DataFrame]:

@@ -72,8 +72,9 @@ VIEWS["step_log"] = """SELECT 'J' || CAST(user_id AS STRING) AS job_id, CAST(eve
   CASE event_id % 4 WHEN 0 THEN 'required' WHEN 1 THEN 'dates' WHEN 2 THEN 'references' ELSE 'move_valid' END AS step,
   CASE event_id % 7 WHEN 0 THEN 'PENDING' WHEN 1 THEN 'IN_PROGRESS' WHEN 2 THEN 'FAILED' WHEN 3 THEN 'TIMEOUT' ELSE 'COMPLETED' END AS status,
   CAST(event_id % 1800 * 1000 AS BIGINT) AS duration_ms, CAST(event_id % 5000 AS BIGINT) AS affected_rows, ts AS started_at FROM events"""
-VIEWS["cell_table"] = """SELECT 'R' || CAST(n_regionkey AS STRING) AS sheet, CAST(1 AS INT) AS "row", CAST(k AS INT) AS col, CASE k WHEN 1 THEN ' N_Key ' WHEN 2 THEN 'n_name' ELSE 'Comment' END AS value
-  FROM (SELECT DISTINCT n_regionkey FROM nation) r, (SELECT DISTINCT r_regionkey + 1 AS k FROM region WHERE r_regionkey < 3) ks
+VIEWS["cell_table"] = """SELECT DISTINCT 'R' || CAST(n_regionkey AS STRING) AS sheet, CAST(1 AS INT) AS row_no, CAST(1 AS INT) AS col, ' N_Key ' AS value FROM nation
+UNION ALL SELECT DISTINCT 'R' || CAST(n_regionkey AS STRING), CAST(1 AS INT), CAST(2 AS INT), 'n_name' FROM nation
+UNION ALL SELECT DISTINCT 'R' || CAST(n_regionkey AS STRING), CAST(1 AS INT), CAST(3 AS INT), 'Comment' FROM nation
 UNION ALL SELECT 'R' || CAST(n_regionkey AS STRING), CAST(n_nationkey + 2 AS INT), CAST(1 AS INT), CAST(n_nationkey AS STRING) FROM nation
 UNION ALL SELECT 'R' || CAST(n_regionkey AS STRING), CAST(n_nationkey + 2 AS INT), CAST(2 AS INT), n_name FROM nation
 UNION ALL SELECT 'R' || CAST(n_regionkey AS STRING), CAST(n_nationkey + 2 AS INT), CAST(3 AS INT), CASE WHEN n_nationkey % 4 = 0 THEN NULL ELSE substr(n_name, 1, 3) END FROM nation"""
@@ -97,7 +98,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived view, or one of the given tables."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    sql = VIEWS[name].replace('"row"', "`row`")
+    sql = VIEWS[name]
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"\b{t}\b", sql)}
     # Tables go in by name as arguments of the statement, so no view of the session is touched.
     for table in used:
@@ -122,4 +123,5 @@ def with_views(sql: str, more: dict[str, str] | None = None) -> str:
     visit(sql)
     if not needed:
         return sql
-    return "WITH " + ",\n".join(f"{n} AS ({t})" for n, t in needed.items()) + "\n" + sql
+    own = sql.removeprefix("WITH ")
+    return "WITH " + ",\n".join(f"{n} AS ({t})" for n, t in needed.items()) + (", " if own != sql else "\n") + own
