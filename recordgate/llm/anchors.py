@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_or_empty
+from .shared import staged, text_or_empty
 
 #: Tokens that are hashed at once; longer texts are taken in overlapping pieces.
 CHUNK = 1 << 20
@@ -217,7 +217,8 @@ def anchor_rows(documents: DataFrame, shape: Shape) -> DataFrame:
 
 def repeated(anchors: DataFrame) -> DataFrame:
     """Anchors whose piece occurs at two places or more."""
-    often = anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # Written first, so that the join is one of two plain exchanges, whose skewed parts Spark splits.
+    often = staged(anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "repeated-grams")
     return anchors.join(often, "gram", "left_semi")
 
 

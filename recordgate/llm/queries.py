@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat_roles import chat_turns
+from .decontamination import flagged
+from .license_scan import license_scan, license_sql
 from .shared import load
 from .simhash_dedup import simhash_groups
 from .source_mixing import label_quality, mix
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 from .token_store import token_digest
+from .toxicity import toxicity
 from .vector_search import nearest
 
 
@@ -29,6 +33,15 @@ def op2_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return toxicity(docs, docs, load(spark, sf_dir, "labels"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flagged(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(load(spark, sf_dir, "documents"), width=20).drop("kept")
 
@@ -47,8 +60,19 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(load(spark, sf_dir, "documents"), tokenizer_path(), end=2)
 
 
+def op9_chat_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_turns(load(spark, sf_dir, "conversations"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(load(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_suffix_dedup, op2_vector_search, op5_substring_dedup, op6_simhash_dedup, op7_source_mixing, op8_token_store)
-}
-ORACLE_SQL: dict[str, str] = {}
+    for f in (
+        op1_suffix_dedup, op2_vector_search, op3_toxicity, op4_decontamination, op5_substring_dedup,
+        op6_simhash_dedup, op7_source_mixing, op8_token_store, op9_chat_roles, op10_license_scan,
+    )
+}
+ORACLE_SQL: dict[str, str] = {"op10_license_scan": license_sql()}

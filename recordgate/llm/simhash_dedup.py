@@ -23,8 +23,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .anchors import NO_ID
 from .components import components
-from .shared import parts_for, staged, text_or_empty
+from .shared import parts_for, row_columns, packed, staged, text_or_empty
 
 #: Fingerprints of one tile at most, and rows of one Python group.
 TILE = 4096
@@ -137,17 +138,21 @@ def forest_of_tiles(group: np.ndarray, side: np.ndarray, fp: np.ndarray, radius:
     ends = np.r_[starts[1:], len(fp)]
     crossing = np.zeros(len(fp), bool)
     for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-        if side[e - 1] == 0:
+        paired = side[e - 1] != 0
+        if not paired and e - s <= 256:
             continue
         crossing[s:e] = True
-        cut = s + int(np.searchsorted(side[s:e], 1))
-        for low in range(s, cut, 512):
-            high = min(cut, low + 512)
-            first = cut + int(np.searchsorted(count[cut:e], count[low] - radius))
-            last = cut + int(np.searchsorted(count[cut:e], count[high - 1] + radius, "right"))
+        cut = s + int(np.searchsorted(side[s:e], 1)) if paired else e
+        for low in range(s, cut, 128):
+            high = min(cut, low + 128)
+            begin = cut if paired else low
+            first = begin + int(np.searchsorted(count[begin:e], count[low] - radius))
+            last = begin + int(np.searchsorted(count[begin:e], count[high - 1] + radius, "right"))
             near = np.bitwise_count(fp[low:high, None] ^ fp[None, first:last]) <= radius
             i, j = np.nonzero(near)
-            forest.link(i + low, j + first)
+            i, j = i + low, j + first
+            apart = i != j
+            forest.link(i[apart], j[apart])
     left, step = np.flatnonzero(~crossing), 1
     while len(left):
         left = left[left + step < len(fp)]
@@ -162,10 +167,15 @@ def forest_of_tiles(group: np.ndarray, side: np.ndarray, fp: np.ndarray, radius:
     return fp[moved], fp[root[moved]]
 
 
-def near_links(distinct: DataFrame, total: int, radius: int, tile: int = TILE) -> DataFrame:
-    """distinct (fp) -> (a, b): links within the radius, enough of them to connect every family."""
-    agree = blocks_to_agree(total, radius, tile)
-    masks = _masks(radius, agree)
+def near_links(distinct: DataFrame, total: int, radius: int, tile: int = TILE, agree: int | None = None) -> DataFrame:
+    """distinct (fp) -> (a, b): links within the radius, enough of them to connect every family.
+
+    agree: blocks in which fingerprints of one tile agree, by default as many as keep tiles
+    small.  With 0 all fingerprints are one tile, split into sub-tiles by population count: the
+    way for radii of many bits, for which blocks would be too narrow to tell anything apart.
+    """
+    agree = blocks_to_agree(total, radius, tile) if agree is None else agree
+    masks = _masks(radius, agree) if agree else [0]
     dealt = distinct.select(
         "fp",
         F.bit_count("fp").alias("ones"),
@@ -199,7 +209,7 @@ def near_links(distinct: DataFrame, total: int, radius: int, tile: int = TILE) -
         .select("tile", "side", "fp")
     )
     rows = plain.unionByName(seated)
-    groups = parts_for(total * len(masks), GROUP_ROWS)
+    groups = parts_for(total * (len(masks) if agree else 2 * radius + 2), GROUP_ROWS)
 
     def compare(table: pa.Table) -> pa.Table:
         a, b = forest_of_tiles(
@@ -231,3 +241,137 @@ def simhash_groups(docs: DataFrame, width: int = 3, radius: int = 3, tile: int =
         .join(component, "fp", "left")
         .select("doc_id", "fp", F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("component")).alias("component_id"))
     )
+
+
+#: Near duplicates of whole documents: words of a shingle, least similarity, and the bits by which fingerprints
+#: of such may differ.  At a similarity of 0.8 over five words, that over three is about 0.87, and 8 of 64 bits differ.
+WORDS, SIMILARITY, WIDE_RADIUS, WIDE_TILE = 5, 0.8, 12, 16384
+#: Texts of one block of a large family.
+FAMILY_BLOCK = 256
+
+
+def shingle_set(text: str, width: int) -> np.ndarray:
+    """Hashes of the distinct shingles of a text, ascending; words as for the fingerprint."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    glue, digest = b" ".join, xxhash.xxh64_intdigest
+    if len(words) < width:
+        own = {digest(glue(words), 42)}
+    else:
+        own = {digest(glue(s), 42) for s in zip(*(words[k:] for k in range(width)), strict=False)}
+    return np.sort(np.array(list(own), np.uint64))
+
+
+def _alike(sets: list[np.ndarray], block: list[int], least: float) -> _Forest:
+    """Forest of the texts whose shingle sets reach the similarity; texts of different blocks, or all if there is one."""
+    forest = _Forest(len(sets))
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    values = np.concatenate(sets)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    bounds = np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1, [len(values)]])
+    block = np.array(block)
+    one = bool((block == block[0]).all())
+    index = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[np.argsort(owner, kind="stable")]
+    ends = np.cumsum(sizes)
+    for i in range(len(sets)):
+        # Shingles of text i, then whoever else has them.
+        own = index[ends[i] - sizes[i] : ends[i]]
+        reach = np.concatenate([np.arange(bounds[k], bounds[k + 1]) for k in own.tolist()]) if len(own) else np.zeros(0, np.int64)
+        shared = np.bincount(owner[reach], minlength=len(sets))
+        good = (shared >= least * (sizes + sizes[i] - shared) - 1e-9) & (np.arange(len(sets)) > i) & (shared > 0)
+        if not one:
+            good &= block != block[i]
+        j = np.flatnonzero(good)
+        forest.link(np.full(len(j), i), j)
+    return forest
+
+
+def near_duplicate_groups(docs: DataFrame, similarity: float = SIMILARITY, width: int = WORDS, radius: int = WIDE_RADIUS) -> DataFrame:
+    """docs (doc_id, text, ...) -> per distinct (doc_id, text): doc, t1, t2, rows, keeper, kept.
+
+    Texts link when they are equal, or when their fingerprints lie within the radius and
+    their shingle sets have the similarity; groups are what links connect.  doc is doc_id,
+    a missing one being ``NO_ID``; t1 and t2 are two hashes of the text, rows how many
+    rows are alike in all.  keeper: the least doc_id of the group.  kept: true for one text
+    of each group, the one with the least doc_id, then hashes.
+    """
+    doc_id, text = F.col("doc_id").cast("long"), text_or_empty()
+    slim = docs.select(F.coalesce(doc_id, F.lit(NO_ID)).alias("doc_id"), text.alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            fps = fingerprints_of(batch.column(1).to_pylist(), 3)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(fps.view(np.int64))], ["doc", "t1", "t2", "fp"])
+
+    hashed = slim.select("doc_id", "text", F.xxhash64("text").alias("t1"), F.xxhash64("text", F.lit("again")).alias("t2"))
+    rows = staged(hashed.mapInArrow(run, "doc long, t1 long, t2 long, fp long"), "text-fingerprints")
+    texts = staged(rows.groupBy("t1", "t2").agg(F.min("fp").alias("fp"), F.min("doc").alias("doc")), "distinct-texts")
+    distinct = staged(texts.select("fp").distinct(), "wide-fingerprints")
+    forest = components(near_links(distinct, distinct.count(), radius, WIDE_TILE, agree=0))
+    loose = texts.join(forest.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    families = loose.groupBy("root").agg(F.count("*").alias("size")).where("size > 1")
+    loose = staged(loose.join(families, "root").select("root", "size", "t1", "t2", "doc"), "families")
+    named = F.xxhash64("t1", "t2")
+    cut = F.ceil(F.col("size") / F.lit(FAMILY_BLOCK)).cast("int")
+    seats = loose.withColumn("blocks", cut).withColumn("block", F.pmod(named, F.col("blocks")).cast("int"))
+    with_text = seats.join(hashed.select("t1", "t2", "text"), ["t1", "t2"]).select("root", "blocks", "block", "t1", "t2", "text")
+
+    def sets(batches):
+        for batch in batches:
+            for low in range(0, batch.num_rows, 1000):
+                part = batch.slice(low, 1000)
+                own = [shingle_set(t, width).tobytes() for t in part.column(5).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array(own, pa.binary())], ["root", "blocks", "block", "t1", "t2", "shingles"])
+
+    ready = with_text.mapInArrow(sets, "root long, blocks int, block int, t1 long, t2 long, shingles binary")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    pairs = ready.withColumn("other", other).select(
+        F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other")).alias("pair"), "block", "t1", "t2", "shingles"
+    )
+    groups = parts_for(loose.count(), 2000)
+
+    def verify(table: pa.Table) -> pa.Table:
+        a, b = [], []
+        if table.num_rows:
+            pair, block, t1, t2 = (table.column(c).to_pylist() for c in ("pair", "block", "t1", "t2"))
+            shingles = table.column("shingles").to_pylist()
+            seen: dict = {}
+            for k in range(len(pair)):
+                seen.setdefault(pair[k], {}).setdefault((t1[k], t2[k]), k)  # repeated rows of a text count once
+            for members in seen.values():
+                own = list(members.values())
+                forest = _alike([np.frombuffer(shingles[k], np.uint64) for k in own], [block[k] for k in own], similarity)
+                root = forest.labels()
+                for i in np.flatnonzero(root != np.arange(len(own))).tolist():
+                    a.append(own[i]), b.append(own[int(root[i])])
+        take = lambda c, at: table.column(c).take(pa.array(at, pa.int64())).combine_chunks()
+        return pa.table({"a1": take("t1", a), "a2": take("t2", a), "b1": take("t1", b), "b2": take("t2", b)})
+
+    links = pairs.withColumn("part", F.pmod("pair", F.lit(groups))).groupBy("part").applyInArrow(verify, "a1 long, a2 long, b1 long, b2 long")
+    joined = components(links.select(F.xxhash64("a1", "a2").alias("a"), F.xxhash64("b1", "b2").alias("b")))
+    linked = texts.withColumn("node", named).join(joined, "node")
+    keepers = linked.groupBy("root").agg(F.min(F.struct("doc", "t1", "t2")).alias("least"))
+    linked = linked.join(keepers, "root").select("t1", "t2", "least")
+    own = F.struct("doc", "t1", "t2")
+    keeper = texts.join(linked, ["t1", "t2"], "left").select("t1", "t2", F.coalesce("least", own).alias("least"))
+    alike = rows.groupBy("doc", "t1", "t2").agg(F.count("*").alias("rows"))
+    return alike.join(keeper, ["t1", "t2"]).select("doc", "t1", "t2", "rows", F.col("least.doc").alias("keeper"), (own == F.col("least")).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """One row of docs for each group of near duplicates, with the columns of docs.
+
+    It is the row of the least doc_id; if several texts of the group share that id, the text
+    of the least hash, and one of the rows alike in both.  Texts without words are alike.
+    """
+    found = staged(near_duplicate_groups(docs, **options), "near-duplicates")
+    gone = found.where("not kept").select("doc", "t1", "t2")
+    several = found.where("kept and rows > 1").select("doc", "t1", "t2")
+    hashed = packed(
+        docs, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text_or_empty()).alias("t1"),
+        F.xxhash64(text_or_empty(), F.lit("again")).alias("t2"),
+    )
+    left = hashed.join(gone.unionByName(several), ["doc", "t1", "t2"], "left_anti").select("row")
+    again = hashed.join(several, ["doc", "t1", "t2"], "left_semi").dropDuplicates(["doc", "t1", "t2"]).select("row")
+    return left.unionByName(again).select(row_columns(docs))

@@ -101,7 +101,9 @@ def split_words(texts: list[str]) -> Words:
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if len(starts):
         # Single letters in a row are one word: i d i o t.
-        joins = (ends[:-1] - starts[:-1] == 1) & (ends[1:] - starts[1:] == 1) & (starts[1:] - ends[:-1] == 1)
+        sums = np.concatenate([[0], np.cumsum(_LETTER[octets])])
+        single = (sums[ends] - sums[starts] <= 1) & (ends - starts <= 2)
+        joins = single[:-1] & single[1:] & (starts[1:] - ends[:-1] == 1)
         starts, ends = starts[np.concatenate([[True], ~joins])], ends[np.concatenate([~joins, [True]])]
     stops = np.flatnonzero((octets == 46) | (octets == 33) | (octets == 63) | (octets == 10))
     text = np.searchsorted(np.cumsum([len(p) + 1 for p in parts]), starts, "right")
