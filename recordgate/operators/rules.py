@@ -62,6 +62,11 @@ def first_error(rules: list[Rule]) -> Column:
     return F.coalesce(*[r.error() for r in in_order(rules)]) if in_order(rules) else F.lit(None).cast(ERROR)
 
 
+def first_number(ready: list[Rule]) -> Column:
+    """Number, from 1, of the first rule in the list that a row breaks; 0 for none."""
+    return F.coalesce(*[F.when(F.coalesce(r.bad, F.lit(False)), F.lit(k)) for k, r in enumerate(ready, 1)], F.lit(0))
+
+
 def first_field(rules: list[Rule]) -> tuple[Column, Column]:
     """Name and value of the first field that fails, in the order given."""
     bad = [F.coalesce(r.bad, F.lit(False)) for r in rules]

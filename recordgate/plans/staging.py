@@ -52,31 +52,30 @@ def accepted(raw: DataFrame) -> DataFrame:
 def checked(rows: DataFrame, warehouses: DataFrame, units: DataFrame, kinds: DataFrame, periods: DataFrame, facts: DataFrame) -> DataFrame:
     """rows + error_type, error_field: the first error in order of the steps, null for valid rows.
 
-    Row rules come first; only rows clean so far can be the first of a key, so the window
-    sees just these; references and existing facts are left joins with a mark.  One plan
-    gives one error for a row.
+    Row rules give a number for each row, 0 for clean ones; only these can be the first of
+    a key, so the window tells them apart and sees all rows in one pass; references and
+    existing facts are left joins with a mark.  One plan, one scan, one error a row.
     """
-    first = rows.withColumn("__e", rules.first_error(row_rules()))
-    clean = dedupe.mark_repeats(first.where("__e is null"), [F.col(k) for k in KEY])
-    clean = refs.with_presence(clean, refs.active(warehouses), F.col("warehouse"), "code", "__w")
-    clean = refs.with_presence(clean, refs.active(units), F.col("unit_code"), "code", "__u")
-    clean = refs.with_presence(clean, refs.active(kinds), F.col("doc_type"), "name", "__d")
-    clean = refs.with_presence(clean, refs.active(periods), F.col("retention_years").try_cast("int"), "years", "__r")
+    made = rules.in_order(row_rules())
+    first = rows.withColumn("__n", rules.first_number(made))
+    clean = F.col("__n") == 0
+    marked = dedupe.mark_repeats(first, [clean, *[F.col(k) for k in KEY]])
+    marked = refs.with_presence(marked, refs.active(warehouses), F.col("warehouse"), "code", "__w")
+    marked = refs.with_presence(marked, refs.active(units), F.col("unit_code"), "code", "__u")
+    marked = refs.with_presence(marked, refs.active(kinds), F.col("doc_type"), "name", "__d")
+    marked = refs.with_presence(marked, refs.active(periods), F.col("retention_years").try_cast("int"), "years", "__r")
     known = facts.select("unit_code", "box_code", F.col("doc_date").cast("string").alias("doc_date"), F.col("quantity").cast("string").alias("quantity"))
-    clean = clean.join(known.distinct().withColumn("__f", F.lit(True)), list(KEY), "left")
+    marked = marked.join(known.distinct().withColumn("__f", F.lit(True)), list(KEY), "left")
+    named = lambda texts: F.element_at(F.array(*map(F.lit, texts)), F.greatest(F.col("__n"), F.lit(1)))
     kind: Column = (
-        F.when(F.col("place") > 1, "DUP_IN_FILE")
-        .when(~F.col("__w") | ~F.col("__u") | ~F.col("__d") | ~F.col("__r"), "REF_NOT_FOUND")
-        .when(F.col("__f"), "DUP_IN_DB")
-    )
+        F.when(~clean, named([r.error_type for r in made])).when(F.col("place") > 1, "DUP_IN_FILE")
+        .when(~F.col("__w") | ~F.col("__u") | ~F.col("__d") | ~F.col("__r"), "REF_NOT_FOUND").when(F.col("__f"), "DUP_IN_DB")
+    )
     field = (
-        F.when(F.col("place") > 1, "business_key").when(~F.col("__w"), "warehouse").when(~F.col("__u"), "unit_code")
-        .when(~F.col("__d"), "doc_type").when(~F.col("__r"), "retention_years").when(F.col("__f"), "business_key")
+        F.when(~clean, named([r.field for r in made])).when(F.col("place") > 1, "business_key").when(~F.col("__w"), "warehouse")
+        .when(~F.col("__u"), "unit_code").when(~F.col("__d"), "doc_type").when(~F.col("__r"), "retention_years").when(F.col("__f"), "business_key")
     )
-    names = [c for c in rows.columns]
-    settled = clean.select(*names, kind.alias("error_type"), field.alias("error_field"))
-    failed = first.where("__e is not null").select(*names, F.col("__e.error_type").alias("error_type"), F.col("__e.error_field").alias("error_field"))
-    return failed.unionByName(settled)
+    return marked.select(*rows.columns, kind.alias("error_type"), field.alias("error_field"))
 
 
 def resolved_facts(t: Source) -> DataFrame:
