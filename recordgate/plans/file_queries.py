@@ -195,11 +195,12 @@ def str03(t):
     return t.spark.read.parquet(f"{folder}/out").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"))
 
 
-@query("STR04", "SELECT CAST(user_id AS BIGINT) AS user_id, CAST(min(event_id) AS BIGINT) AS event_id FROM events GROUP BY user_id")
+@query("STR04", "SELECT CAST(user_id AS BIGINT) AS user_id, CAST(count(*) - 1 AS BIGINT) AS rejected FROM events GROUP BY user_id")
 def str04(t):
     folder = scratch(t, "str04")
     stream.run_batches(_event_files(t, folder), stream.accept_unique(f"{folder}/out", f"{folder}/rejects", ["user_id"], "event_id"), f"{folder}/checkpoint")
-    return t.spark.read.parquet(f"{folder}/out").select("user_id", "event_id")
+    accepted, rejected = (t.spark.read.parquet(f"{folder}/{name}").select("user_id", F.lit(n).alias("n")) for name, n in (("out", 0), ("rejects", 1)))
+    return accepted.unionByName(rejected).groupBy("user_id").agg(F.sum("n").alias("rejected"))
 
 
 @query("STR05", "SELECT 'BAD_' || upper(event_type) AS error_type, CAST(count(*) AS BIGINT) AS count FROM events WHERE event_type IN ('error', 'view') GROUP BY event_type")

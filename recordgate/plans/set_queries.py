@@ -616,7 +616,7 @@ def rep02(t):
     return t.job_sheet_log.groupBy("job_id").agg(F.count_if(F.col("status") == "COMPLETED").alias("completed"), *sums(), F.round(F.avg("progress_percent"), 6).alias("progress"))
 
 
-@query("REP03", "SELECT job_id, sheet_name, status, duration_ms, CAST(epoch_ms(started_at) % 1000000 AS BIGINT) AS started_ms FROM job_sheet_log")
+@query("REP03", "SELECT job_id, sheet_name, status, duration_ms, CAST(epoch_us(started_at) // 1000 % 1000000 AS BIGINT) AS started_ms FROM job_sheet_log")
 def rep03(t):
     return t.job_sheet_log.select("job_id", "sheet_name", "status", "duration_ms", (F.unix_millis(F.col("started_at").cast("timestamp")) % 1_000_000).alias("started_ms"))
 

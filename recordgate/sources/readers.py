@@ -28,6 +28,12 @@ def header_of(spark: SparkSession, path: str, separator: str = ",") -> list[str]
     return spark.read.option("header", True).option("sep", separator).csv(path).columns
 
 
+def _halves(raw: DataFrame, first: str) -> tuple[DataFrame, DataFrame]:
+    """Good rows, and bad lines.  Spark reads no file for the mark alone, so a field is always asked for: any has a length of 0 or more."""
+    parsed = raw.where(F.length(F.concat_ws("", F.col(f"`{first}`"))) >= 0)
+    return parsed.where(F.col(BAD).isNull()).drop(BAD), parsed.where(F.col(BAD).isNotNull()).select(BAD)
+
+
 def read_delimited(spark: SparkSession, path: str, names: list[str], separator: str = ",", header: bool = True) -> tuple[DataFrame, DataFrame]:
     """(rows, bad lines): text fields, quoted ones too; without a header fields are bound by their place."""
     own = header_of(spark, path, separator) if header else names
@@ -36,9 +42,8 @@ def read_delimited(spark: SparkSession, path: str, names: list[str], separator:
         .option("enforceSchema", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD)
         .schema(text_schema(own, bad=True)).csv(path)
     )
-    # Both halves come out of one parse; a column is read with them because Spark leaves out parsing for a bad mark alone.
-    good, bad = raw.where(F.col(BAD).isNull()).drop(BAD), raw.where(F.col(BAD).isNotNull()).select(BAD, *own[:1])
-    return bound(good, names), bad.select(BAD)
+    good, bad = _halves(raw, own[0])
+    return bound(good, names), bad
 
 
 def read_json(spark: SparkSession, path: str, names: list[str], lines: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -47,7 +52,8 @@ def read_json(spark: SparkSession, path: str, names: list[str], lines: bool = Tr
         spark.read.option("multiLine", not lines).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD)
         .option("primitivesAsString", True).schema(text_schema(names, bad=True)).json(path)
     )
-    return raw.where(F.col(BAD).isNull()).select(*[blank_to_null(F.col(n)).alias(n) for n in names]), raw.where(F.col(BAD).isNotNull()).select(BAD, *names[:1]).select(BAD)
+    good, bad = _halves(raw, names[0])
+    return good.select(*[blank_to_null(F.col(n)).alias(n) for n in names]), bad
 
 
 def _parquet(spark: SparkSession, path: str, names: list[str]) -> tuple[DataFrame, DataFrame]:
