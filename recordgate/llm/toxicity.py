@@ -35,8 +35,10 @@ SAMPLE = 2000
 LANDMARKS = 96
 DECAY = 0.7
 #: Below this resemblance a word counts as not resembling the landmark.
-LEAST = 0.45
+LEAST = 0.55
 THRESHOLD = 0.7
+#: Steps of closeness that count as kinds of their own.
+_CLOSE = np.array([0.0, 0.65, 0.8, 0.95])
 _GAPS = ((1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4))
 _STEP = 512 << 10
 _SENTENCE = re.compile(r"[.!?\n]+")
@@ -171,8 +173,9 @@ class Landmarks:
         return np.flatnonzero((sums > 0) & (sums >= 0.999 * LEAST * np.where(plain, squares, 0.0) ** 0.5))
 
     def sentences(self, texts: list[str]):
-        """(text, features): the best resemblance to each landmark in every sentence that resembles one."""
+        """(text, features) of every sentence that resembles a landmark, features from its best word for each; and words of each text."""
         words = split_words(texts)
+        counts = np.bincount(words.text, minlength=len(texts))
         best: dict[tuple[int, int], np.ndarray] = {}
         for i in self.candidates(words).tolist():
             found = self.resemblance(words.data[words.starts[i] : words.ends[i]])
@@ -180,8 +183,8 @@ class Landmarks:
                 key = (int(words.text[i]), int(words.sentence[i]))
                 best[key] = np.maximum(best[key], found) if key in best else found
         if not best:
-            return np.zeros(0, np.int64), np.zeros((0, len(self.strings)))
-        return np.array([t for t, _ in best]), np.stack(list(best.values())) @ self.white
+            return np.zeros(0, np.int64), np.zeros((0, len(self.strings))), counts
+        return np.array([t for t, _ in best]), np.stack(list(best.values())), counts
 
 
 @dataclass
@@ -191,66 +194,79 @@ class Model:
     landmarks: Landmarks
     weights: np.ndarray
     bias: float
+    #: What a sentence says for its document, by the landmark it resembles most and how closely: log of how much oftener that is so in toxic ones.
+    evidence: np.ndarray
     scale: np.ndarray
 
-    def score(self, texts: list[str]) -> np.ndarray:
-        summary = np.zeros((len(texts), 2))
-        summary[:, 0] = self.bias
-        low = 0
+    def hits(self, texts: list[str]):
+        """Sentences that resemble a landmark: their texts, kinds (nearest landmark and closeness) and margins; and words of each text."""
+        found, words, low = [], np.zeros(len(texts)), 0
         while low < len(texts):
             high, size = low, 0
             while high < len(texts) and (high == low or size + len(texts[high]) <= _STEP):
                 size += len(texts[high])
                 high += 1
-            text, z = self.landmarks.sentences(texts[low:high])
-            margin = z @ self.weights + self.bias
-            np.maximum.at(summary[:, 0], text + low, margin)
-            np.add.at(summary[:, 1], text + low, (margin > 0).astype(float))
+            text, near, words[low:high] = self.landmarks.sentences(texts[low:high])
+            margin = near @ self.landmarks.white @ self.weights + self.bias
+            kind = near.argmax(1) * len(_CLOSE) + np.searchsorted(_CLOSE, near.max(1), "right") - 1 if len(near) else text
+            found.append((text + low, kind, margin))
             low = high
-        return probability(summary, self.scale)
+        empty = np.zeros(0, np.int64)
+        text, kind, margin = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (empty, empty, empty.astype(float))
+        return text, kind, margin, words
+
+    def summary(self, texts: list[str]) -> np.ndarray:
+        """For each text the evidence of its sentences, in all and a hundred words, and its greatest margin."""
+        text, kind, margin, words = self.hits(texts)
+        total, most = np.zeros(len(texts)), np.full(len(texts), -1.0)
+        np.add.at(total, text, self.evidence[kind])
+        np.maximum.at(most, text, margin)
+        total = np.maximum(total, 0)
+        return np.stack([np.log1p(total), np.log1p(100 * total / np.maximum(words, 50)), np.clip(most, -1, 2), np.ones(len(texts))], 1)
 
+    def score(self, texts: list[str]) -> np.ndarray:
+        return 1.0 / (1.0 + np.exp(-np.clip(self.summary(texts) @ self.scale, -40, 40)))
 
-def probability(summary: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    raw = scale[0] * np.clip(summary[:, 0], -4, 4) + scale[1] * np.log1p(summary[:, 1]) + scale[2]
-    return 1.0 / (1.0 + np.exp(-np.clip(raw, -40, 40)))
 
+def distinctive(toxic: list[Counter], clean: list[Counter], most: int) -> list[bytes]:
+    """Strings that toxic documents hold far oftener than clean ones, chosen greedily to cover the toxic ones.
 
-def distinctive(toxic: list[set[bytes]], clean: list[set[bytes]], most: int) -> list[bytes]:
-    """Strings that cover toxic documents and hardly any clean ones, chosen greedily."""
-    in_toxic, in_clean = Counter(), Counter()
+    Counters hold how often each string begins a word of the document.
+    """
+    in_toxic, in_clean, holders = Counter(), Counter(), Counter()
     for own in toxic:
         in_toxic.update(own)
+        holders.update(own.keys())
     for own in clean:
         in_clean.update(own)
-    ratio = max(len(toxic), 1) / max(len(clean), 1)
-    often = max(3, len(toxic) // 400)
-    good = {s for s, n in in_toxic.items() if n >= often and n >= 12 * ratio * in_clean[s]}
-    holders: dict[bytes, set[int]] = {s: set() for s in good}
+    total = [max(1, sum(own[b""] for own in kind)) for kind in (toxic, clean)]
+    often = max(3, len(toxic) // 200)
+    good = {s for s, n in in_toxic.items() if s and holders[s] >= often and n / total[0] >= 10 * (in_clean[s] + 0.5) / total[1]}
+    where: dict[bytes, dict[int, int]] = {s: {} for s in good}
     for k, own in enumerate(toxic):
-        for s in own & good:
-            holders[s].add(k)
+        for s in own.keys() & good:
+            where[s][k] = min(own[s], 4)
     chosen: list[bytes] = []
-    open_docs = Counter()
-    # Every toxic document is to be covered several times, so that no landmark stands alone for it.
-    while len(chosen) < most and holders:
-        gain = lambda s: (sum(1.0 / (1 + 4 * open_docs[k]) for k in holders[s]) - 3 * ratio * in_clean[s], len(s), s)
-        best = max(holders, key=gain)
-        if gain(best)[0] < often:
+    covered = Counter()
+    while len(chosen) < most and where:
+        gain = {s: sum(n / (1 + covered[k]) for k, n in docs.items()) for s, docs in where.items()}
+        best = max(gain, key=lambda s: (round(gain[s], 6), len(s), s))
+        if gain[best] < often:
             break
         chosen.append(best)
-        for k in holders.pop(best):
-            open_docs[k] += 1
-        for s in [s for s in holders if s.startswith(best) or best.startswith(s)]:
-            if len(holders[s]) <= 1.2 * often or s.startswith(best):
-                holders.pop(s)
+        for k, n in where[best].items():
+            covered[k] += n
+        # Longer and shorter forms of it say nothing new.
+        where = {s: d for s, d in where.items() if not s.startswith(best) and not best.startswith(s) and kernel(s, best) < 0.8}
     return chosen
 
 
-def _strings(text: str) -> set[bytes]:
-    """Words of a text without signs at their ends, and their beginnings of four characters and more."""
-    found = set()
-    for word in set(text.lower().split()):
+def _strings(text: str) -> Counter:
+    """Words of a text without signs at their ends, and their beginnings of four characters and more; the empty string counts words."""
+    found = Counter()
+    for word in text.lower().split():
         word = word.strip(".,;:!?\"'()[]{}*#%&$-_")
+        found[b""] += 1
         found.update(word[:k].encode("utf-8", "surrogatepass") for k in range(4, min(len(word), 12) + 1))
     return found
 
@@ -270,14 +286,13 @@ def train_machine(x: np.ndarray, y: np.ndarray, rounds: int = 40, cost: float =
     return w[:-1], float(w[-1])
 
 
-def fit_logistic(summary: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Scale, weight of the number of toxic sentences, and shift, by Newton's method with a small penalty."""
-    x = np.stack([np.clip(summary[:, 0], -4, 4), np.log1p(summary[:, 1]), np.ones(len(y))], 1)
+def fit_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of the columns of x, by Newton's method with a small penalty."""
     t = np.where(y > 0, 1.0 - 1e-3, 1e-3)
-    b = np.zeros(3)
+    b = np.zeros(x.shape[1])
     for _ in range(60):
         p = 1.0 / (1.0 + np.exp(-np.clip(x @ b, -40, 40)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 1e-2 * np.eye(3), x.T @ (p - t) + 1e-2 * b)
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 1e-2 * np.eye(len(b)), x.T @ (p - t) + 1e-2 * b)
         b -= step
         if np.abs(step).max() < 1e-9:
             break
@@ -289,7 +304,7 @@ def fit(toxic: list[str], clean: list[str], most: int = LANDMARKS) -> Model:
     chosen = distinctive([_strings(t) for t in toxic], [_strings(t) for t in clean], most) if toxic and clean else []
     chosen = [c for c in chosen if features(c)]
     if not chosen:
-        return Model(Landmarks([]), np.zeros(0), -1.0, np.array([0.0, 0.0, -6.0]))
+        return Model(Landmarks([]), np.zeros(0), -1.0, np.zeros(0), np.array([0.0, 0.0, 0.0, -6.0]))
     landmarks = Landmarks(chosen)
     marked = set(chosen)
     xs, ys = [], []
@@ -297,8 +312,8 @@ def fit(toxic: list[str], clean: list[str], most: int = LANDMARKS) -> Model:
         for low in range(0, len(texts), 50):
             part = texts[low : low + 50]
             if kind > 0:  # sentences that hold a distinctive string
-                part = [s for t in part for s in _SENTENCE.split(t) if _strings(s) & marked]
-            _, z = landmarks.sentences(part)
+                part = [s for t in part for s in _SENTENCE.split(t) if marked & _strings(s).keys()]
+            z = landmarks.sentences(part)[1] @ landmarks.white
             xs.append(z), ys.append(np.full(len(z), kind))
     # What resembles no landmark is clean.
     xs.append(np.zeros((200, len(chosen)))), ys.append(np.full(200, -1.0))
@@ -307,19 +322,22 @@ def fit(toxic: list[str], clean: list[str], most: int = LANDMARKS) -> Model:
         keep = np.random.default_rng(1).permutation(len(x))[:20_000]
         x, y = x[keep], y[keep]
     weights, bias = train_machine(x, y)
-    model = Model(landmarks, weights, bias, np.array([1.0, 0.0, 0.0]))
-    summaries = []
+    kinds = len(chosen) * len(_CLOSE)
+    model = Model(landmarks, weights, bias, np.zeros(kinds), np.zeros(4))
+    rates, unseen = [], np.ones(kinds, bool)
     for texts in (toxic, clean):
-        summary = np.zeros((len(texts), 2))
-        summary[:, 0] = bias
-        for low in range(0, len(texts), 50):
-            text, z = landmarks.sentences(texts[low : low + 50])
-            margin = z @ weights + bias
-            np.maximum.at(summary[:, 0], text + low, margin)
-            np.add.at(summary[:, 1], text + low, (margin > 0).astype(float))
-        summaries.append(summary)
-    labels = np.concatenate([np.ones(len(toxic)), -np.ones(len(clean))])
-    model.scale = fit_logistic(np.concatenate(summaries), labels)
+        text, kind, _, words = model.hits(texts)
+        # A document counts for four sentences of a kind at most.
+        pairs, counts = np.unique(text * kinds + kind, return_counts=True)
+        seen = np.bincount((pairs % kinds).astype(int), np.minimum(counts, 4), minlength=kinds)
+        rates.append((seen + 0.5) / max(words.sum(), 1))
+        unseen &= seen == 0
+    ratio = np.log(rates[0] / rates[1])
+    ratio = np.where((ratio > 0.7) & ~unseen, ratio, 0.0).reshape(-1, len(_CLOSE))
+    # A closeness that no document of the sample shows, as of a new way to write an insult, counts half of the landmark's best.
+    model.evidence = np.where(unseen.reshape(ratio.shape), ratio.max(1, keepdims=True) / 2, ratio).ravel()
+    x = np.concatenate([model.summary(toxic), model.summary(clean)])
+    model.scale = fit_logistic(x, np.concatenate([np.ones(len(toxic)), -np.ones(len(clean))]))
     return model
 
 
