@@ -49,8 +49,8 @@ def test_bound_loses_no_word():
 
 
 def test_toxicity_awkward_rows(spark):
-    train = [(k, "you are an idiot and a moron. nice day." if k % 2 else "what a nice day it is. all well here.") for k in range(120)]
-    labels = spark.createDataFrame([(k, k % 2) for k in range(120)] + [(None, 1), (3, None), (5, 7)], "doc_id long, toxic int")
+    train = [(k, (None, "you are an idiot. nice day.", "what a nice day it is. all well here.", "what a moron you are.")[k % 4] if k % 4 else "so it goes. nothing here.") for k in range(240)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(240)] + [(None, 1), (3, None), (5, 7)], "doc_id long, toxic int")
     got = T.toxicity(documents(spark, AWKWARD), documents(spark, train), labels).collect()
     assert len(got) == len(AWKWARD) and all(r.predicted == 0 for r in got)
     rude = T.toxicity(documents(spark, [(1, "such an id_iot"), (2, None)]), documents(spark, train), labels).collect()
