@@ -10,12 +10,12 @@ from .decontamination import flagged
 from .license_scan import license_scan, license_sql
 from .shared import load
 from .simhash_dedup import simhash_groups
-from .source_mixing import label_quality, mix
+from .source_mixing import label_quality, mix, mixing_sql
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 from .token_store import token_digest
 from .toxicity import toxicity
-from .vector_search import nearest
+from .vector_search import nearest, nearest_sql
 
 
 def tokenizer_path() -> str:
@@ -75,4 +75,6 @@ QUERIES = {
         op6_simhash_dedup, op7_source_mixing, op8_token_store, op9_chat_roles, op10_license_scan,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op10_license_scan": license_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op2_vector_search": nearest_sql(), "op7_source_mixing": mixing_sql(), "op10_license_scan": license_sql(),
+}

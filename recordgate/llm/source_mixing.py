@@ -140,3 +140,26 @@ def mixed_documents(docs: DataFrame, quality: DataFrame | None = None, **options
     )
     again = F.explode(F.sequence(F.lit(1), F.col("mix plan copies").cast("int")))
     return joined.select(*[F.col(f"`{c}`") for c in names], again.alias("mix plan copy")).select(*[F.col(f"`{c}`") for c in names])
+
+
+def mixing_sql(salt: str = "mix") -> str:
+    """DuckDB's SQL for the rows of mix() with label_quality()."""
+    before = "OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return f"""
+WITH sized AS (
+  SELECT CAST(doc_id AS BIGINT) AS doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
+good AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, avg(CASE WHEN quality = 1 THEN {QUALITY["good"]}e0 ELSE {QUALITY["bad"]}e0 END) AS quality
+  FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY 1),
+keyed AS (SELECT sized.*, -ln((CAST('0x' || substr(md5(coalesce(CAST(sized.doc_id AS VARCHAR), '') || '{salt}'), 1, 13) AS BIGINT) + 0.5e0) / {2**52}e0)
+  / coalesce(quality, {QUALITY["none"]}e0) AS key FROM sized LEFT JOIN good ON good.doc_id = sized.doc_id),
+sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM sized GROUP BY source),
+weighed AS (SELECT *, CASE place % 3 WHEN 0 THEN 5e0 WHEN 1 THEN 2e0 ELSE 1e0 END AS weight, source_size * {MOST_EPOCHS}e0 AS cap FROM sources),
+levels AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) {before}, 0e0)) / (sum(weight) OVER () - coalesce(sum(weight) {before}, 0e0)) AS level FROM weighed),
+free AS (SELECT *, max(CASE WHEN level * weight < cap THEN level END) OVER () AS free_level FROM levels),
+targets AS (SELECT source, source_size, CASE WHEN free_level IS NULL THEN cap ELSE least(cap, free_level * weight) END AS target FROM free),
+epochs AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0e0 END AS epochs FROM targets),
+placed AS (SELECT k.doc_id, k.size, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS rest,
+  sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id NULLS FIRST, k.size ROWS UNBOUNDED PRECEDING) - k.size / 2e0 AS middle
+  FROM keyed k JOIN epochs e ON k.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target, CAST(size * (epochs + CASE WHEN middle < rest THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM placed
+"""

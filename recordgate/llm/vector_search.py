@@ -76,7 +76,8 @@ class QueryBlock:
         rows, columns = np.nonzero((near - slack <= limit[:, None]) & ~same)
         for low in range(0, len(rows), 65536):
             a, b = rows[low : low + 65536], columns[low : low + 65536]
-            exact = np.sqrt(((self.x[a] - y[b]) ** 2).sum(1))
+            # Squares are added in the order of the components, so that a score does not depend on tiles.
+            exact = np.sqrt(np.cumsum((self.x[a] - y[b]) ** 2, axis=1)[:, -1])
             for i, j, d in zip(a.tolist(), ids[b].tolist(), exact.tolist(), strict=True):
                 self._put(self.heaps[i], (-d, -j))
         for i in np.unique(rows).tolist():
@@ -164,3 +165,16 @@ def nearest(
         .where(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")
     )
+
+
+def nearest_sql(k: int = 10, every: int = 100) -> str:
+    """DuckDB's SQL for the k nearest of each vector whose id is divisible by every."""
+    return f"""
+WITH given AS (SELECT CAST(vec_id AS BIGINT) AS vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+fit AS (SELECT * FROM given WHERE len(list_filter(x, lambda v: v IS NULL OR NOT isfinite(v))) = 0 AND len(list_filter(x, lambda v: v <> 0)) > 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_sum(list_transform(range(1, len(q.x) + 1), lambda i: (q.x[i] - c.x[i]) * (q.x[i] - c.x[i])))) AS score
+  FROM fit q JOIN fit c ON len(q.x) = len(c.x) AND q.vec_id <> c.vec_id WHERE q.vec_id % {every} = 0)
+SELECT query_id, CAST(place AS INT) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS place FROM pairs) WHERE place <= {k}
+"""
