@@ -11,8 +11,8 @@ from .license_scan import license_scan, license_sql
 from .shared import load
 from .simhash_dedup import simhash_groups
 from .source_mixing import label_quality, mix, mixing_sql
-from .substring_dedup import substring_dedup
-from .suffix_dedup import suffix_dedup
+from .substring_dedup import substring_dedup, substring_sql
+from .suffix_dedup import suffix_dedup, suffix_sql
 from .token_store import token_digest
 from .toxicity import toxicity
 from .vector_search import nearest, nearest_sql
@@ -76,5 +76,5 @@ QUERIES = {
     )
 }
 ORACLE_SQL: dict[str, str] = {
-    "op2_vector_search": nearest_sql(), "op7_source_mixing": mixing_sql(), "op10_license_scan": license_sql(),
+    "op1_suffix_dedup": suffix_sql(), "op2_vector_search": nearest_sql(), "op5_substring_dedup": substring_sql(), "op7_source_mixing": mixing_sql(), "op10_license_scan": license_sql(),
 }

@@ -114,3 +114,18 @@ def substring_dedup(docs: DataFrame, width: int = 20, gram: int = GRAM, group: i
     joined = documents.join(runs, ["doc", "th"], "left").select("doc", "text", "low", "high")
     result = joined.mapInArrow(cut, "doc long, n_words long, n_removed long, kept_sha256 string, kept string")
     return result.select(F.when(F.col("doc") != A.NO_ID, F.col("doc")).alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept")
+
+
+def substring_sql(width: int = 20) -> str:
+    """DuckDB's SQL over all windows, for tables whose doc_ids are distinct and not null."""
+    return f"""
+WITH split AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+places AS (SELECT doc_id, w, unnest(range(1, len(w) - {width} + 2)) AS i FROM split WHERE len(w) >= {width}),
+windows AS (SELECT doc_id, i, md5(array_to_string(w[i : i + {width} - 1], ' ')) AS t FROM places),
+ranked AS (SELECT doc_id, i, row_number() OVER (PARTITION BY t ORDER BY doc_id, i) AS n FROM windows),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + {width})) AS p FROM ranked WHERE n > 1),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM split),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT split.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM split LEFT JOIN kept ON kept.doc_id = split.doc_id
+"""

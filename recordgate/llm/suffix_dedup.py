@@ -150,3 +150,22 @@ def suffix_dedup(docs: DataFrame, width: int = 200, gram: int = GRAM, group: int
     joined = documents.join(runs, ["doc", "th"], "left").select("doc", "text", "low", "high")
     result = joined.mapInArrow(cut, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return result.select(F.when(F.col("doc") != A.NO_ID, F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+
+
+def suffix_sql(width: int = 200) -> str:
+    """DuckDB's SQL over all strings of width bytes, in hexadecimal, for tables whose doc_ids are distinct and not null."""
+    return f"""
+WITH bytes AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+places AS (SELECT doc_id, h, unnest(range(0, length(h) // 2 - {width} + 1)) AS i FROM bytes WHERE length(h) // 2 >= {width}),
+strings AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, {2 * width})) AS t FROM places),
+often AS (SELECT t FROM strings GROUP BY t HAVING count(*) > 1),
+hits AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM strings SEMI JOIN often USING (t)),
+runs AS (SELECT doc_id, i, sum(CASE WHEN gap IS NULL OR gap > {width} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM hits),
+spans AS (SELECT doc_id, run, min(i) AS low, max(i) + {width} AS high FROM runs GROUP BY doc_id, run),
+edges AS (SELECT doc_id, low, high, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY low), 0) AS before FROM spans),
+pieces AS (SELECT doc_id, count(*) AS n_spans, sum(high - low) AS removed, max(high) AS last,
+  string_agg(substr(h, 2 * before + 1, 2 * (low - before)), '' ORDER BY low) AS text FROM edges JOIN bytes USING (doc_id) GROUP BY doc_id)
+SELECT b.doc_id, CAST(length(b.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(p.removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(p.n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(p.text, '') || substr(b.h, 2 * coalesce(p.last, 0) + 1))) AS kept_sha256
+FROM bytes b LEFT JOIN pieces p ON p.doc_id = b.doc_id
+"""
