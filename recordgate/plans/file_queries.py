@@ -5,9 +5,9 @@ SQL has no twin for most of these; each query gives rows that say what a round t
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import rules
@@ -18,15 +18,16 @@ from .registry import Source, query
 
 
 def scratch(t: Source, name: str) -> str:
-    """A new folder beside the checkpoints, which driver and executors share."""
-    root = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder beside the checkpoints, which driver and executors share; a temporary one only where none is named."""
+    root = t.spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        sc = t.spark.sparkContext
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        root = sc.getCheckpointDir()
     return f"{root.rstrip('/')}/files/{name}-{uuid.uuid4().hex}"
 
 
-def as_text(df: DataFrame) -> DataFrame:
-    return df.select(*[F.col(c).cast("string") for c in df.columns])
-
-
 _NATION = ["n_nationkey", "n_name", "n_regionkey"]
 _NATION_SQL = "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation"
 _CUSTOMER = ["c_custkey", "c_name", "c_nationkey"]
