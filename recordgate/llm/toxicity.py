@@ -228,22 +228,29 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(self.summary(texts) @ self.scale, -40, 40)))
 
 
-def distinctive(toxic: list[Counter], clean: list[Counter], most: int) -> list[bytes]:
-    """Strings that toxic documents hold far oftener than clean ones, chosen greedily to cover the toxic ones.
+def distinctive(toxic: list[str], clean: list[str], most: int) -> list[bytes]:
+    """Strings that begin words of toxic texts far oftener than of clean ones, chosen greedily to cover the toxic ones.
 
-    Counters hold how often each string begins a word of the document.
+    Texts are gone through again rather than kept as counters, which would be many times their size.
     """
     in_toxic, in_clean, holders = Counter(), Counter(), Counter()
-    for own in toxic:
+    total = [1, 1]
+    for text in toxic:
+        own = _strings(text)
+        total[0] += own.pop(b"", 0)
         in_toxic.update(own)
         holders.update(own.keys())
-    for own in clean:
-        in_clean.update(own)
-    total = [max(1, sum(own[b""] for own in kind)) for kind in (toxic, clean)]
     often = max(3, len(toxic) // 200)
-    good = {s for s, n in in_toxic.items() if s and holders[s] >= often and n / total[0] >= 10 * (in_clean[s] + 0.5) / total[1]}
+    in_toxic = {s: n for s, n in in_toxic.items() if holders[s] >= often}
+    del holders
+    for text in clean:
+        own = _strings(text)
+        total[1] += own.pop(b"", 0)
+        in_clean.update({s: n for s, n in own.items() if s in in_toxic})
+    good = {s for s, n in in_toxic.items() if n / total[0] >= 10 * (in_clean[s] + 0.5) / total[1]}
     where: dict[bytes, dict[int, int]] = {s: {} for s in good}
-    for k, own in enumerate(toxic):
+    for k, text in enumerate(toxic):
+        own = _strings(text)
         for s in own.keys() & good:
             where[s][k] = min(own[s], 4)
     chosen: list[bytes] = []
@@ -301,7 +308,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def fit(toxic: list[str], clean: list[str], most: int = LANDMARKS) -> Model:
     """A model from the texts of toxic and clean documents; without either kind it calls nothing toxic."""
-    chosen = distinctive([_strings(t) for t in toxic], [_strings(t) for t in clean], most) if toxic and clean else []
+    chosen = distinctive(toxic, clean, most) if toxic and clean else []
     chosen = [c for c in chosen if features(c)]
     if not chosen:
         return Model(Landmarks([]), np.zeros(0), -1.0, np.zeros(0), np.array([0.0, 0.0, 0.0, -6.0]))
