@@ -15,6 +15,7 @@ goes through the library whole.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -34,7 +35,6 @@ KNOWN = 200_000
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(rf"[{_LETTERS}0-9\n!-/:-@\[-`{{-~ ]*")
-_BLANKS = re.compile(r" (?:[ \n]|$)|\n ")
 _PIECES = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
 
 
@@ -45,6 +45,13 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def _plain(text: str) -> bool:
+    """Whether a text is of plain letters, signs, line ends and single blanks between other characters."""
+    if "  " in text or " \n" in text or "\n " in text or text.endswith(" "):
+        return False
+    return text.replace("\n", "").isprintable() if text.isascii() else _PLAIN.fullmatch(text) is not None
+
+
 class _Remembered(dict):
     def __init__(self, make):
         super().__init__()
@@ -83,15 +90,15 @@ class Encoder:
         self.chunks = _Remembered(lambda chunk: self._chunk(" " + chunk))
 
     def _piece(self, piece: str) -> bytes:
-        tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
-        return np.array([t.id for t in tokens], "<u4").tobytes()
+        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _chunk(self, chunk: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, _PIECES.findall(chunk)))
 
     def ids(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if self.cuts and _PLAIN.fullmatch(text) and not _BLANKS.search(text) and not any(s in text for s in self.special):
+        if self.cuts and _plain(text) and not any(s in text for s in self.special):
             first, *rest = text.split(" ")
             return self._chunk(first) + b"".join(map(self.chunks.__getitem__, rest))
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
