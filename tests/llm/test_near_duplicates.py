@@ -68,3 +68,23 @@ def test_awkward_rows(spark):
     twice = without_near_duplicates(documents(spark, [(7, "a b c"), (7, "a b c"), (7, "d e f")]))
     assert sorted(r.text for r in twice.collect()) == ["a b c", "d e f"]
     assert without_near_duplicates(documents(spark, [])).count() == 0
+
+
+def test_pairs_beyond_the_radius_are_linked(spark):
+    from recordgate.llm.simhash_dedup import WIDE_RADIUS, fingerprints_of
+
+    rng = random.Random(5)
+    rows = []
+    for k in range(60):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        # A line said over and over moves the fingerprint, and adds few shingles to the set.
+        line = [f"z{rng.randrange(10**6)}" for _ in range(6)]
+        rows += [(2 * k, " ".join(base + line * (k % 3) * 10)), (2 * k + 1, " ".join(base + line * 30))]
+    rows += [(200 + k, " ".join([f"common {k}", *(f"c{i}" for i in range(30)), *(f"d{k}e{i}" for i in range(40))])) for k in range(50)]
+    fps = fingerprints_of([t for _, t in rows], 3)
+    beyond = [k for k in range(60) if (int(fps[2 * k]) ^ int(fps[2 * k + 1])).bit_count() > WIDE_RADIUS]
+    assert len(beyond) > 10
+    got = {r.doc: r.keeper for r in near_duplicate_groups(documents(spark, rows)).collect()}
+    assert got == plain_keepers(rows)
+    assert all(got[2 * k + 1] == 2 * k for k in range(60))
+    assert without_near_duplicates(documents(spark, rows)).count() == 110
