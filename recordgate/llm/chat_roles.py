@@ -6,7 +6,7 @@ a role and whether its turn begins on the line.  Viterbi's best path gives each
 its role, lines of one turn are joined, and turns are rendered alike whatever the transcript's
 own style was.
 
-A conversation is cut into segments of consecutive turn numbers.  A segment is
+A long conversation is cut into segments of so many rows in its order.  A segment is
 summed up by a matrix, best score from any state before it to any state at its end, so
 a conversation of any length takes three steps: matrices of its segments, the best states
 at their borders, and the best path inside each segment between its borders.  Segments
@@ -19,7 +19,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import parts_for, staged, text_or_empty
@@ -36,7 +36,7 @@ _MARKER = re.compile(
     r"^\s*(?:[#>*\-]+\s*|<\|?|\[)?\s*(" + "|".join(sorted(_ROLE_OF, key=len, reverse=True)) + r")\s*(?:\d+\s*)?(?:\*\*)?(?:\|?>|\]|:|>)\s*(?:\*\*)?\s*",
     re.IGNORECASE,
 )
-#: Turn numbers of one segment, and lines of one Python group.
+#: Rows of one segment, and lines of one Python group.
 SEGMENT = 512
 GROUP_ROWS = 20_000
 #: States: role * 2 + (1 if the role's turn goes on).
@@ -133,7 +133,7 @@ def _lines(texts: list[str], roles: list) -> list[tuple[str, int, bool]]:
 
 def _rows_by_segment(table: pa.Table):
     """(conv, seg, texts, roles, turns) of every segment in a group, rows in order."""
-    rows = table.sort_by([("conv", "ascending"), ("seg", "ascending"), ("turn", "ascending"), ("role", "ascending"), ("text", "ascending")])
+    rows = table.sort_by([("conv", "ascending"), ("seg", "ascending"), ("dated", "ascending"), ("turn", "ascending"), ("role", "ascending"), ("text", "ascending")])
     conv, seg = rows.column("conv").to_pylist(), rows.column("seg").to_pylist()
     texts, roles, turns = (rows.column(c).to_pylist() for c in ("text", "role", "turn"))
     start = 0
@@ -165,6 +165,24 @@ def _turn_table(rows: list[tuple]) -> pa.Table:
     return pa.table({n: pa.array(c, t) for (n, t), c in zip(kinds, columns, strict=True)})
 
 
+def in_segments(rows: DataFrame, segment: int) -> DataFrame:
+    """rows (conv, dated, turn, role, text) with seg: the row's number in its conversation's order over segment.
+
+    Rows are dealt to slices of the common order, numbered in their slice, and slices are
+    added up, so no task holds a conversation; rows alike in all may take each other's places.
+    """
+    order = ["conv", "dated", "turn", F.asc_nulls_last("role"), "text", "tie"]
+    tied = staged(rows.withColumn("tie", F.monotonically_increasing_id()), "long-rows")
+    slices = tied.repartitionByRange(parts_for(tied.count(), GROUP_ROWS), *order).sortWithinPartitions(*order).drop("tie")
+    # The id is the slice, and the row's place in it in the lower 33 bits.
+    placed = staged(slices.withColumn("at", F.monotonically_increasing_id()).withColumn("slice", F.shiftright("at", 33)), "placed-rows")
+    runs = placed.groupBy("conv", "slice").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("conv").orderBy("slice")) - F.col("n")
+    runs = runs.select(F.col("conv").alias("run_conv"), F.col("slice").alias("run_slice"), (before - F.col("first")).alias("shift"))
+    numbered = placed.join(runs, F.col("conv").eqNullSafe(F.col("run_conv")) & (F.col("slice") == F.col("run_slice")))
+    return numbered.select(*rows.columns, F.floor((F.col("at") + F.col("shift")) / segment).cast("long").alias("seg"))
+
+
 def chat_turns(messages: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """messages (conv_id, turn, role, text, ...) -> a row per turn found.
 
@@ -173,19 +191,18 @@ def chat_turns(messages: DataFrame, segment: int = SEGMENT) -> DataFrame:
     first), then role, then text; repeated rows are lines of their own.  A role that is
     null or unknown only takes its hint away; null and empty texts are one empty line.  Rows
     whose conv_id is null form one conversation.  Other columns are not read; no rows give no rows.
-    Rows that share one turn number of one conversation are taken to be few.
     """
     rows = messages.select(
         F.col("conv_id").cast("string").alias("conv"), F.col("turn").cast("long").alias("turn"),
         F.lower(F.trim(F.col("role").cast("string"))).alias("role"), text_or_empty().alias("text"),
-    ).withColumn("seg", F.coalesce(F.floor(F.col("turn") / segment).cast("long"), F.lit(-(2**62))))
-    # Conversations with several segments are few, or long; the others take one step.
-    spans = rows.groupBy("conv").agg(F.min("seg").alias("low"), F.max("seg").alias("high"), F.count("*").alias("n"))
-    long = staged(spans.where("low < high").select(F.col("conv").alias("long_conv")), "long-conversations")
+    ).withColumn("dated", F.col("turn").isNotNull().cast("int"))
+    # Conversations of several segments are few, or long; the others take one step.
+    long = rows.groupBy("conv").count().where(F.col("count") > segment)
+    long = staged(long.select(F.col("conv").alias("long_conv")), "long-conversations")
     groups = parts_for(messages.count(), GROUP_ROWS)
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("conv", "seg"), F.lit(groups)))
+    part = F.pmod(F.xxhash64("conv", "seg"), F.lit(groups))
     same = F.col("conv").eqNullSafe(F.col("long_conv"))
-    short = dealt.join(long, same, "left_anti")
+    short = rows.join(long, same, "left_anti").withColumn("seg", F.lit(0).cast("long")).withColumn("part", part)
 
     def whole(table: pa.Table) -> pa.Table:
         out = []
@@ -196,7 +213,7 @@ def chat_turns(messages: DataFrame, segment: int = SEGMENT) -> DataFrame:
 
     found = short.groupBy("part").applyInArrow(whole, _TURNS)
     if long.limit(1).count():
-        parts = dealt.join(long, same, "left_semi")
+        parts = staged(in_segments(rows.join(long, same, "left_semi"), segment).withColumn("part", part), "long-conversation-rows")
 
         def matrices(table: pa.Table) -> pa.Table:
             out = [(conv, seg, segment_matrix(e).ravel().tolist(), _entered(e).tolist())

@@ -140,6 +140,23 @@ def test_chat_awkward_rows(spark):
     assert C.chat_turns(frame.limit(0)).count() == 0
 
 
+def test_no_segment_holds_more_rows_than_its_size(spark):
+    rng = np.random.default_rng(8)
+    pool = ["User: hello?", "Assistant: yes", "so it goes", "why?"]
+    rows = [(c, t, str(rng.choice(["user", "assistant"])), str(rng.choice(pool))) for c, t in [(None, None), ("a", None), ("b", 3)] for _ in range(200)]
+    rows += [("a", 1, "user", "once more?"), ("d", 0, None, "hi")]
+    frame = spark.createDataFrame(rows, "conv string, turn long, role string, text string")
+    cut = C.in_segments(frame.selectExpr("conv", "int(turn is not null) as dated", "turn", "role", "text"), 16).collect()
+    sizes = {}
+    for r in cut:
+        sizes.setdefault((r.conv, r.seg), []).append((r.dated, r.turn or 0, r.role or "", r.text))
+    assert sorted(tuple(str(x) for x in (r.conv, r.turn, r.role, r.text)) for r in cut) == sorted(tuple(map(str, r)) for r in rows)
+    for conv in (None, "a", "b", "d"):
+        own = [sizes[k] for k in sorted((k for k in sizes if k[0] == conv), key=lambda k: k[1])]
+        assert [len(s) for s in own[:-1]] == [16] * (len(own) - 1) and len(own[-1]) <= 16
+        assert [x for s in own for x in sorted(s)] == sorted(x for s in own for x in s)
+
+
 # Pipeline
 
 
