@@ -10,7 +10,9 @@ A long conversation is cut into segments of so many rows in its order.  A segmen
 summed up by a matrix, best score from any state before it to any state at its end, so
 a conversation of any length takes three steps: matrices of its segments, the best states
 at their borders, and the best path inside each segment between its borders.  Segments
-are dealt to tasks by hash; none holds a whole long conversation.
+are dealt to tasks by hash; none holds a whole long conversation.  Turns are numbered by
+prefix sums over the segments, and the pieces of a turn that crosses borders are joined
+before it is rendered, so the result does not depend on where segments end.
 """
 
 from __future__ import annotations
@@ -144,27 +146,57 @@ def _rows_by_segment(table: pa.Table):
 
 
 _TURNS = "conv string, seg long, turn_no long, role string, n_lines long, continued boolean, content string, rendered string"
+#: Pieces of turns as a segment has them; at_border: the turn may go on in the segment before or after.
+_PIECES = "conv string, seg long, place long, role string, n_lines long, continued boolean, at_border boolean, content string"
 
 
-def _turns(conv, seg, path: list[int], lines) -> list[tuple]:
+def _pieces(conv, seg, path: list[int], lines) -> list[tuple]:
     out, start = [], 0
     for k in range(1, len(path) + 1):
         if k == len(path) or path[k] % 2 == 0:
-            role = path[start] // 2
-            own = [without_marker(t) if n == 0 and path[start] % 2 == 0 else t for n, (t, _, _) in enumerate(lines[start:k])]
-            text = rendered(role, own)
-            out.append((conv, seg, len(out), ROLES[role], k - start, path[start] % 2 == 1, "\n".join(own).strip(), text))
+            continued = path[start] % 2 == 1
+            own = [without_marker(t) if n == 0 and not continued else t for n, (t, _, _) in enumerate(lines[start:k])]
+            out.append((conv, seg, len(out), ROLES[path[start] // 2], k - start, continued, continued or k == len(path), "\n".join(own)))
             start = k
     return out
 
 
-def _turn_table(rows: list[tuple]) -> pa.Table:
-    kinds = [("conv", pa.string()), ("seg", pa.int64()), ("turn_no", pa.int64()), ("role", pa.string()), ("n_lines", pa.int64()),
-             ("continued", pa.bool_()), ("content", pa.string()), ("rendered", pa.string())]
+def _piece_table(rows: list[tuple]) -> pa.Table:
+    kinds = [("conv", pa.string()), ("seg", pa.int64()), ("place", pa.int64()), ("role", pa.string()), ("n_lines", pa.int64()),
+             ("continued", pa.bool_()), ("at_border", pa.bool_()), ("content", pa.string())]
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in kinds]
     return pa.table({n: pa.array(c, t) for (n, t), c in zip(kinds, columns, strict=True)})
 
 
+def whole_turns(pieces: DataFrame) -> DataFrame:
+    """Pieces of the segments of long conversations -> whole turns, numbered from 0 in their conversation."""
+    opened = F.sum((~F.col("continued")).cast("long"))
+    starts = pieces.groupBy("conv", "seg").agg(opened.alias("n"), F.max(F.col("continued").cast("long")).alias("led"))
+    # The number of a segment's first piece: the turns before it, less one if it goes on with the last of these.
+    first = F.sum("n").over(Window.partitionBy("conv").orderBy("seg")) - F.col("n") - F.col("led")
+    starts = starts.select(F.col("conv").alias("start_conv"), F.col("seg").alias("start_seg"), first.alias("first"))
+    numbered = pieces.join(starts, F.col("conv").eqNullSafe(F.col("start_conv")) & (F.col("seg") == F.col("start_seg")))
+    numbered = numbered.withColumn("turn_no", F.col("first") + F.col("place"))
+    inner = numbered.where("not at_border").select("conv", "turn_no", "role", "n_lines", "content")
+    joined = numbered.where("at_border").groupBy("conv", "turn_no").agg(
+        F.array_sort(F.collect_list(F.struct("seg", "role", "n_lines", "content"))).alias("own")
+    )
+    lines = F.aggregate("own", F.lit(0).cast("long"), lambda n, x: n + x["n_lines"])
+    joined = joined.select("conv", "turn_no", F.col("own")[0]["role"].alias("role"), lines.alias("n_lines"), F.array_join("own.content", "\n").alias("content"))
+    return inner.unionByName(joined)
+
+
+def _rendered(batches):
+    for batch in batches:
+        conv, turn_no, role, n_lines, content = batch.columns
+        texts = [c.strip() for c in content.to_pylist()]
+        full = [rendered(ROLES.index(r), [t]) for r, t in zip(role.to_pylist(), texts, strict=True)]
+        n = batch.num_rows
+        constant = pa.array([0] * n, pa.int64()), pa.array([False] * n, pa.bool_())
+        columns = [conv, constant[0], turn_no, role, n_lines, constant[1], pa.array(texts, pa.string()), pa.array(full, pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, ["conv", "seg", "turn_no", "role", "n_lines", "continued", "content", "rendered"])
+
+
 def in_segments(rows: DataFrame, segment: int) -> DataFrame:
     """rows (conv, dated, turn, role, text) with seg: the row's number in its conversation's order over segment.
 
@@ -186,8 +218,8 @@ def in_segments(rows: DataFrame, segment: int) -> DataFrame:
 def chat_turns(messages: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """messages (conv_id, turn, role, text, ...) -> a row per turn found.
 
-    Columns: conv_id, seg, turn_no (from 0 in its segment), role, n_lines, continued (the turn
-    began in the segment before), content, rendered.  Lines come in order of turn (nulls
+    Columns: conv_id, seg (always 0), turn_no (from 0 in its conversation), role, n_lines, continued
+    (always false: turns are whole), content, rendered.  Lines come in order of turn (nulls
     first), then role, then text; repeated rows are lines of their own.  A role that is
     null or unknown only takes its hint away; null and empty texts are one empty line.  Rows
     whose conv_id is null form one conversation.  Other columns are not read; no rows give no rows.
@@ -208,10 +240,10 @@ def chat_turns(messages: DataFrame, segment: int = SEGMENT) -> DataFrame:
         out = []
         for conv, seg, texts, roles, _ in _rows_by_segment(table):
             lines = _lines(texts, roles)
-            out += _turns(conv, seg, best_path(emissions(lines), _FIRST, None), lines)
-        return _turn_table(out)
+            out += _pieces(conv, seg, best_path(emissions(lines), _FIRST, None), lines)
+        return _piece_table(out)
 
-    found = short.groupBy("part").applyInArrow(whole, _TURNS)
+    found = short.groupBy("part").applyInArrow(whole, _PIECES).select("conv", F.col("place").alias("turn_no"), "role", "n_lines", "content")
     if long.limit(1).count():
         parts = staged(in_segments(rows.join(long, same, "left_semi"), segment).withColumn("part", part), "long-conversation-rows")
 
@@ -249,11 +281,12 @@ def chat_turns(messages: DataFrame, segment: int = SEGMENT) -> DataFrame:
                 lines = _lines(texts, roles)
                 before, last = edge[(conv, seg)]
                 entry = _FIRST if before < 0 else _T[before]
-                out += _turns(conv, seg, best_path(emissions(lines), entry, last), lines)
-            return _turn_table(out)
+                out += _pieces(conv, seg, best_path(emissions(lines), entry, last), lines)
+            return _piece_table(out)
 
-        found = found.unionByName(bounded.groupBy("part").applyInArrow(inside, _TURNS))
-    return found.withColumnRenamed("conv", "conv_id")
+        pieces = staged(bounded.groupBy("part").applyInArrow(inside, _PIECES), "turn-pieces")
+        found = found.unionByName(whole_turns(pieces))
+    return found.mapInArrow(_rendered, _TURNS).withColumnRenamed("conv", "conv_id")
 
 
 def _entered(e: np.ndarray) -> np.ndarray:

@@ -157,6 +157,22 @@ def test_no_segment_holds_more_rows_than_its_size(spark):
         assert [x for s in own for x in sorted(s)] == sorted(x for s in own for x in s)
 
 
+def test_turns_do_not_depend_on_the_segment(spark):
+    rng = np.random.default_rng(6)
+    pool = ["User: hello?\nmore", "hi", "Assistant: yes", "so it goes\n\nlast", "why?", ""]
+    rows = [(c, k, str(rng.choice(["user", "assistant", "x"])), str(rng.choice(pool))) for c in ("long", None) for k in range(60)]
+    rows += [("one", k, "user", f"User: line {k}" if k == 0 else f"line {k}") for k in range(20)] + [("short", 0, None, "hi")]
+    # One turn over many rows: rows name no speaker and carry their lines in one text.
+    rows += [("turn", 0, "assistant", "Assistant: a"), ("turn", 1, "assistant", "\n".join(f"b{k}" for k in range(40)))]
+    frame = spark.createDataFrame(rows, "conv_id string, turn int, role string, text string")
+    key = lambda r: (r.conv_id or "", r.turn_no)
+    want = sorted(C.chat_turns(frame).collect(), key=key)
+    assert len({(r.conv_id, r.turn_no) for r in want}) == len(want)
+    for segment in (1, 2, 7, 16):
+        got = sorted(C.chat_turns(frame, segment=segment).collect(), key=key)
+        assert got == want and not any(r.continued for r in got)
+
+
 # Pipeline
 
 
