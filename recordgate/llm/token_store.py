@@ -7,19 +7,20 @@ dictionary as packed deltas and puts an index over every page.  Readers of metad
 touch the small columns only, readers of some documents only pages in their range.
 
 Splitting into words is what a byte-level tokenizer spends most of its time on.
-Texts made of plain letters and single spaces are therefore cut at the spaces, and the
-library's vocabulary encodes each distinct piece once for a worker; any other text
+Texts made of plain letters and single spaces are therefore split by their bytes, many
+texts at once: Arrow numbers the distinct pieces, the library's vocabulary encodes each
+of these once for a worker, and the lists are dealt back by number.  Any other text
 goes through the library whole.
 """
 
 from __future__ import annotations
 
 import re
-import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,11 +32,27 @@ END = 2
 ROW_GROUP = 16 << 20
 PAGE = 256 << 10
 #: Pieces that a worker remembers: the first ones it meets, among which the frequent ones are.
-KNOWN = 200_000
+KNOWN = 300_000
+#: Bytes of text that are split at once.
+STEP = 8 << 20
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(rf"[{_LETTERS}0-9\n!-/:-@\[-`{{-~ ]*")
-_PIECES = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
+_BLANK, _LINE, _LETTER, _DIGIT, _SIGN = range(5)
+
+
+def _kinds() -> np.ndarray:
+    """What each byte of a plain text is; bytes beyond ASCII belong to letters there."""
+    kinds = np.full(256, _SIGN, np.uint8)
+    kinds[ord(" ")], kinds[ord("\n")] = _BLANK, _LINE
+    for low, high in ("AZ", "az"):
+        kinds[ord(low) : ord(high) + 1] = _LETTER
+    kinds[128:] = _LETTER
+    kinds[ord("0") : ord("9") + 1] = _DIGIT
+    return kinds
+
+
+_KINDS = _kinds()
 
 
 def _byte_letters() -> dict[int, str]:
@@ -52,16 +69,34 @@ def _plain(text: str) -> bool:
     return text.replace("\n", "").isprintable() if text.isascii() else _PLAIN.fullmatch(text) is not None
 
 
-class _Remembered(dict):
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
+def piece_starts(octets: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Where the tokenizer's pieces start in plain texts put end to end; texts are the starts of the texts.
 
-    def __missing__(self, key: str) -> bytes:
-        value = self.make(key)
-        if len(self) < KNOWN:
-            self[key] = value
-        return value
+    A piece is a run of letters, digits or signs with the blank before it, a run of line ends, or
+    after letters, digits or a line end an apostrophe with s, t, re, ve, m, ll or d.
+    """
+    n = len(octets)
+    kind = _KINDS[octets]
+    start = np.ones(n, bool)
+    start[1:] = (kind[1:] != kind[:-1]) & (kind[:-1] != _BLANK)
+    start |= kind == _BLANK
+    first = np.zeros(n + 1, bool)
+    first[texts], first[n] = True, True
+    start |= first[:n]
+    # Of several line ends before something else the last one stands alone.
+    line = np.flatnonzero(kind == _LINE)
+    line = line[(line > 0) & (line < n - 1)]
+    line = line[(kind[line - 1] == _LINE) & (kind[line + 1] != _LINE) & ~first[line + 1]]
+    start[line] = True
+    for i in np.flatnonzero((octets == ord("'")) & start).tolist():
+        tail = bytes(octets[i + 1 : i + 3])
+        ended = first[i + 1 : i + 3].tolist()
+        long = tail in (b"re", b"ve", b"ll") and not any(ended)
+        if long or (tail[:1] in (b"s", b"t", b"m", b"d") and not ended[0]):
+            start[i + 1] = False
+            if i + 2 + long < n:
+                start[i + 2 + long] = True
+    return np.flatnonzero(start)
 
 
 class Encoder:
@@ -84,24 +119,44 @@ class Encoder:
         self.letters = _byte_letters()
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         before = self.whole.pre_tokenizer
-        # Cutting at spaces is right for the plain byte-level kind only.
-        self.cuts = isinstance(before, ByteLevel) and self.whole.normalizer is None and not before.add_prefix_space
-        self.pieces = _Remembered(self._piece)
-        self.chunks = _Remembered(lambda chunk: self._chunk(" " + chunk))
+        # Splitting by bytes is right for the plain byte-level kind only.
+        self.splits = isinstance(before, ByteLevel) and self.whole.normalizer is None and not before.add_prefix_space and before.use_regex
+        self.known: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, _PIECES.findall(chunk)))
-
-    def ids(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if self.cuts and _plain(text) and not any(s in text for s in self.special):
-            first, *rest = text.split(" ")
-            return self._chunk(first) + b"".join(map(self.chunks.__getitem__, rest))
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self.known.get(piece)
+        if ids is None:
+            tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
+            ids = np.array([t.id for t in tokens], "<u4").tobytes()
+            if len(self.known) < KNOWN:
+                self.known[piece] = ids
+        return ids
+
+    def _plain_lists(self, texts: pa.Array, end: int) -> pa.ListArray:
+        """Ids and end of each plain text."""
+        edges = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset :][: len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+        octets = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
+        edges = edges - edges[0]
+        starts = piece_starts(octets, edges[:-1]) if len(octets) else np.zeros(0, np.int64)
+        bounds = np.append(starts, len(octets)).astype(np.int32)
+        pieces = pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(octets)).dictionary_encode()
+        lists = _lists([self._piece(p) for p in pieces.dictionary.to_pylist()]).take(pieces.indices)
+        first = np.searchsorted(starts, edges)  # the first piece of each text
+        ends = lists.offsets.to_numpy()[first]
+        values = np.insert(lists.values.to_numpy(), ends[1:], np.int32(end))
+        return pa.ListArray.from_arrays(pa.array((ends + np.arange(len(ends))).astype(np.int32)), pa.array(values))
+
+    def lists(self, texts: pa.Array, end: int) -> pa.ListArray:
+        """Ids of each text with the end id after them; texts are not null."""
+        strings = texts.to_pylist()
+        plain = np.array([self.splits and _plain(t) and not any(s in t for s in self.special) for t in strings], bool)
+        if plain.all():
+            return self._plain_lists(texts, end)
+        tail = np.array([end], "<u4").tobytes()
+        other = [np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() + tail for t, p in zip(strings, plain, strict=True) if not p]
+        both = pa.concat_arrays([self._plain_lists(texts.filter(pa.array(plain)), end), _lists(other)])
+        place = np.where(plain, np.cumsum(plain) - 1, plain.sum() + np.cumsum(~plain) - 1)
+        return both.take(pa.array(place))
 
 
 _STORE = "doc_id long, n_tokens long, n_chars long, ids array<int>"
@@ -121,19 +176,21 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = END) ->
     share is dealt to several files.  Repeated rows are repeated; other columns are
     left out; no rows give an empty store.
     """
-    tail = np.array([end], "<u4").tobytes()
 
     def run(batches):
         encoder = Encoder.of(tokenizer)
         for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                part = batch.slice(low, 500)
-                texts = part.column(1).to_pylist()
-                ids = [encoder.ids(t) + tail for t in texts]
+            edges = np.cumsum(np.r_[0, pc.binary_length(batch.column(1)).to_numpy()])
+            low = 0
+            while low < batch.num_rows:
+                high = max(low + 1, int(np.searchsorted(edges, edges[low] + STEP, "right")) - 1)
+                part = batch.slice(low, high - low)
+                ids = encoder.lists(part.column(1), end)
+                chars = pc.utf8_length(part.column(1)).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([len(t) for t in texts], pa.int64()), _lists(ids)],
-                    ["doc_id", "n_tokens", "n_chars", "ids"],
+                    [part.column(0), pc.list_value_length(ids).cast(pa.int64()), chars, ids], ["doc_id", "n_tokens", "n_chars", "ids"]
                 )
+                low = high
 
     slim = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), F.xxhash64(text_or_empty()).alias("h"))
     dealt = slim.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
@@ -160,8 +217,10 @@ def with_starts(rows: DataFrame, store: DataFrame) -> DataFrame:
     Files are added up among themselves (a row for each), from the small columns alone;
     rows are added up only inside their file.
     """
+    # Files are numbered by the writer; as names, numbers of six digits would come before those of five.
+    number = F.regexp_extract("file", r"^part-(\d+)", 1).cast("long")
     files = store.groupBy("file").agg(F.sum("n_tokens").alias("file_tokens"))
-    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("file", F.coalesce(F.sum("file_tokens").over(earlier), F.lit(0)).alias("file_start"))
     inside = Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("start", F.sum("n_tokens").over(inside) - F.col("n_tokens")).join(files, "file").withColumn(

@@ -5,6 +5,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from recordgate.llm import source_mixing as M
@@ -150,7 +151,25 @@ def test_encoder_on_odd_texts():
         "tab\tand\rreturn", "emoji \U0001f600 中文", "<|endoftext|> x", "a b", "a\x1cb", "!!! ... ,,'s", "end.\nNext line's", "word" * 500, "\x00\x01",
     ]
     encoder = S.Encoder(tokenizer_path())
-    assert [np.frombuffer(encoder.ids(t), "<u4").tolist() for t in texts] == plain_ids(texts)
+    want = [[*ids, 2] for ids in plain_ids(texts)]
+    assert encoder.lists(pa.array(texts), 2).to_pylist() == want
+    plain = [k for k, t in enumerate(texts) if S._plain(t) and "<|" not in t]
+    assert len(plain) > 8
+    assert encoder.lists(pa.array(["no", *(texts[k] for k in plain), ""]).slice(1), 2).to_pylist() == [*(want[k] for k in plain), [2]]
+
+
+def test_encoder_on_random_texts():
+    rng = np.random.default_rng(8)
+    parts = [*"abstremvldABZ019é.,'’-!? \n", "'s", "'re", "'ll", "\n\n", " '", "don't", "\t", "  ", "中"]
+    odds = np.r_[np.ones(len(parts) - 3), [0.01, 0.05, 0.01]]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 30), p=odds / odds.sum())) for _ in range(4000)]
+    assert S.Encoder(tokenizer_path()).lists(pa.array(texts), 2).to_pylist() == [[*ids, 2] for ids in plain_ids(texts)]
+
+
+def test_pieces_forgotten_are_encoded_again(monkeypatch):
+    monkeypatch.setattr(S, "KNOWN", 2)
+    texts = ["some words here and some there", "words and here"] * 3
+    assert S.Encoder(tokenizer_path()).lists(pa.array(texts), 2).to_pylist() == [[*ids, 2] for ids in plain_ids(texts)]
 
 
 def test_token_store_awkward_rows(spark):
