@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chat_roles import chat_turns
+from .chat_roles import chat_turns, fit_roles, transcripts
 from .decontamination import flagged
 from .license_scan import license_scan, license_sql
 from .shared import load
@@ -61,7 +61,8 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_turns(load(spark, sf_dir, "conversations"))
+    rows = transcripts(load(spark, sf_dir, "conversations"))
+    return chat_turns(rows, fit_roles(rows))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
