@@ -1,16 +1,18 @@
 """Toxicity by a support vector machine over a gapped string kernel, with Nystrom landmarks.
 
-The kernel of two strings counts their common subsequences of three characters, each
-weighted by decay to the power of the stretch it spans, at most five characters; so
-an insult with a character put in or left out still resembles it.  A sentence meets a
-landmark by its best word (runs of single characters count as one word).
-
-Fitting reads a bounded sample of labelled documents.  Labels belong to documents, so
-sentences get theirs by what sets the two kinds of documents apart: strings that many
-toxic and hardly any other documents contain become the landmarks, sentences of toxic
-documents that hold one are the toxic ones, all sentences of other documents are
-clean.  A linear machine is trained on the landmark features, whitened by the kernel
-between landmarks, and its margins are turned into probabilities on the documents.
+The kernel of two words counts their common subsequences of three signs, start and end of the
+word being signs too, each weighted by decay to the power of the stretch it spans, at most five
+signs; so an insult with a character put in or left out still resembles it.  Runs of single
+characters count as one word.
+
+Fitting reads a bounded sample of labelled documents.  Landmarks are words of sentences of
+toxic documents, taken by pivoted Cholesky steps on their kernel: each time the word where
+what is left of the kernel tells toxic from clean documents best.  The machine works on the
+landmark features, whitened by the kernel between landmarks; a sentence has the margin of its
+greatest word.  Labels belong to documents, so sentences get theirs in rounds: the best
+sentence of a toxic document is toxic, all sentences of other documents are clean, the machine is
+trained, and best sentences and words are taken anew.  A document's score is its sentences'
+margins, turned into a probability; nothing else enters it.
 
 Scoring is one narrow pass.  Sums of landmark weights per subsequence bound what a word
 can reach, so the kernel is worked out only for words that may resemble a landmark;
@@ -19,7 +21,6 @@ the bound is never below the kernel, so nothing is lost.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from dataclasses import dataclass
 
@@ -30,22 +31,24 @@ from pyspark.sql import functions as F
 
 from .shared import packed, row_columns, text_or_empty
 
-#: Labelled documents that fitting reads, toxic and clean each.
-SAMPLE = 2000
-LANDMARKS = 96
-DECAY = 0.7
+#: Labelled documents that fitting reads, toxic and clean each, and characters of each at most: longer ones are not read.
+SAMPLE, FIT_CHARS = 2000, 20_000
+#: Words that landmarks are chosen from, landmarks, and words of clean sentences that the machine is trained on, the worst ones.
+POOL, LANDMARKS, NEGATIVES = 1200, 48, 12_000
+#: Rounds in which sentences of toxic documents get their labels, cost of a miss, and the margin from which on all words of theirs count as toxic.
+ROUNDS, COST, POSITIVE = 2, 3.0, 0.5
+DECAY, POWER = 0.7, 2
 #: Below this resemblance a word counts as not resembling the landmark.
-LEAST = 0.55
+LEAST = 0.3
+#: Added to the kernel between landmarks before it is inverted, and words that a worker remembers.
+RIDGE, KNOWN = 0.1, 300_000
 THRESHOLD = 0.7
-#: Steps of closeness that count as kinds of their own.
-_CLOSE = np.array([0.0, 0.65, 0.8, 0.95])
 _GAPS = ((1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4))
 _STEP = 512 << 10
-_SENTENCE = re.compile(r"[.!?\n]+")
 
 
 def _alphabet() -> np.ndarray:
-    """Codes of bytes: 0 blank, 63 other signs, 1 to 62 letters; digits and signs that stand for letters count as these."""
+    """Codes of bytes: 0 blank, 63 other signs, 1 to 61 letters; digits and signs that stand for letters count as these."""
     codes = np.full(256, 63, np.uint8)
     codes[[32, 9, 10, 11, 12, 13]] = 0
     for k, c in enumerate("abcdefghijklmnopqrstuvwxyz"):
@@ -54,25 +57,25 @@ def _alphabet() -> np.ndarray:
         codes[48 + k] = 27 + k
     for sign, letter in zip("013457@$", "oieastas", strict=True):
         codes[ord(sign)] = codes[ord(letter)]
-    codes[128:] = 37 + np.arange(128) % 26
+    codes[128:] = 37 + np.arange(128) % 25
     return codes
 
 
 _CODES = _alphabet()
 _LETTER = (_CODES > 0) & (_CODES < 63)
+_START, _END, _OTHER = 0, 62, 63
 
 
 def features(word: bytes) -> dict[int, float]:
-    """Weights of the subsequences of a word."""
-    c = _CODES[np.frombuffer(word, np.uint8)].tolist()
+    """Weights of the subsequences of a word with its start and end."""
+    c = [_START, *_CODES[np.frombuffer(word, np.uint8)].tolist(), _END]
+    c = [_OTHER if x == 0 and k else x for k, x in enumerate(c)]
     found: dict[int, float] = {}
     for i in range(len(c)):
         for a, b in _GAPS:
-            if i + b < len(c):
-                x, y, z = c[i], c[i + a], c[i + b]
-                if 0 < x < 63 and 0 < y < 63 and 0 < z < 63:
-                    key = x << 12 | y << 6 | z
-                    found[key] = found.get(key, 0.0) + DECAY ** (b + 1)
+            if i + b < len(c) and _OTHER not in (c[i], c[i + a], c[i + b]):
+                key = c[i] << 12 | c[i + a] << 6 | c[i + b]
+                found[key] = found.get(key, 0.0) + DECAY ** (b + 1)
     return found
 
 
@@ -80,7 +83,7 @@ def kernel(a: bytes, b: bytes) -> float:
     """Resemblance of two strings, 0 to 1."""
     x, y = features(a), features(b)
     norm = sum(v * v for v in x.values()) * sum(v * v for v in y.values())
-    return sum(v * y[k] for k, v in x.items() if k in y) / norm**0.5 if norm else 0.0
+    return (sum(v * y[k] for k, v in x.items() if k in y) / norm**0.5) ** POWER if norm else 0.0
 
 
 @dataclass
@@ -96,7 +99,8 @@ class Words:
 
 def split_words(texts: list[str]) -> Words:
     parts = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
-    data = b"\n".join(parts)
+    # A blank before the first word too, as its start.
+    data = b"\n" + b"\n".join(parts)
     octets = np.frombuffer(data, np.uint8)
     codes = _CODES[octets]
     edge = np.diff(np.concatenate([[True], codes == 0, [True]]).astype(np.int8))
@@ -108,83 +112,97 @@ def split_words(texts: list[str]) -> Words:
         joins = single[:-1] & single[1:] & (starts[1:] - ends[:-1] == 1)
         starts, ends = starts[np.concatenate([[True], ~joins])], ends[np.concatenate([~joins, [True]])]
     stops = np.flatnonzero((octets == 46) | (octets == 33) | (octets == 63) | (octets == 10))
-    text = np.searchsorted(np.cumsum([len(p) + 1 for p in parts]), starts, "right")
+    text = np.searchsorted(np.cumsum([len(p) + 1 for p in parts]), starts - 1, "right")
     # A stop inside a word does not end its sentence before the word does.
     return Words(data, starts, ends, text, np.searchsorted(stops, starts, "right"))
 
 
+def weighed(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """features() of many words at once: numbers of words, keys, weights; each key once for a word."""
+    data = np.frombuffer(b"".join(b" " + w + b" " for w in words) + b" " * 4, np.uint8)
+    codes = _CODES[data].astype(np.int64)
+    lengths = np.array([len(w) + 2 for w in words], np.int64)
+    ends = np.cumsum(lengths)
+    codes[codes == 0] = _OTHER
+    codes[ends - lengths], codes[ends - 1] = _START, _END
+    n = int(ends[-1]) if len(ends) else 0
+    owner = np.repeat(np.arange(len(words)), lengths)
+    room = np.repeat(ends, lengths) - np.arange(n)
+    x = codes[:n]
+    keys, values = [], []
+    for a, b in _GAPS:
+        y, z = codes[a : n + a], codes[b : n + b]
+        good = np.flatnonzero((room > b) & (x != _OTHER) & (y != _OTHER) & (z != _OTHER))
+        keys.append(owner[good] << 18 | x[good] << 12 | y[good] << 6 | z[good])
+        values.append(np.full(len(good), DECAY ** (b + 1)))
+    key, place = np.unique(np.concatenate(keys), return_inverse=True)
+    return key >> 18, key & (1 << 18) - 1, np.bincount(place, np.concatenate(values), len(key))
+
+
 class Landmarks:
     """Landmark strings, their subsequence weights, and the whitening of their kernel."""
 
     def __init__(self, strings: list[bytes]):
         self.strings = strings
-        rows = [features(s) for s in strings]
-        norms = [sum(v * v for v in r.values()) ** 0.5 for r in rows]
-        keys = sorted({k for r in rows for k in r})
+        owner, key, value = weighed(strings)
+        norm = np.sqrt(np.bincount(owner, value**2, len(strings)))
+        keys = np.unique(key)
         self.column = np.full(1 << 18, -1, np.int32)
         self.column[keys] = np.arange(len(keys))
         self.table = np.zeros((len(strings), len(keys)))
-        for i, (r, n) in enumerate(zip(rows, norms, strict=True)):
-            for k, v in r.items():
-                self.table[i, self.column[k]] = v / n
+        self.table[owner, self.column[key]] = value / norm[owner]
         self.bound = np.zeros(1 << 18, np.float32)
-        if keys:
-            self.bound[keys] = self.table.max(0)
-        grown = self.table @ self.table.T + 1e-3 * np.eye(len(strings))
-        values, vectors = np.linalg.eigh(grown)
-        self.white = vectors @ np.diag(np.maximum(values, 1e-6) ** -0.5) @ vectors.T
-        self.known: dict[bytes, np.ndarray | None] = {}
-
-    def resemblance(self, word: bytes) -> np.ndarray | None:
-        """Kernel of a word with every landmark, values below LEAST as 0; None if all are."""
-        if word not in self.known:
-            if len(self.known) > 200_000:
-                self.known.clear()
-            own = features(word)
-            norm = sum(v * v for v in own.values()) ** 0.5
-            result = np.zeros(len(self.strings))
-            for k, v in own.items():
-                if self.column[k] >= 0:
-                    result += self.table[:, self.column[k]] * (v / norm)
-            result[result < LEAST] = 0.0
-            self.known[word] = result if result.any() else None
-        return self.known[word]
+        self.bound[keys] = self.table.max(0, initial=0)
+        values, vectors = np.linalg.eigh((self.table @ self.table.T) ** POWER + RIDGE * np.eye(len(strings)))
+        self.white = vectors @ np.diag(values**-0.5) @ vectors.T
+
+    def resemblances(self, words: list[bytes]) -> np.ndarray:
+        """Kernel of each word with every landmark, values below LEAST as 0."""
+        result = np.zeros((len(words), len(self.strings)))
+        for low in range(0, len(words), 1000):
+            part = words[low : low + 1000]
+            owner, key, value = weighed(part)
+            norm = np.sqrt(np.bincount(owner, value**2, len(part)))
+            column = self.column[key]
+            on = column >= 0
+            dense = np.bincount(owner[on] * self.table.shape[1] + column[on], value[on], len(part) * self.table.shape[1])
+            result[low : low + 1000] = (dense.reshape(len(part), -1) @ self.table.T / np.maximum(norm, 1e-300)[:, None]) ** POWER
+        result[result < LEAST] = 0.0
+        return result
 
     def candidates(self, words: Words) -> np.ndarray:
         """Words that may resemble a landmark: the sum of bounds is not below LEAST times the least norm of such a word."""
+        if not len(words.starts):
+            return words.starts
         octets = np.frombuffer(words.data, np.uint8)
-        codes = np.zeros(len(octets) + 4, np.int32)
-        codes[: len(octets)] = _CODES[octets]
         n = len(octets)
-        lengths = words.ends - words.starts
-        room = np.zeros(n, np.int64)
+        codes = np.zeros(n + 5, np.int32)
+        codes[:n] = _CODES[octets]
+        # The blank before a word is its start, as the first of three, and the one after it its end, as a later one.
+        later = codes.copy()
+        later[words.ends] = _END
+        starts, lengths = words.starts - 1, words.ends - words.starts + 1
         for_word = np.repeat(np.arange(len(lengths)), lengths)
-        inside = np.arange(len(for_word)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(words.starts, lengths)
-        room[inside] = words.ends[for_word] - inside
-        total = np.zeros(n, np.float32)
+        inside = np.arange(len(for_word)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + starts[for_word]
+        room = words.ends[for_word] + 1 - inside
+        total = np.zeros(len(inside), np.float32)
+        first = codes[inside] << 12
         for a, b in _GAPS:
-            triple = codes[:n] << 12 | codes[a : n + a] << 6 | codes[b : n + b]
+            triple = first | later[inside + a] << 6 | later[inside + b]
             total += np.where(room > b, self.bound[triple], np.float32(0)) * np.float32(DECAY ** (b + 1))
-        sums = np.add.reduceat(total, words.starts) if len(lengths) else np.zeros(0)
-        # Each letter triple in a row adds its own square to a word's norm; other signs only take from it.
-        letters = np.add.reduceat(_LETTER[octets].astype(np.int64), words.starts) if len(lengths) else np.zeros(0, np.int64)
-        plain = letters >= lengths  # words with other signs in them are always looked at if anything matches
-        squares = np.maximum(lengths - 2, 0) * DECAY**6 + 2 * np.maximum(lengths - 3, 0) * DECAY**8 + 3 * np.maximum(lengths - 4, 0) * DECAY**10
-        return np.flatnonzero((sums > 0) & (sums >= 0.999 * LEAST * np.where(plain, squares, 0.0) ** 0.5))
-
-    def sentences(self, texts: list[str]):
-        """(text, features) of every sentence that resembles a landmark, features from its best word for each; and words of each text."""
+        sums = np.add.reduceat(total, np.cumsum(lengths) - lengths)
+        # Each triple in a row adds its own square to a word's norm; other signs only take from it.
+        letters = np.add.reduceat(_LETTER[octets[inside]].astype(np.int64), np.cumsum(lengths) - lengths)
+        plain = letters >= lengths - 1  # words with other signs in them are always looked at if anything matches
+        squares = np.maximum(lengths - 1, 0) * DECAY**6 + 2 * np.maximum(lengths - 2, 0) * DECAY**8 + 3 * np.maximum(lengths - 3, 0) * DECAY**10
+        return np.flatnonzero((sums > 0) & (sums >= 0.999 * LEAST ** (1 / POWER) * np.where(plain, squares, 0.0) ** 0.5))
+
+    def places(self, texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Words of texts that may resemble a landmark, each with its text and its sentence."""
         words = split_words(texts)
-        counts = np.bincount(words.text, minlength=len(texts))
-        best: dict[tuple[int, int], np.ndarray] = {}
-        for i in self.candidates(words).tolist():
-            found = self.resemblance(words.data[words.starts[i] : words.ends[i]])
-            if found is not None:
-                key = (int(words.text[i]), int(words.sentence[i]))
-                best[key] = np.maximum(best[key], found) if key in best else found
-        if not best:
-            return np.zeros(0, np.int64), np.zeros((0, len(self.strings))), counts
-        return np.array([t for t, _ in best]), np.stack(list(best.values())), counts
+        maybe = self.candidates(words)
+        own = [words.data[s:e] for s, e in zip(words.starts[maybe].tolist(), words.ends[maybe].tolist(), strict=True)]
+        return own, words.text[maybe], words.sentence[maybe]
 
 
 @dataclass
@@ -194,155 +212,153 @@ class Model:
     landmarks: Landmarks
     weights: np.ndarray
     bias: float
-    #: What a sentence says for its document, by the landmark it resembles most and how closely: log of how much oftener that is so in toxic ones.
-    evidence: np.ndarray
+    #: Weights of the columns of summary.
     scale: np.ndarray
-
-    def hits(self, texts: list[str]):
-        """Sentences that resemble a landmark: their texts, kinds (nearest landmark and closeness) and margins; and words of each text."""
-        found, words, low = [], np.zeros(len(texts)), 0
+    known: dict[bytes, float]
+
+    def margin(self, words: list[bytes]) -> np.ndarray:
+        """Of each word; what resembles no landmark has the bias."""
+        new = sorted({w for w in words if w not in self.known})
+        if len(self.known) + len(new) > KNOWN:
+            self.known.clear()
+            new = sorted(set(words))
+        self.known.update(zip(new, (self.landmarks.resemblances(new) @ self.landmarks.white @ self.weights + self.bias).tolist(), strict=True))
+        return np.array([self.known[w] for w in words])
+
+    def sentences(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sentences with a word that may resemble a landmark: their texts and margins.  All others have the margin bias."""
+        text, margin, low = [], [], 0
         while low < len(texts):
             high, size = low, 0
             while high < len(texts) and (high == low or size + len(texts[high]) <= _STEP):
                 size += len(texts[high])
                 high += 1
-            text, near, words[low:high] = self.landmarks.sentences(texts[low:high])
-            margin = near @ self.landmarks.white @ self.weights + self.bias
-            kind = near.argmax(1) * len(_CLOSE) + np.searchsorted(_CLOSE, near.max(1), "right") - 1 if len(near) else text
-            found.append((text + low, kind, margin))
+            words, owner, sentence = self.landmarks.places(texts[low:high])
+            if words:
+                new = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (sentence[1:] != sentence[:-1])])
+                text.append(owner[new] + low), margin.append(np.maximum.reduceat(self.margin(words), new))
             low = high
-        empty = np.zeros(0, np.int64)
-        text, kind, margin = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (empty, empty, empty.astype(float))
-        return text, kind, margin, words
+        return (np.concatenate(text), np.concatenate(margin)) if text else (np.zeros(0, np.int64), np.zeros(0))
 
     def summary(self, texts: list[str]) -> np.ndarray:
-        """For each text the evidence of its sentences, in all and a hundred words, and its greatest margin."""
-        text, kind, margin, words = self.hits(texts)
-        total, most = np.zeros(len(texts)), np.full(len(texts), -1.0)
-        np.add.at(total, text, self.evidence[kind])
+        """For each text its greatest margin, the sum of the positive ones of its sentences, that for a hundred words, and 1."""
+        text, margin = self.sentences(texts)
+        most, total = np.full(len(texts), self.bias), np.zeros(len(texts))
         np.maximum.at(most, text, margin)
-        total = np.maximum(total, 0)
-        return np.stack([np.log1p(total), np.log1p(100 * total / np.maximum(words, 50)), np.clip(most, -1, 2), np.ones(len(texts))], 1)
+        np.add.at(total, text, np.maximum(margin, 0))
+        words = np.array([max(t.count(" ") + t.count("\n") + 1, 30) for t in texts], float)
+        return np.stack([np.clip(most, -3, 3), np.log1p(total), np.log1p(100 * total / words), np.ones(len(texts))], 1)
 
     def score(self, texts: list[str]) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-np.clip(self.summary(texts) @ self.scale, -40, 40)))
 
 
-def distinctive(toxic: list[str], clean: list[str], most: int) -> list[bytes]:
-    """Strings that begin words of toxic texts far oftener than of clean ones, chosen greedily to cover the toxic ones.
-
-    Texts are gone through again rather than kept as counters, which would be many times their size.
-    """
-    in_toxic, in_clean, holders = Counter(), Counter(), Counter()
-    total = [1, 1]
-    for text in toxic:
-        own = _strings(text)
-        total[0] += own.pop(b"", 0)
-        in_toxic.update(own)
-        holders.update(own.keys())
-    often = max(3, len(toxic) // 200)
-    in_toxic = {s: n for s, n in in_toxic.items() if holders[s] >= often}
-    del holders
-    for text in clean:
-        own = _strings(text)
-        total[1] += own.pop(b"", 0)
-        in_clean.update({s: n for s, n in own.items() if s in in_toxic})
-    good = {s for s, n in in_toxic.items() if n / total[0] >= 10 * (in_clean[s] + 0.5) / total[1]}
-    where: dict[bytes, dict[int, int]] = {s: {} for s in good}
-    for k, text in enumerate(toxic):
-        own = _strings(text)
-        for s in own.keys() & good:
-            where[s][k] = min(own[s], 4)
-    chosen: list[bytes] = []
-    covered = Counter()
-    while len(chosen) < most and where:
-        gain = {s: sum(n / (1 + covered[k]) for k, n in docs.items()) for s, docs in where.items()}
-        best = max(gain, key=lambda s: (round(gain[s], 6), len(s), s))
-        if gain[best] < often:
-            break
-        chosen.append(best)
-        for k, n in where[best].items():
-            covered[k] += n
-        # Longer and shorter forms of it say nothing new.
-        where = {s: d for s, d in where.items() if not s.startswith(best) and not best.startswith(s) and kernel(s, best) < 0.8}
-    return chosen
-
+def pool_of_words(toxic: list[str], clean: list[str], most: int = POOL) -> tuple[list[bytes], np.ndarray]:
+    """Words of sentences that several toxic texts hold, and by how much more of these than of clean ones they are held."""
+    held = []
+    for texts in (toxic, clean):
+        counts: Counter = Counter()
+        for low in range(0, len(texts), 50):
+            words = split_words(texts[low : low + 50])
+            own = {(t, words.data[s:e].strip(b".,;:!?\"'()[]{}*#%&$-_")) for t, s, e in zip(words.text.tolist(), words.starts.tolist(), words.ends.tolist(), strict=True)}
+            counts.update(w for _, w in own if 3 <= len(w) <= 40 and (len(held) == 0 or w in held[0]))
+        held.append(counts if held else {w: n for w, n in counts.items() if n >= max(3, len(toxic) // 200)})
+    more = {w: n / len(toxic) - held[1][w] / len(clean) for w, n in held[0].items()}
+    chosen = sorted(sorted((w for w in more if features(w)), key=lambda w: (-abs(more[w]), w))[:most])
+    return chosen, np.array([more[w] for w in chosen])
 
-def _strings(text: str) -> Counter:
-    """Words of a text without signs at their ends, and their beginnings of four characters and more; the empty string counts words."""
-    found = Counter()
-    for word in text.lower().split():
-        word = word.strip(".,;:!?\"'()[]{}*#%&$-_")
-        found[b""] += 1
-        found.update(word[:k].encode("utf-8", "surrogatepass") for k in range(4, min(len(word), 12) + 1))
-    return found
 
+def train_machine(positive: np.ndarray, negative: np.ndarray, often: np.ndarray, seldom: np.ndarray, cost: float = COST) -> tuple[np.ndarray, float]:
+    """Linear support vector machine (squared hinge loss) by Newton's method, on rows that count often and seldom times.
 
-def train_machine(x: np.ndarray, y: np.ndarray, rounds: int = 40, cost: float = 1.0, seed: int = 5) -> tuple[np.ndarray, float]:
-    """Linear support vector machine by dual coordinate descent; both kinds weigh the same in all."""
-    x1 = np.hstack([x, np.ones((len(x), 1))])
-    limit = np.where(y > 0, cost * len(y) / (2 * max((y > 0).sum(), 1)), cost * len(y) / (2 * max((y < 0).sum(), 1)))
-    alpha, w, square = np.zeros(len(y)), np.zeros(x1.shape[1]), (x1**2).sum(1)
-    rng = np.random.default_rng(seed)
-    for _ in range(rounds):
-        for i in rng.permutation(len(y)):
-            new = min(max(alpha[i] - (y[i] * (x1[i] @ w) - 1) / square[i], 0.0), limit[i])
-            if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x1[i]
-                alpha[i] = new
+    Both kinds weigh the same in all.
+    """
+    x1 = np.concatenate([positive, negative])
+    x1 = np.hstack([x1, np.ones((len(x1), 1))])
+    y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
+    weight = cost * np.r_[often / often.sum(), seldom / seldom.sum()] * len(positive)
+    w, ridge = np.zeros(x1.shape[1]), np.eye(x1.shape[1])
+    value = lambda v: 0.5 * v @ v + (weight * np.maximum(1 - y * (x1 @ v), 0) ** 2).sum()
+    now = value(w)
+    for _ in range(50):
+        miss = 1 - y * (x1 @ w)
+        on = miss > 0
+        gradient = w - 2 * x1[on].T @ (weight[on] * y[on] * miss[on])
+        step = np.linalg.solve(ridge + 2 * x1[on].T @ (x1[on] * weight[on, None]), gradient)
+        size = 1.0
+        while size > 1e-4 and value(w - size * step) > now:
+            size /= 2
+        w = w - size * step
+        before, now = now, value(w)
+        if before - now <= 1e-8 * abs(before):
+            break
     return w[:-1], float(w[-1])
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights of the columns of x, by Newton's method with a small penalty."""
+    """Weights of the columns of x, by Newton's method with a small penalty; the lesser kind weighs more, by the root of what it lacks."""
+    weight = np.where(y > 0, 1.0, ((y > 0).sum() / max((y < 0).sum(), 1)) ** 0.5)
     t = np.where(y > 0, 1.0 - 1e-3, 1e-3)
     b = np.zeros(x.shape[1])
     for _ in range(60):
         p = 1.0 / (1.0 + np.exp(-np.clip(x @ b, -40, 40)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 1e-2 * np.eye(len(b)), x.T @ (p - t) + 1e-2 * b)
+        step = np.linalg.solve(x.T @ (x * (weight * p * (1 - p))[:, None]) + 1e-2 * np.eye(len(b)), x.T @ (weight * (p - t)) + 1e-2 * b)
         b -= step
         if np.abs(step).max() < 1e-9:
             break
     return b
 
 
+def chosen_landmarks(toxic: list[str], clean: list[str], most: int) -> list[bytes]:
+    """Words of the pool, by pivoted Cholesky steps: the next pivot is the word with the greatest part of the difference left."""
+    pool, more = pool_of_words(toxic, clean)
+    if not pool:
+        return []
+    table = Landmarks(pool).table
+    left, chosen = (table @ table.T) ** POWER, []
+    while len(chosen) < most:
+        gain = np.where(np.diag(left) > 0.2, np.abs(left @ more), -1.0)
+        pivot = int(gain.argmax())
+        if gain[pivot] <= 0:
+            break
+        chosen.append(pool[pivot])
+        left = left - np.outer(left[:, pivot], left[pivot]) / left[pivot, pivot]
+    return chosen
+
+
 def fit(toxic: list[str], clean: list[str], most: int = LANDMARKS) -> Model:
     """A model from the texts of toxic and clean documents; without either kind it calls nothing toxic."""
-    chosen = distinctive(toxic, clean, most) if toxic and clean else []
-    chosen = [c for c in chosen if features(c)]
+    chosen = chosen_landmarks(toxic, clean, most) if toxic and clean else []
     if not chosen:
-        return Model(Landmarks([]), np.zeros(0), -1.0, np.zeros(0), np.array([0.0, 0.0, 0.0, -6.0]))
+        return Model(Landmarks([]), np.zeros(0), -1.0, np.array([0.0, 0.0, 0.0, -6.0]), {})
     landmarks = Landmarks(chosen)
-    marked = set(chosen)
-    xs, ys = [], []
-    for kind, texts in ((1.0, toxic), (-1.0, clean)):
-        for low in range(0, len(texts), 50):
-            part = texts[low : low + 50]
-            if kind > 0:  # sentences that hold a distinctive string
-                part = [s for t in part for s in _SENTENCE.split(t) if marked & _strings(s).keys()]
-            z = landmarks.sentences(part)[1] @ landmarks.white
-            xs.append(z), ys.append(np.full(len(z), kind))
-    # What resembles no landmark is clean.
-    xs.append(np.zeros((200, len(chosen)))), ys.append(np.full(200, -1.0))
-    x, y = np.concatenate(xs), np.concatenate(ys)
-    if len(x) > 20_000:
-        keep = np.random.default_rng(1).permutation(len(x))[:20_000]
-        x, y = x[keep], y[keep]
-    weights, bias = train_machine(x, y)
-    kinds = len(chosen) * len(_CLOSE)
-    model = Model(landmarks, weights, bias, np.zeros(kinds), np.zeros(4))
-    rates, unseen = [], np.ones(kinds, bool)
+    number: dict[bytes, int] = {}
+    held = []  # words of toxic sentences and of clean ones, by number, with their texts
     for texts in (toxic, clean):
-        text, kind, _, words = model.hits(texts)
-        # A document counts for four sentences of a kind at most.
-        pairs, counts = np.unique(text * kinds + kind, return_counts=True)
-        seen = np.bincount((pairs % kinds).astype(int), np.minimum(counts, 4), minlength=kinds)
-        rates.append((seen + 0.5) / max(words.sum(), 1))
-        unseen &= seen == 0
-    ratio = np.log(rates[0] / rates[1])
-    ratio = np.where((ratio > 0.7) & ~unseen, ratio, 0.0).reshape(-1, len(_CLOSE))
-    # A closeness that no document of the sample shows, as of a new way to write an insult, counts half of the landmark's best.
-    model.evidence = np.where(unseen.reshape(ratio.shape), ratio.max(1, keepdims=True) / 2, ratio).ravel()
+        place, owner = [], []
+        for low in range(0, len(texts), 50):
+            words, text, _ = landmarks.places(texts[low : low + 50])
+            for k, word in sorted(set(zip(text.tolist(), words, strict=True))):
+                place.append(number.setdefault(word, len(number))), owner.append(low + k)
+        held.append((np.array(place, np.int64), np.array(owner, np.int64)))
+    near = landmarks.resemblances(list(number))
+    some = near.any(1)
+    x = near @ landmarks.white
+    (place, owner), (clean_place, _) = ((p[some[p]], o[some[p]]) for p, o in held)
+    none = np.zeros((1, len(chosen)))  # what resembles no landmark is clean
+    other, seldom = np.unique(clean_place, return_counts=True)
+    # At first all words of toxic documents count as toxic.
+    positive, often = np.unique(place, return_counts=True)
+    weights, bias = train_machine(x[positive], np.concatenate([x[other], none]), often, np.r_[seldom, max(1, len(clean) // 4)])
+    for _ in range(ROUNDS):
+        margin = x @ weights + bias
+        best = np.full(len(toxic), -np.inf)
+        np.maximum.at(best, owner, margin[place])
+        positive, often = np.unique(place[margin[place] >= np.minimum(best[owner], POSITIVE)], return_counts=True)
+        # Words of clean sentences that come nearest to toxic ones say where the border lies.
+        hard = np.argsort(-margin[other], kind="stable")[:NEGATIVES]
+        weights, bias = train_machine(x[positive], np.concatenate([x[other[hard]], none]), often, np.r_[seldom[hard], max(1, len(clean) // 4)])
+    model = Model(landmarks, weights, bias, np.zeros(4), {})
     x = np.concatenate([model.summary(toxic), model.summary(clean)])
     model.scale = fit_logistic(x, np.concatenate([np.ones(len(toxic)), -np.ones(len(clean))]))
     return model
@@ -354,13 +370,17 @@ def held_out(doc_id) -> F.Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[str], list[str]]:
-    """Texts of at most sample toxic and sample clean documents, held-out ones left out, in order of a hash of doc_id."""
+    """Texts of at most sample toxic and sample clean documents, held-out ones left out, in order of a hash of doc_id.
+
+    Documents of more than FIT_CHARS characters are not read, so that the driver holds 2 sample FIT_CHARS at most.
+    """
     known = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"), F.min("toxic").alias("least"))
     known = known.where("toxic = least")
     pick = lambda kind: known.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     chosen = pick(1).unionByName(pick(0)).select("doc_id", "toxic")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).where(F.length("text") <= FIT_CHARS)
+    texts = texts.join(F.broadcast(chosen), "doc_id")
     # Repeated rows of a document stand once for it.
     rows = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
     got = list(zip(rows.column("toxic").to_pylist(), rows.column("text").to_pylist(), strict=True))

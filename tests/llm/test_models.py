@@ -1,9 +1,12 @@
 """Toxicity on held-out labels, chat roles against all paths, and the pipeline's stages."""
 
 import itertools
+import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from recordgate.llm import chat_roles as C
@@ -25,27 +28,51 @@ def test_held_out_documents_are_told_apart(spark):
         assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7)
     unseen = [(labels[d], r.predicted) for d, r in got.items() if r.held_out and d in labels]
     toxic, clean = [p for y, p in unseen if y == 1], [p for y, p in unseen if y == 0]
-    assert len(toxic) > 100 and sum(toxic) / len(toxic) >= 0.8
+    assert len(toxic) > 100 and sum(toxic) / len(toxic) >= 0.88
     assert sum(clean) / len(clean) <= 0.01
 
 
 def test_kernel_tolerates_gaps_and_insertions():
-    for near in (b"idiiot", b"id.iot", b"1diot", b"idXiot", b"i d i o t".replace(b" ", b"_")):
-        assert T.kernel(b"idiot", near) > T.LEAST
-    assert T.kernel(b"idiot", b"holiday") < T.LEAST and T.kernel(b"", b"x") == 0
+    for near in (b"idiiot", b"id.iot", b"1diot", b"idXiot", b"i d i o t", b"i_d_i_o_t"):
+        assert T.kernel(b"idiot", near) > T.LEAST, near
+    assert T.kernel(b"idiot", b"holiday") < T.LEAST and T.kernel(b"", b"idiot") == 0
     words = T.split_words(["You i d i o t! ok"])
     assert [words.data[s:e] for s, e in zip(words.starts, words.ends, strict=True)] == [b"you", b"i d i o t!", b"ok"]
 
 
 def test_bound_loses_no_word():
     rng = np.random.default_rng(3)
-    marks = T.Landmarks([b"idiot", b"moron", b"trash", b"worthless"])
-    texts = ["".join(rng.choice(list("abdeihlmnorstw. -1"), 400)) for _ in range(40)] + ["an id-iot and a mo.ron, w0rthles"]
+    marks = T.Landmarks([b"idiot", b"moron", b"trash", b"worthless", "réeux".encode()])
+    texts = ["".join(rng.choice(list("abdeihlmnorstwé. -1"), 400)) for _ in range(40)] + ["an id-iot and a mo.ron, w0rthles réeuxpa"]
     words = T.split_words(texts)
-    kept = set(T.Landmarks.candidates(marks, words).tolist())
-    for i in range(len(words.starts)):
-        if marks.resemblance(words.data[words.starts[i] : words.ends[i]]) is not None:
-            assert i in kept
+    kept = set(marks.candidates(words).tolist())
+    own = [words.data[s:e] for s, e in zip(words.starts, words.ends, strict=True)]
+    near = marks.resemblances(own)
+    plain = np.array([[T.kernel(w, m) for m in marks.strings] for w in own])
+    assert np.allclose(near, np.where(plain < T.LEAST, 0, plain), atol=1e-9) and near.any(1).sum() > 3
+    assert set(np.flatnonzero(near.any(1)).tolist()) <= kept
+
+
+def test_scores_equal_a_plain_kernel_machine():
+    rng = np.random.default_rng(4)
+    pool = ["nice", "day", "so", "it", "goes", "weather", "holiday", "reading", "thing", "moreover", "café"]
+    text = lambda more: ". ".join(" ".join(rng.choice([*pool, *more], 6)) for _ in range(4))
+    toxic, clean = [text(["idiot", "moron", "idi0t"]) for _ in range(60)], [text([]) for _ in range(150)]
+    model = T.fit(toxic, clean)
+    k = np.array([[T.kernel(a, b) for b in model.landmarks.strings] for a in model.landmarks.strings])
+    values, vectors = np.linalg.eigh(k + T.RIDGE * np.eye(len(k)))
+    alpha = vectors @ np.diag(values**-0.5) @ vectors.T @ model.weights
+    texts = [*toxic[:10], *clean[:10], "what an id-iot", "i d i o t", "", "Mor on. mmoron!"]
+    for t, score in zip(texts, model.score(texts), strict=True):
+        margins = []
+        for sentence in re.split(r"(?<=[.!?])\s", t):
+            words = T.split_words([sentence])
+            own = [[T.kernel(words.data[s:e], m) for m in model.landmarks.strings] for s, e in zip(words.starts, words.ends, strict=True)]
+            margins.append(max([model.bias, *(np.where(np.array(x) < T.LEAST, 0, x) @ alpha + model.bias for x in own)]))
+        total = sum(max(m, 0) for m in margins)
+        columns = [np.clip(max(margins), -3, 3), np.log1p(total), np.log1p(100 * total / max(t.count(" ") + t.count("\n") + 1, 30)), 1]
+        assert np.isclose(score, 1 / (1 + np.exp(-np.array(columns) @ model.scale)))
+    assert (model.score(["such an idiiot", "id.iot, so it goes"]) > 0.5).all() and (model.score([*clean, "", "all well here"]) < 0.5).all()
 
 
 def test_toxicity_awkward_rows(spark):
@@ -63,81 +90,118 @@ def test_toxicity_awkward_rows(spark):
 # Chat roles
 
 
-def plain_path(e):
-    best = None
+def plain_scores(e, model):
     for path in itertools.product(range(C.STATES), repeat=len(e)):
-        score = C._FIRST[path[0]] + e[0][path[0]]
-        for k in range(1, len(e)):
-            score += C._T[path[k - 1], path[k]] + e[k][path[k]]
-        if best is None or score > best[0]:
-            best = (score, list(path))
-    return best
+        yield model.start[path[0]] + e[0][path[0]] + sum(model.steps[a, b] + e[k + 1][b] for k, (a, b) in enumerate(itertools.pairwise(path)))
 
 
-def score_of(e, path):
-    total = C._FIRST[path[0]] + e[0][path[0]]
-    for k in range(1, len(path)):
-        total += C._T[path[k - 1], path[k]] + e[k][path[k]]
-    return total
+def taught(*conversations):
+    """A model that has seen conversations, each a list of (role, text), many times over."""
+    rows = [(f"c{n}", n, k, role, text) for n, own in enumerate(conversations) for k, (role, text) in enumerate(own)]
+    table = pa.table({"conv": [r[0] for r in rows], "seg": [r[1] for r in rows], "dated": [1] * len(rows), "turn": [r[2] for r in rows], "role": [r[3] for r in rows], "text": [r[4] for r in rows]})
+    counts = C._counted(table).to_pylist()
+    return C.model_of([(r["kind"], r["word"], r["at"], r["state"], 20 * r["n"]) for r in counts])
 
 
-def test_viterbi_is_the_best_of_all_paths():
-    rng = np.random.default_rng(2)
-    pool = ["User: hello?", "hi", "Assistant: yes", "so it goes", "System: be brief", "", "why?"]
-    for _ in range(25):
-        lines = [(str(rng.choice(pool)), int(rng.integers(-1, 3)), bool(rng.integers(2))) for _ in range(int(rng.integers(1, 6)))]
-        e = C.emissions(lines)
-        assert np.isclose(score_of(e, C.best_path(e, C._FIRST, None)), plain_path(e)[0])
+TALK = taught(
+    [("system", "System: be brief\nand kind"), ("user", "Human: what is it?\nplease"), ("assistant", "AI: this\nand that"), ("user", "more?"), ("assistant", "AI: so it goes\n\nlast")],
+    [("user", "Human: hello?"), ("assistant", "yes\nindeed"), ("user", "Human: why?"), ("assistant", "AI: Note: because")],
+)
 
 
-def test_query_recovers_the_given_roles(spark, sf):
-    rows = load(spark, sf, "conversations").collect()
-    got = op9_chat_roles(spark, sf).collect()
-    turns = {}
+def test_viterbi_is_the_best_of_all_paths():
+    rng = np.random.default_rng(2)
+    pool = ["Human: hello?", "hi", "AI: yes", "so it goes", "System: be brief", "", "why?", "Note: x"]
+    for _ in range(15):
+        lines = [(str(rng.choice(pool)), bool(rng.integers(2))) for _ in range(int(rng.integers(1, 6)))]
+        e = TALK.emissions(lines)
+        path = C.best_path(e, TALK.steps, TALK.start, None)
+        own = TALK.start[path[0]] + e[0][path[0]] + sum(TALK.steps[a, b] + e[k + 1][b] for k, (a, b) in enumerate(itertools.pairwise(path)))
+        assert np.isclose(own, max(plain_scores(e, TALK)))
+    assert TALK.without_marker("Human: a") == "a" and TALK.without_marker("Note: a") == "Note: a" and TALK.without_marker("a") == "a"
+
+
+def test_query_recovers_roles_that_it_is_not_shown(spark):
+    rows = load(spark, SF, "conversations").collect()
+    got = op9_chat_roles(spark, SF).collect()
+    turns, given, texts = {}, {}, {}
     for r in got:
-        assert not r.continued and r.rendered == f"<|{r.role}|>\n{r.content}\n<|end|>"
+        assert r.rendered == f"<|{r.role}|>\n{r.content}\n<|end|>" and r.held_out == (zlib.crc32(r.conv_id.encode()) % 3 == 1)
         turns.setdefault(r.conv_id, []).append((r.turn_no, r.role, r.content))
-    given = {}
     for r in sorted(rows, key=lambda r: (r.conv_id, r.turn)):
         given.setdefault(str(r.conv_id), []).append(r.role)
-    right = sum([role for _, role, _ in sorted(turns[c])] == roles for c, roles in given.items())
-    assert set(turns) == set(given) and right / len(given) >= 0.95
-
-
-def test_roles_come_from_markers_when_rows_name_none(spark):
+        texts.setdefault(str(r.conv_id), []).append(r.text.strip())
+    unseen = [c for c in given if zlib.crc32(c.encode()) % 3 == 1]
+    found = {c: [role for _, role, _ in sorted(turns[c])] for c in given}
+    right = sum(found[c] == given[c] for c in unseen) / len(unseen)
+    simple = sum(given[c] == ["user", "assistant"] * (len(given[c]) // 2) + ["user"] * (len(given[c]) % 2) for c in unseen) / len(unseen)
+    assert right >= 0.95 and right > simple + 0.1
+    assert [[t for _, _, t in sorted(turns[c])] for c in given] == [texts[c] for c in given]
+
+
+def test_query_equals_plain_viterbi_over_whole_conversations(spark, sf):
+    rows = C.transcripts(load(spark, sf, "conversations"))
+    model = C.fit_roles(rows)
+    want = []
+    own = {}
+    for r in rows.collect():
+        own.setdefault(str(r.conv_id), []).append((r.turn, r.text))
+    for conv, texts in own.items():
+        lines = [(line, k == 0) for _, text in sorted(texts) for k, line in enumerate(text.split("\n"))]
+        # Scores of the best paths to each state, and the paths themselves.
+        best = {s: (model.start[s], [s]) for s in range(C.STATES)}
+        for n, (line, first) in enumerate(lines):
+            e = model.markers[int(first), model.word(line)] + model.shapes[C.shape_of(line)]
+            if n:
+                best = {s: max(((v + model.steps[t, s], [*p, s]) for t, (v, p) in best.items()), key=lambda x: x[0]) for s in range(C.STATES)}
+            best = {s: (v + e[s], p) for s, (v, p) in best.items()}
+        path = max(best.values(), key=lambda x: x[0])[1]
+        roles = [C.ROLES[s // 2] for s in path if s % 2 == 0]
+        want += [(conv, n, role) for n, role in enumerate(roles)]
+    assert sorted((r.conv_id, r.turn_no, r.role) for r in op9_chat_roles(spark, sf).collect()) == sorted(want)
+
+
+def test_fitted_counts_equal_a_plain_count(spark):
+    rows = [(f"c{k % 40}", k // 40, ("user", "assistant", "tool")[k % 3], f"{'AB'[k % 2]}: line {k}\nmore?") for k in range(400)]
+    model = C.fit_roles(spark.createDataFrame(rows, "conv_id string, turn int, role string, text string"))
+    seen = [r for r in rows if zlib.crc32(r[0].encode()) % 3 != 1 and r[2] != "tool"]
+    n = [sum(r[2] == role for r in seen) for role in ("user", "assistant")]
+    ratio = np.exp(model.shapes[C.shape_of("more?"), [3, 5]])
+    assert np.allclose(ratio, [(m + C._PRIOR) / (m + C._PRIOR * C._SHAPES) for m in n]) and set(model.words) == {"a", "b"}
+
+
+def test_roles_come_from_markers(spark):
     text = "System: You help.\nHuman: what is it?\nplease\nAI: this\nand that\nHuman: thanks\nAI: sure"
-    frame = spark.createDataFrame([("c", 0, None, text, 1)], "conv_id string, turn int, role string, text string, seg int")
-    got = [(r.role, r.content) for r in C.chat_turns(frame).orderBy("turn_no").collect()]
+    frame = spark.createDataFrame([("c", 0, "assistant", text, 1)], "conv_id string, turn int, role string, text string, seg int")
+    model = taught([(r, f"{m}: x") for r, m in (("system", "System"), ("user", "Human"), ("assistant", "AI"), ("user", "Human"), ("assistant", "AI"))] , [("user", "so"), ("user", "a\nb"), ("assistant", "c\nd")])
+    # Lines that open a turn within a row are new to the model, so the order of roles and the markers decide.
+    model.markers[0] = model.markers[1]
+    model.markers[0, 0] += np.array([0, 9, 0, 9, 0, 9])
+    got = [(r.role, r.content) for r in C.chat_turns(frame, model).orderBy("turn_no").collect()]
     assert got == [("system", "You help."), ("user", "what is it?\nplease"), ("assistant", "this\nand that"), ("user", "thanks"), ("assistant", "sure")]
 
 
-def test_segments_make_the_same_path_as_the_whole(spark):
-    rng = np.random.default_rng(6)
-    pool = ["User: hello?\nmore", "hi", "Assistant: yes", "so it goes\n\nlast", "why?"]
-    rows = [("long", k, str(rng.choice(["user", "assistant", "x"])), str(rng.choice(pool))) for k in range(60)]
-    rows += [("short", k, None, "hi there") for k in range(3)]
-    frame = spark.createDataFrame(rows, "conv_id string, turn int, role string, text string")
-
-    def flat(found):
-        out = []
-        for r in sorted(found, key=lambda r: (r.conv_id, r.seg, r.turn_no)):
-            if r.continued:
-                out[-1] = (*out[-1][:2], out[-1][2] + r.n_lines)
-            else:
-                out.append((r.conv_id, r.role, r.n_lines))
-        return out
-
-    assert flat(C.chat_turns(frame, segment=7).collect()) == flat(C.chat_turns(frame).collect())
-
-
 def test_chat_awkward_rows(spark):
-    rows = [(None, None, None, None), ("a", None, "USER ", ""), ("a", None, "USER ", ""), ("b", 1, "weird", "x " * 20000), ("c", 2**40, "bot", "far away"), ("c", 0, "q", "near")]
+    rows = [(None, None, None, None), ("a", None, "USER ", ""), ("a", None, "USER ", ""), ("b", 1, "weird", "x " * 20000), ("c", 2**40, "bot", "AI: far away"), ("c", 0, "q", "Human: near")]
     frame = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")
-    got = C.chat_turns(frame).collect()
+    got = C.chat_turns(frame, TALK).collect()
     assert {r.conv_id for r in got} == {None, "a", "b", "c"}
     assert sum(r.n_lines for r in got) == 6
-    assert [r.role for r in sorted((r for r in got if r.conv_id == "c"), key=lambda r: r.seg)] == ["user", "assistant"]
-    assert C.chat_turns(frame.limit(0)).count() == 0
+    assert [(r.role, r.content) for r in sorted((r for r in got if r.conv_id == "c"), key=lambda r: r.turn_no)] == [("user", "near"), ("assistant", "far away")]
+    assert C.chat_turns(frame.limit(0), TALK).count() == 0
+    # Nothing to learn from: all roles are alike, and every row is still there.
+    blank = C.fit_roles(frame)
+    assert sum(r.n_lines for r in C.chat_turns(frame, blank).collect()) == 6
+    assert C.transcripts(frame).count() == 6 and C.transcripts(frame.limit(0)).count() == 0
+
+
+def test_border_states_of_many_segments(spark):
+    rng = np.random.default_rng(5)
+    rows = [(c, k, rng.normal(size=C.STATES**2).tolist(), rng.normal(size=C.STATES).tolist()) for c in ("a", None) for k in range(45)]
+    frame = spark.createDataFrame(rows, "conv string, seg long, matrix array<double>, entered array<double>")
+    key = lambda r: (r.conv or "", r.seg)
+    want = sorted(C.border_states(frame, TALK).collect(), key=key)
+    assert sorted(C.border_states(frame, TALK, most=4).collect(), key=key) == want
 
 
 def test_no_segment_holds_more_rows_than_its_size(spark):
@@ -146,7 +210,9 @@ def test_no_segment_holds_more_rows_than_its_size(spark):
     rows = [(c, t, str(rng.choice(["user", "assistant"])), str(rng.choice(pool))) for c, t in [(None, None), ("a", None), ("b", 3)] for _ in range(200)]
     rows += [("a", 1, "user", "once more?"), ("d", 0, None, "hi")]
     frame = spark.createDataFrame(rows, "conv string, turn long, role string, text string")
-    cut = C.in_segments(frame.selectExpr("conv", "int(turn is not null) as dated", "turn", "role", "text"), 16).collect()
+    frame = frame.selectExpr("conv", "int(turn is not null) as dated", "turn", "role", "text").withColumn("role", F.lit("x"))
+    rows = [(c, t, "x", text) for c, t, _, text in rows]
+    cut = C.in_segments(frame, 16).collect()
     sizes = {}
     for r in cut:
         sizes.setdefault((r.conv, r.seg), []).append((r.dated, r.turn or 0, r.role or "", r.text))
@@ -159,18 +225,19 @@ def test_no_segment_holds_more_rows_than_its_size(spark):
 
 def test_turns_do_not_depend_on_the_segment(spark):
     rng = np.random.default_rng(6)
-    pool = ["User: hello?\nmore", "hi", "Assistant: yes", "so it goes\n\nlast", "why?", ""]
-    rows = [(c, k, str(rng.choice(["user", "assistant", "x"])), str(rng.choice(pool))) for c in ("long", None) for k in range(60)]
-    rows += [("one", k, "user", f"User: line {k}" if k == 0 else f"line {k}") for k in range(20)] + [("short", 0, None, "hi")]
-    # One turn over many rows: rows name no speaker and carry their lines in one text.
-    rows += [("turn", 0, "assistant", "Assistant: a"), ("turn", 1, "assistant", "\n".join(f"b{k}" for k in range(40)))]
+    pool = ["Human: hello?\nmore", "hi", "AI: yes", "so it goes\n\nlast", "why?", ""]
+    rows = [(c, k, None, str(rng.choice(pool))) for c in ("long", None) for k in range(60)]
+    rows += [("nulls", None, None, str(rng.choice(pool))) for k in range(30)]
+    rows += [("one", k, "user", f"Human: line {k}" if k == 0 else f"line {k}") for k in range(20)] + [("short", 0, None, "hi")]
+    rows += [("turn", 0, "assistant", "AI: a"), ("turn", 1, "assistant", "\n".join(f"b{k}" for k in range(40)))]
     frame = spark.createDataFrame(rows, "conv_id string, turn int, role string, text string")
+    model = taught([("user", "Human: hello?\nmore"), ("assistant", "AI: yes"), ("user", "hi"), ("assistant", "so it goes\n\nlast")], [("assistant", "AI: a"), ("user", "why?"), ("user", "")])
+    model.markers[1] += np.array([0, 4, 0, 4, 0, 4])  # turns that go on over rows, and over the borders of segments
     key = lambda r: (r.conv_id or "", r.turn_no)
-    want = sorted(C.chat_turns(frame).collect(), key=key)
-    assert len({(r.conv_id, r.turn_no) for r in want}) == len(want)
+    want = sorted(C.chat_turns(frame, model).collect(), key=key)
+    assert len({(r.conv_id, r.turn_no) for r in want}) == len(want) < sum(r.n_lines for r in want) - 60
     for segment in (1, 2, 7, 16):
-        got = sorted(C.chat_turns(frame, segment=segment).collect(), key=key)
-        assert got == want and not any(r.continued for r in got)
+        assert sorted(C.chat_turns(frame, model, segment=segment).collect(), key=key) == want
 
 
 # Pipeline
