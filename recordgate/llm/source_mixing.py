@@ -5,9 +5,10 @@ reruns agree.  A source's target is met by complete epochs (every document, as o
 as the target holds the source whole) and then by the documents with the least keys
 up to the rest of the target.
 
-Prefix sums over a source are made in two steps so that no task holds a source: keys
-are cut into slices of equal probability, their sizes are summed with map-side
-combine, and only the one slice per source in which the rest runs out is put in order.
+Prefix sums over a source are made in steps so that no task holds a source: rows are dealt by
+ranges of (source, key), which Spark cuts by quantiles of these, and each range is cut into slices of
+so many rows in their order.  Slices are summed with map-side combine, and rows are added up only in
+the one slice per source in which the rest runs out.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST_EPOCHS = 3
 #: Quality weights of documents labelled good, bad, or not at all.
 QUALITY = {"good": 1.0, "bad": 0.25, "none": 0.5}
-SLICE_ROWS = 8_000
+#: Rows of one range, which a task puts in order, and of one slice of it.
+RANGE_ROWS, SLICE_ROWS = 200_000, 500
 
 
 def word_count(column: Column) -> Column:
@@ -82,10 +84,13 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights=WEIGHTS, most
     else:
         sized = sized.withColumn("quality", F.lit(None).cast("double"))
     key = -F.log(uniform(F.col("doc_id"), salt)) / F.coalesce("quality", F.lit(QUALITY["none"]))
-    keyed = staged(sized.select("doc_id", "source", "size", key.alias("key")), "mix-keys")
-    slices = parts_for(keyed.count(), SLICE_ROWS)
-    # Keys are about exponential, so 1 - exp(-key) cuts them into even slices, in key order.
-    keyed = keyed.withColumn("slice", F.least(F.floor((1 - F.exp(-F.col("key"))) * slices), F.lit(slices - 1)).cast("long"))
+    # The tie lets rows that are alike in all else lie in several ranges.
+    keyed = staged(sized.select("doc_id", "source", "size", key.alias("key"), F.monotonically_increasing_id().alias("tie")), "mix-keys")
+    order = [F.col("source").asc_nulls_last(), "key", "doc_id", "size", "tie"]
+    ranges = keyed.repartitionByRange(parts_for(keyed.count(), RANGE_ROWS), *order).sortWithinPartitions(*order).drop("tie")
+    # The id is the range, and the row's place in it in the lower 33 bits, so slices are in order and none spans two ranges.
+    keyed = staged(ranges.withColumn("at", F.monotonically_increasing_id()), "mix-order")
+    keyed = keyed.withColumn("slice", F.floor(F.col("at") / SLICE_ROWS).cast("long"))
     targets = source_targets(keyed, weights, most).withColumn(
         "epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     )
@@ -104,14 +109,15 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights=WEIGHTS, most
         )
     )
     joined = keyed.join(edges, F.col("source").eqNullSafe(F.col("edge_source")) & (F.col("slice") == F.col("edge_slice")))
-    inside = Window.partitionBy("source", "slice").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "slice").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     settled = joined.where(~F.col("open")).withColumn("picked", F.col("whole").cast("long"))
     opened = joined.where("open").withColumn(
         "picked", (F.col("before") + F.sum("size").over(inside) - F.col("size") / 2.0 < F.col("rest")).cast("long")
     )
+    # Rows of no words fit into a rest of no words too.
+    copies = F.least(F.col("epochs") + F.col("picked"), F.lit(most))
     return settled.unionByName(opened).select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("epochs") + F.col("picked"))).alias("taken"),
-        (F.col("epochs") + F.col("picked")).alias("copies"),
+        "doc_id", "source", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"),
     )
 
 
