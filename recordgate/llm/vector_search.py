@@ -1,7 +1,8 @@
 """Nearest neighbours by a block matrix join on int8 tiles.
 
-Queries are read in blocks of a fixed number of rows; a block goes to all tasks, and
-every task multiplies its candidates with it, tile by tile.  Vectors are rounded to
+Queries are cut into blocks and candidates into buckets of a fixed number of rows, by hash.  Each
+pair of a block and a bucket meets in one group, where the block is multiplied with the bucket's
+rows, tile by tile; queries are sent once for a bucket, candidates once for a block.  Vectors are rounded to
 int8 with one scale each; products of int8 vectors are whole numbers, which single
 precision holds exactly up to 1024 components (double precision beyond).  With the
 length e of what rounding took from each vector, the true distance lies within
@@ -21,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import staged
+from .shared import parts_for, staged
 
-#: Queries of a block: 32 MB at 1024 components in double precision.  Candidates of a tile.
-BLOCK_QUERIES = 4096
+#: Queries of a block and candidates of a bucket, 32 and 64 MB at 1024 components in double precision; candidates of a tile.
+BLOCK_QUERIES, BUCKET_ROWS = 4096, 8192
 TILE_ROWS = 1024
 
 
@@ -65,15 +66,15 @@ class QueryBlock:
         dots = self.q.astype(self.kind) @ q.astype(self.kind).T
         square = (q.astype(np.float64) ** 2).sum(1) * scale**2
         near = self.square[:, None] + square[None, :] - 2.0 * dots.astype(np.float64) * (self.scale[:, None] * scale[None, :])
-        near = np.sqrt(np.maximum(near, 0.0))
+        near = np.sqrt(np.maximum(near, 0.0))  # not a number where squares overflow: such pairs are always recomputed
         # A little room for the rounding of this arithmetic itself.
         slack = (self.error[:, None] + error[None, :]) + 1e-9 * (np.sqrt(self.square)[:, None] + np.sqrt(square)[None, :]) + 1e-300
         same = self.ids[:, None] == ids[None, :]
-        upper = np.where(same, np.inf, near + slack)
+        upper = np.where(same | np.isnan(near), np.inf, near + slack)
         limit = self.limit
         if len(ids) >= self.k and len(np.unique(ids)) == len(ids):
             limit = np.minimum(limit, np.partition(upper, self.k - 1, axis=1)[:, self.k - 1])
-        rows, columns = np.nonzero((near - slack <= limit[:, None]) & ~same)
+        rows, columns = np.nonzero(~(near - slack > limit[:, None]) & ~same)
         for low in range(0, len(rows), 65536):
             a, b = rows[low : low + 65536], columns[low : low + 65536]
             # Squares are added in the order of the components, so that a score does not depend on tiles.
@@ -127,37 +128,30 @@ def nearest(
     component, take no part; of rows that repeat an id the nearest counts.  Further
     columns are not read.  No queries or no candidates give no rows.
     """
-    spark = vectors.sparkSession
     points = usable(vectors, id_column, vector_column)
-    asked = usable(queries, id_column, vector_column).dropDuplicates(["vec_id", "x"])
-    # Rows are dealt to blocks by hash; a block holds about so many rows at any size of the table.
-    blocks = max(1, -(-asked.count() // max(1, block // 2)))
-    asked = staged(asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")), "queries")
-    found = None
-    for number in range(blocks):
-        own = asked.where(F.col("block") == number).select("vec_id", "x").toArrow()
-        if own.num_rows == 0:
-            continue
-        sent = spark.sparkContext.broadcast(own.combine_chunks().to_batches()[0])
-
-        def run(batches, sent=sent):
-            by_length = {d: QueryBlock(ids, x, k) for d, ids, x in _by_length(sent.value.column(0).to_numpy(), sent.value.column(1))}
-            for batch in batches:
-                for d, ids, y in _by_length(batch.column(0).to_numpy(), batch.column(1)):
-                    if d in by_length:
-                        for low in range(0, len(ids), TILE_ROWS):
-                            by_length[d].offer(ids[low : low + TILE_ROWS], y[low : low + TILE_ROWS])
-            rows = [row for one in by_length.values() for row in one.found()]
-            if rows:
-                q, v, s = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], ["query_id", "vec_id", "score"]
-                )
-
-        part = points.mapInArrow(run, "query_id long, vec_id long, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    asked = staged(usable(queries, id_column, vector_column).dropDuplicates(["vec_id", "x"]), "queries")
+    # Rows are dealt by hash; a block or a bucket holds about so many rows at any size of the table.
+    blocks, buckets = parts_for(asked.count(), max(1, block // 2)), parts_for(points.count(), BUCKET_ROWS)
+    own = lambda column, n: F.pmod(F.xxhash64(*column), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = asked.select("vec_id", "x", own(["vec_id"], blocks).alias("block"), every(buckets).alias("bucket"))
+    points = points.select("vec_id", "x", own(["vec_id", "x"], buckets).alias("bucket"), every(blocks).alias("block"))
+
+    def compare(one: pa.Table, other: pa.Table) -> pa.Table:
+        ids, lists = (one.column(c).combine_chunks() for c in ("vec_id", "x"))
+        by_length = {d: QueryBlock(i, x, k) for d, i, x in _by_length(ids.to_numpy(), lists)} if len(ids) else {}
+        if by_length and other.num_rows:
+            for d, i, y in _by_length(other.column("vec_id").to_numpy(), other.column("x").combine_chunks()):
+                if d in by_length:
+                    for low in range(0, len(i), TILE_ROWS):
+                        with np.errstate(over="ignore", invalid="ignore"):
+                            by_length[d].offer(i[low : low + TILE_ROWS], y[low : low + TILE_ROWS])
+        rows = [row for one in by_length.values() for row in one.found()]
+        q, v, s = zip(*rows, strict=True) if rows else ((), (), ())
+        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.float64())})
+
+    pairs = asked.groupBy("block", "bucket").cogroup(points.groupBy("block", "bucket"))
+    found = pairs.applyInArrow(compare, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return (
         found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
