@@ -5,11 +5,14 @@ it to a weighted-shingle similarity of 0.8: shingles are five words (all words o
 shorter item), weighted by how often they occur, and the similarity is the sum of
 the lesser weights over the sum of the greater ones.
 
-Windows of that similarity share a shingle with the item, so windows are laid where a
-shingle of the document is one of the benchmark's, aligned with the item.  Each such
-window gets a SimHash; an index over eight blocks of eight bits finds every item
-within the radius: of two fingerprints within 8 d + 7 bits, some block differs by d or
-fewer.  Items found are verified exactly.
+Every document is covered by windows: items are put into classes of like size, and for each
+class windows of its size are laid at every seventh of it, a SimHash for each from running
+sums of the shingles' bits.  An index over four blocks of 16 bits finds every item of the class
+within the radius: of two fingerprints within 4 d + 3 bits, some block differs by d or fewer.
+Items found are verified exactly, at every place around the window.
+
+The radius is 15 of 64 bits.  A copy whose window lies askew by half a step and is off by half a
+class differs in about 8 bits, with a deviation of 2.7; one at the least similarity in about 11.
 
 Items are read in blocks of a fixed number, each sent to all tasks; documents stay where
 they are, and nothing is shuffled.
@@ -23,15 +26,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import Ranges, words_in
-from .shared import packed, row_columns, staged, text_or_empty
+from .shared import packed, parts_for, row_columns, staged, text_or_empty
 
 WIDTH = 5
 SIMILARITY = 0.8
-#: Bits by which fingerprints may differ; at a similarity of 0.8 about 10 of 64 do, 24 is five deviations more.
-RADIUS = 24
-BLOCK_ITEMS = 5000
+#: Bits by which fingerprints may differ.
+RADIUS = 15
+#: Ratio of the greatest to the least size in a class, and steps of windows in a window's size.
+CLASS_RATIO, STEPS = 1.16, 7
+BLOCK_ITEMS = 1000
+#: Shingles whose bits are summed at once.
+STRETCH = 50_000
 _ASCII = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
-_BITS = np.arange(64, dtype=np.uint64)
 
 
 def plain_bytes(text: str) -> bytes:
@@ -39,10 +45,33 @@ def plain_bytes(text: str) -> bytes:
     return text.lower().encode("utf-8", "surrogatepass").translate(_ASCII)
 
 
+#: The bits of each byte as eight counters of 16 bits, which are summed as two whole numbers.
+_COUNTERS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.uint16).view(np.uint64)
+
+
+def _running(hashes: np.ndarray) -> np.ndarray:
+    """Running sums of the bits of hashes, a row more than these."""
+    octets = hashes.view(np.uint8).reshape(-1, 8)
+    if len(hashes) < 1 << 16:
+        sums = np.zeros((len(hashes) + 1, 16), np.uint64)
+        np.cumsum(_COUNTERS[octets].reshape(-1, 16), axis=0, out=sums[1:])
+        return sums
+    sums = np.zeros((len(hashes) + 1, 64), np.uint32)
+    np.cumsum(np.unpackbits(octets, axis=1), axis=0, dtype=np.uint32, out=sums[1:])
+    return sums
+
+
+def window_prints(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """SimHash of each range of shingles: bits set in more than half of them, repeats included."""
+    # Counters never fall along the sums, so differences of counters do not borrow from one another.
+    ones = sums[end] - sums[start]
+    ones = ones.view(np.uint16) if ones.dtype == np.uint64 else ones
+    return np.packbits(ones > ((end - start) // 2).astype(ones.dtype)[:, None], axis=1).view(np.uint64).ravel()
+
+
 def simhash(hashes: np.ndarray) -> int:
     """Bits set in more than half of the hashes, repeats included."""
-    ones = ((hashes[:, None] >> _BITS) & np.uint64(1)).sum(0)
-    return int(sum(1 << b for b in np.flatnonzero(2 * ones > len(hashes)).tolist()))
+    return int(window_prints(_running(hashes), np.array([0]), np.array([len(hashes)]))[0])
 
 
 def weights(hashes: np.ndarray) -> dict[int, int]:
@@ -55,82 +84,101 @@ def similarity(a: dict[int, int], b: dict[int, int]) -> float:
     return shared / (sum(a.values()) + sum(b.values()) - shared) if a or b else 0.0
 
 
+def _flips(most: int) -> np.ndarray:
+    """All 16-bit patterns of at most so many ones."""
+    values = np.arange(1 << 16, dtype=np.uint16)
+    return values[np.bitwise_count(values) <= most]
+
+
+class Blocks:
+    """Index of at most 64 fingerprints: for each value of each block of 16 bits, the fingerprints near it there."""
+
+    def __init__(self, prints: np.ndarray, radius: int):
+        self.prints, self.radius = prints, radius
+        flips = _flips(radius // 4)
+        self.near = np.zeros((4, 1 << 16), np.uint64)
+        for block in range(4):
+            values = ((prints >> np.uint64(16 * block)) & np.uint64(0xFFFF)).astype(np.uint16)
+            for k, v in enumerate(values):
+                self.near[block, v ^ flips] |= np.uint64(1 << k)
+
+    def returned(self, fps: np.ndarray) -> np.ndarray:
+        """Fingerprints of the index that some block returns for each of fps, as the bits of a number."""
+        found = np.zeros(len(fps), np.uint64)
+        for block in range(4):
+            found |= self.near[block][((fps >> np.uint64(16 * block)) & np.uint64(0xFFFF)).astype(np.int64)]
+        return found
+
+    def within(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs (place in fps, number in the index) within the radius."""
+        found = self.returned(fps)
+        at, number = [], []
+        some = np.flatnonzero(found)
+        for k, own in enumerate(self.prints):
+            maybe = some[(found[some] >> np.uint64(k)) & np.uint64(1) == 1]
+            maybe = maybe[np.bitwise_count(fps[maybe] ^ own) <= self.radius]
+            at.append(maybe), number.append(np.full(len(maybe), k))
+        return np.concatenate(at), np.concatenate(number)
+
+
 class Index:
-    """Items of one block: their shingles, fingerprints and the index over the blocks of these."""
+    """Items of one block: their shingles, and the index of their fingerprints, class by class."""
 
     def __init__(self, ids: list, texts: list[str], radius: int):
-        self.ids, self.radius = [], radius
-        self.words, self.widths, self.weights, prints = [], [], [], []
-        places: dict[int, dict[int, list]] = {}
+        self.ids, self.sizes, self.weights = [], [], []
+        kinds: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for item, text in zip(ids, texts, strict=True):
             values, _ = words_in(plain_bytes(text))
             if not len(values):
                 continue
             width = min(WIDTH, len(values))
             shingles = Ranges(values).grams(width)
-            number = len(self.ids)
-            self.ids.append(item), self.words.append(len(values)), self.widths.append(width)
-            self.weights.append(weights(shingles)), prints.append(simhash(shingles))
-            own = places.setdefault(width, {})
-            for offset, h in enumerate(shingles.tolist()):
-                own.setdefault(h, []).append((number, offset))
-        self.places = places
-        self.known = {w: np.array(sorted(p), np.uint64) for w, p in places.items()}
-        self.marks = {}
-        for w, known in self.known.items():
-            self.marks[w] = np.zeros(1 << 20, bool)
-            self.marks[w][(known & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        self.prints = np.array(prints, np.uint64)
-        octets = self.prints.view(np.uint8).reshape(-1, 8)
-        near = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :]) <= radius // 8
-        # lists[block][value]: items whose block differs from value by radius // 8 bits or fewer.
-        self.lists = [[np.flatnonzero(near[v][octets[:, k]]) for v in range(256)] for k in range(8)]
-
-    def within(self, fingerprint: int) -> np.ndarray:
-        """Numbers of all items whose fingerprint lies within the radius."""
-        found = np.unique(np.concatenate([self.lists[k][(fingerprint >> (8 * k)) & 255] for k in range(8)]))
-        return found[np.bitwise_count(self.prints[found] ^ np.uint64(fingerprint)) <= self.radius]
-
-    def hits(self, shingles: np.ndarray, width: int) -> np.ndarray:
-        maybe = np.flatnonzero(self.marks[width][(shingles & np.uint64((1 << 20) - 1)).astype(np.int64)])
-        known = self.known[width]
-        at = np.minimum(np.searchsorted(known, shingles[maybe]), len(known) - 1)
-        return maybe[known[at] == shingles[maybe]]
-
-    def leaks(self, values: np.ndarray, hits: dict[int, np.ndarray], least: float) -> dict:
-        """Items that a document of these words leaks, with the best similarity of each."""
-        laid: dict[tuple[int, int, int], set[int]] = {}
-        grams = {}
-        for width, at in hits.items():
-            grams[width] = Ranges(values).grams(width)
-            for i in at.tolist():
-                for item, offset in self.places[width][int(grams[width][i])]:
-                    laid.setdefault((width, self.words[item], item), set()).add(i - offset)
-        # The best window lies between the alignments of the shingles in it.
-        windows = set()
-        for (width, size, _), starts in laid.items():
-            starts = sorted(starts)
-            for a, b in zip(starts, [*starts[1:], starts[-1] + 1], strict=True):
-                for start in range(a, b) if b - a <= size else (a,):
-                    windows.add((width, max(0, min(start, len(values) - size)), size))
-        best: dict = {}
-        for width, start, size in windows:
-            own = grams[width][start : max(start + 1, min(start + size, len(values)) - width + 1)]
-            if not len(own):
-                continue
-            mine = None
-            for item in self.within(simhash(own)).tolist():
-                if self.widths[item] == width:
-                    mine = mine or weights(own)
-                    s = similarity(mine, self.weights[item])
-                    if s >= least and s > best.get(item, 0.0):
-                        best[item] = s
-        return {self.ids[item]: s for item, s in best.items()}
+            kind = int(np.log(len(shingles)) / np.log(CLASS_RATIO))
+            kinds.setdefault((width, kind), []).append((len(self.ids), simhash(shingles)))
+            self.ids.append(item), self.sizes.append(len(shingles)), self.weights.append(weights(shingles))
+        #: (width, size of the windows, items, index) of each class, 64 items at most.
+        self.classes = []
+        for (width, _), own in sorted(kinds.items()):
+            for low in range(0, len(own), 64):
+                numbers, prints = zip(*own[low : low + 64], strict=True)
+                sizes = [self.sizes[n] for n in numbers]
+                size = int(round((min(sizes) * max(sizes)) ** 0.5))
+                self.classes.append((width, size, np.array(numbers), Blocks(np.array(prints, np.uint64), radius)))
+
+    def best(self, grams: np.ndarray, item: int, low: int, high: int) -> float:
+        """Best similarity of the item to its windows that start in low..high of a document's shingles."""
+        own, size = self.weights[item], self.sizes[item]
+        span = min(size, len(grams))
+        low, high = max(0, min(low, len(grams) - span)), min(high, len(grams) - span)
+        near = grams[low : high + span].tolist()
+        counts: dict[int, int] = {}
+        shared, best = 0, 0
+        for k, h in enumerate(near):
+            if h in own:
+                shared += counts.get(h, 0) < own[h]
+                counts[h] = counts.get(h, 0) + 1
+            if k >= span and (gone := near[k - span]) in own:
+                counts[gone] -= 1
+                shared -= counts[gone] < own[gone]
+            if k >= span - 1:
+                best = max(best, shared)
+        return best / (size + span - best)
+
+
+def _windows(first: np.ndarray, last: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of size shingles in each run first..last, the last one at its end; a shorter run is one window."""
+    step = max(1, size // STEPS)
+    room = np.maximum(last - first - size, 0)
+    times = -(-room // step) + 1
+    which = np.repeat(np.arange(len(first)), times)
+    place = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
+    start = first[which] + np.minimum(place * step, room[which])
+    return start, np.minimum(start + size, last[which])
 
 
 def _scan(texts: list[str], index: Index, least: float):
-    """What each text leaks."""
-    found = [{} for _ in texts]
+    """What each text leaks, with the best similarity of each item."""
+    found: list[dict] = [{} for _ in texts]
     if not index.ids:
         return found
     data = [plain_bytes(t) for t in texts]
@@ -138,16 +186,42 @@ def _scan(texts: list[str], index: Index, least: float):
     values, starts = words_in(b" ".join(data))
     doc = np.searchsorted(ends, starts, "right")
     first = np.searchsorted(doc, np.arange(len(texts) + 1))
-    touched: dict[int, dict[int, np.ndarray]] = {}
-    for width in index.known:
+    for width in sorted({c[0] for c in index.classes}):
+        classes = [c for c in index.classes if c[0] == width]
         if len(values) < width:
             continue
-        at = index.hits(Ranges(values).grams(width), width)
-        at = at[doc[at] == doc[at + width - 1]]
-        for d in np.unique(doc[at]).tolist():
-            touched.setdefault(d, {})[width] = at[doc[at] == d] - first[d]
-    for d, hits in touched.items():
-        found[d] = index.leaks(values[first[d] : first[d + 1]], hits, least)
+        grams = Ranges(values).grams(width)
+        low, high = first[:-1], np.maximum(first[1:] - width + 1, first[:-1])
+        # A stretch of shingles at a time, with as many more as the widest window has.
+        widest = max(size for _, size, _, _ in classes)
+        for begin in range(0, len(grams), STRETCH):
+            stop = min(len(grams), begin + STRETCH + widest)
+            sums = _running(grams[begin:stop])
+            own = np.flatnonzero((high > begin) & (low < stop) & (high > low))
+            a, b = np.maximum(low[own], begin), np.minimum(high[own], stop)
+            for _, size, numbers, blocks in classes:
+                # Texts far shorter than the items of a class cannot be like them.
+                fit = np.flatnonzero(b - a >= least * size / CLASS_RATIO)
+                if not len(fit):
+                    continue
+                start, end = _windows(a[fit], b[fit], size)
+                at, k = blocks.within(window_prints(sums, start - begin, end - begin))
+                hits: dict[tuple[int, int], list[int]] = {}
+                owner = np.searchsorted(first, start[at], "right") - 1
+                for d, item, s in zip(owner.tolist(), numbers[k].tolist(), start[at].tolist(), strict=True):
+                    hits.setdefault((d, item), []).append(s - int(first[d]))
+                for (d, item), places in hits.items():
+                    slack = index.sizes[item] // 4 + abs(index.sizes[item] - size) + 1
+                    places = sorted(places)
+                    runs = [[places[0], places[0]]]
+                    for s in places[1:]:
+                        if s - runs[-1][1] <= 2 * slack:
+                            runs[-1][1] = s
+                        else:
+                            runs.append([s, s])
+                    s = max(index.best(grams[low[d] : high[d]], item, x - slack, y + slack) for x, y in runs)
+                    if s >= least - 1e-9 and s > found[d].get(index.ids[item], 0.0):
+                        found[d][index.ids[item]] = s
     return found
 
 
@@ -165,7 +239,7 @@ def contamination(
     spark = docs.sparkSession
     items = benchmark.where("item_id is not null and text is not null").groupBy(F.col("item_id").cast("long").alias("item_id"), "text").count()
     items = staged(items.select("item_id", "text"), "benchmark-items")
-    blocks = max(1, -(-items.count() // max(1, block // 2)))
+    blocks = parts_for(items.count(), max(1, block // 2))
     state = packed(docs, text_or_empty().alias("text"), F.lit(0).cast("long").alias("n_items"),
                    F.lit(None).cast("long").alias("best_item"), F.lit(None).cast("double").alias("best_similarity"))
     schema = state.schema
