@@ -1,5 +1,5 @@
 """Queries over the given tables, by operator id."""
 
-from . import file_queries, registry, row_queries, set_queries  # noqa: F401
+from . import file_queries, migration, registry, row_queries, set_queries  # noqa: F401
 
 QUERIES, ORACLE_SQL = registry.QUERIES, registry.ORACLE_SQL

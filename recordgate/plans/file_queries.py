@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import rules
 from ..operators.rules import Rule
@@ -17,11 +18,19 @@ from ..streaming import stream
 from .registry import Source, query
 
 
+def is_local(spark) -> bool:
+    """Whether tasks run in the driver's own process."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def scratch(t: Source, name: str) -> str:
-    """A new folder beside the checkpoints, which driver and executors share; a temporary one only where none is named."""
+    """A new folder beside the checkpoints, which driver and executors share; a temporary one only in local mode, where none is named."""
     root = t.spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         sc = t.spark.sparkContext
+        if not is_local(t.spark):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
         root = sc.getCheckpointDir()
@@ -58,9 +67,10 @@ def src03(t):
 @query("SRC04", "SELECT CAST(c_nationkey AS VARCHAR) AS nation, CAST(count(*) AS BIGINT) AS n FROM customer GROUP BY c_nationkey")
 def src04(t):
     path = scratch(t, "src04")
-    # A document per nation, each an array of records.
+    # Documents of at most 500 customers of one nation, each an array of records, and a file for each.
     records = F.to_json(F.collect_list(F.struct(F.col("c_custkey"), F.col("c_nationkey").alias("nation"))))
-    t.customer.groupBy("c_nationkey").agg(records.alias("value")).select("value").repartition(25).write.option("maxRecordsPerFile", 1).text(path)
+    documents = t.customer.groupBy("c_nationkey", F.floor(F.col("c_custkey") / 500)).agg(records.alias("value")).select("value")
+    documents.write.option("maxRecordsPerFile", 1).text(path)
     return readers.read_json(t.spark, path, ["c_custkey", "nation"], lines=False)[0].groupBy("nation").agg(F.count("*").alias("n"))
 
 
@@ -82,17 +92,17 @@ def src06(t):
 
 @query("SRC13", "SELECT CAST(row_number() OVER (ORDER BY c_custkey) + 1 AS BIGINT) AS row_num, c_name FROM customer")
 def src13(t):
-    return readers.numbered(t.customer.orderBy("c_custkey").select("c_name"))
+    return readers.numbered(t.customer.orderBy("c_custkey").select("c_name"), scratch(t, "src13"))
 
 
-@query("SRC14")
+@query("SRC14", "SELECT n_name, 'JOB-1' AS job_id, 'nation' AS sheet_name, CAST(36 AS INT) AS id_length FROM nation")
 def src14(t):
     return readers.stamped(t.nation.select("n_name"), "JOB-1", "nation").select("n_name", "job_id", "sheet_name", F.length("record_id").alias("id_length"))
 
 
-@query("SRC16")
+@query("SRC16", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS ids FROM orders")
 def src16(t):
-    return syn04(t)
+    return synthetic.users(t.spark, t.orders.count()).agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"))
 
 
 @query("SNK01", "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, nullif(CASE o_orderkey % 4 WHEN 0 THEN 'a,b' WHEN 1 THEN 'say \"x\"' WHEN 2 THEN NULL ELSE o_orderpriority END, '') AS note FROM orders")
@@ -127,25 +137,40 @@ def snk04(t):
     return t.spark.read.parquet(path).groupBy("job_id").agg(F.count("*").alias("n"))
 
 
-@query("SNK05")
+@query("SNK05", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT c_name) AS BIGINT) AS names FROM customer")
 def snk05(t):
-    url, driver = f"jdbc:derby:memory:snk{uuid.uuid4().hex};create=true", "org.apache.derby.jdbc.EmbeddedDriver"
-    spread = t.customer.select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name")
-    # An embedded database lives in one process, so it can be written to where the driver runs tasks only.
-    if not t.spark.sparkContext.master.startswith("local["):
-        return spread.agg(F.count("*").alias("n"))
-    sinks.write_jdbc(spread, url, "customer", connections=4, mode="overwrite", driver=driver)
-    return t.spark.read.format("jdbc").option("url", url).option("dbtable", "customer").option("driver", driver).load().agg(F.count("*").alias("n"))
+    """The database is named in the settings recordgate.jdbc.url and recordgate.jdbc.driver; in local mode it may be one in memory."""
+    url, driver = t.spark.conf.get("recordgate.jdbc.url", None), t.spark.conf.get("recordgate.jdbc.driver", None)
+    if url is None:
+        if not is_local(t.spark):
+            raise ValueError("set recordgate.jdbc.url and recordgate.jdbc.driver to a database that executors can reach")
+        url, driver = f"jdbc:derby:memory:snk{uuid.uuid4().hex};create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    table, options = f"customer_{uuid.uuid4().hex[:12]}", {"driver": driver} if driver else {}
+    sinks.write_jdbc(t.customer.select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name"), url, table, connections=4, mode="overwrite", **options)
+    stored = t.spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**options).load()
+    return stored.agg(F.count("*").alias("n"), F.count_distinct("c_name").alias("names"))
+
+
+def _dealt_files(t: Source, folder: str, rows, k):
+    """rows in four files by k, 0 to 3, and a stream of these files, one a batch."""
+    rows.withColumn("k", k).repartition("k").write.partitionBy("k").parquet(f"{folder}/in")
+    return stream.files(t.spark, f"{folder}/in", T.StructType([*rows.schema.fields, T.StructField("k", T.IntegerType())]))
+
+
+def _batch_results(t: Source, folder: str):
+    """status, batches, and the rows that batches of it committed."""
+    out = t.spark.read.parquet(f"{folder}/out").agg(F.count("*").alias("rows"))
+    by_status = t.spark.read.parquet(f"{folder}/results").groupBy("status").agg(F.count("*").alias("n")).crossJoin(out)
+    return by_status.select("status", "n", F.when(F.col("status") == "OK", F.col("rows")).otherwise(0).alias("rows"))
 
 
-@query("SNK06", "SELECT 'OK' AS status, CAST(count(*) AS BIGINT) AS n FROM (SELECT 1)")
+@query("SNK06", "SELECT 'OK' AS status, CAST(count(DISTINCT o_orderkey % 4) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS rows FROM orders")
 def snk06(t):
     folder = scratch(t, "snk06")
-    t.orders.select("o_orderkey").coalesce(1).write.parquet(f"{folder}/in")
-    source = stream.files(t.spark, f"{folder}/in", t.orders.select("o_orderkey").schema)
+    source = _dealt_files(t, folder, t.orders.select("o_orderkey"), (F.col("o_orderkey") % 4).cast("int"))
     work = stream.tolerant(lambda df, n: df.write.mode("append").parquet(f"{folder}/out"), f"{folder}/results", 0)
     stream.run_batches(source, work, f"{folder}/checkpoint")
-    return t.spark.read.parquet(f"{folder}/results").groupBy("status").agg(F.count("*").alias("n"))
+    return _batch_results(t, folder)
 
 
 @query("SNK09", _CUSTOMER_SQL)
@@ -155,7 +180,7 @@ def snk09(t):
     return readers.read_delimited(t.spark, path, _CUSTOMER)[0]
 
 
-@query("SRT07")
+@query("SRT07", "SELECT 'lineitem.parquet' AS file, CAST(count(*) AS BIGINT) AS n FROM lineitem")
 def srt07(t):
     by_file = t.lineitem.groupBy(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file")).agg(F.count("*").alias("n"))
     return by_file.orderBy(F.desc("n"), "file").limit(20)
@@ -223,17 +248,19 @@ def str06(t):
     return t.spark.read.parquet(f"{folder}/out").agg(F.count("*").alias("n"))
 
 
-@query("STR07", "SELECT status, n FROM (VALUES ('FAILED', CAST(1 AS BIGINT)), ('OK', CAST(3 AS BIGINT))) v(status, n)")
+@query("STR07", """SELECT CASE WHEN event_id % 4 = 1 THEN 'FAILED' ELSE 'OK' END AS status, CAST(count(DISTINCT event_id % 4) AS BIGINT) AS n,
+  CAST(count(*) FILTER (event_id % 4 <> 1) AS BIGINT) AS rows FROM events GROUP BY 1""")
 def str07(t):
     folder = scratch(t, "str07")
+    rows = t.events.select(F.col("event_id").cast("long").alias("event_id"))
 
     def consume(df, number):
-        if number == 1:
-            raise ValueError("bad batch")
-        df.write.mode("append").parquet(f"{folder}/out")
+        wrong = F.when(F.col("event_id") % 4 == 1, F.raise_error(F.lit("bad event"))).otherwise(F.col("event_id"))
+        df.select(wrong.cast("long").alias("event_id")).write.mode("append").parquet(f"{folder}/out")
 
-    stream.run_batches(_event_files(t, folder), stream.tolerant(consume, f"{folder}/results", 2), f"{folder}/checkpoint")
-    return t.spark.read.parquet(f"{folder}/results").groupBy("status").agg(F.count("*").alias("n"))
+    source = _dealt_files(t, folder, rows, (F.col("event_id") % 4).cast("int"))
+    stream.run_batches(source, stream.tolerant(consume, f"{folder}/results", 2), f"{folder}/checkpoint")
+    return _batch_results(t, folder)
 
 
 # User functions
@@ -291,7 +318,7 @@ def syn03(t):
     return synthetic.permissions(t.spark, t.supplier.count())
 
 
-@query("SYN04")
+@query("SYN04", "SELECT name, CAST(count(*) AS BIGINT) AS n FROM customer, (VALUES ('users'), ('roles'), ('permissions')) v(name) GROUP BY name")
 def syn04(t):
     n, folder = t.customer.count(), scratch(t, "syn04")
     tables = {"users": synthetic.users(t.spark, n), "roles": synthetic.roles(t.spark, n), "permissions": synthetic.permissions(t.spark, n)}

@@ -14,7 +14,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 VIEWS: dict[str, str] = {}
 
-VIEWS["stg_case"] = """SELECT 'JOB-1' AS job_id, CAST(o.o_orderkey + 2 AS INT) AS row_num,
+VIEWS["stg_case"] = """SELECT CASE WHEN o.o_orderkey % 5 = 4 THEN 'JOB-2' ELSE 'JOB-1' END AS job_id, CAST(o.o_orderkey + 2 AS INT) AS row_num,
   CASE WHEN o.o_orderkey % 97 = 0 THEN NULL WHEN o.o_orderkey % 89 = 0 THEN '  '
        ELSE ' wh_' || CAST(c.c_nationkey % 8 AS STRING) || ' ' END AS warehouse,
   CASE WHEN o.o_orderkey % 83 = 0 THEN NULL ELSE 'dv' || lpad(CAST(c.c_nationkey AS STRING), 3, '0') END AS unit_code,
@@ -44,14 +44,14 @@ VIEWS["stg_contract"] = """SELECT 'JOB-1' AS job_id, 'contract' AS sheet_name, C
   CASE WHEN o.o_orderkey % 53 = 0 THEN NULL ELSE CAST(o.o_orderdate AS DATE) END AS disbursed_on,
   CASE WHEN o.o_orderkey % 2 = 0 THEN NULL ELSE CAST(o.o_orderdate AS DATE) END AS due_on,
   CASE o.o_orderkey % 4 WHEN 0 THEN 'permanent' WHEN 1 THEN 'short' WHEN 2 THEN 'medium' ELSE 'long' END AS retention_class,
-  CASE WHEN o.o_orderkey % 2 = 0 THEN DATE '9999-12-31' ELSE CAST(o.o_orderdate AS DATE) END AS destroy_on,
+  CASE WHEN o.o_orderkey % 2 = 0 AND o.o_orderkey % 37 <> 0 THEN DATE '9999-12-31' ELSE CAST(o.o_orderdate AS DATE) END AS destroy_on,
   c.c_name AS customer_name
 FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey"""
 
 VIEWS["m_warehouse"] = """SELECT DISTINCT CAST(n_nationkey % 8 + 1 AS INT) AS id, 'WH_' || CAST(n_nationkey % 8 AS STRING) AS code, (n_nationkey % 8) <> 5 AS is_active FROM nation WHERE n_nationkey % 8 <> 7"""
 VIEWS["m_unit"] = """SELECT CAST(n_nationkey + 1 AS INT) AS id, 'DV' || lpad(CAST(n_nationkey AS STRING), 3, '0') AS code, n_name AS name,
   CASE WHEN n_nationkey % 5 = 0 THEN NULL ELSE 'DV' || lpad(CAST(n_nationkey - n_nationkey % 5 AS STRING), 3, '0') END AS parent_code,
-  n_nationkey % 11 <> 10 AS is_active FROM nation"""
+  n_nationkey % 11 <> 10 AS is_active FROM nation WHERE n_nationkey % 12 <> 11"""
 VIEWS["m_doc_type"] = """SELECT DISTINCT CAST(CAST(substr(o_orderpriority, 1, 1) AS INT) AS INT) AS id, upper(o_orderpriority) AS name, true AS is_active FROM orders WHERE o_orderpriority <> '5-LOW'"""
 VIEWS["m_retention"] = """SELECT DISTINCT CAST(n_nationkey % 5 + 1 AS INT) AS id, CAST(n_nationkey % 5 * 5 + 5 AS INT) AS years, n_nationkey % 5 <> 3 AS is_active FROM nation"""
 VIEWS["m_location"] = """SELECT DISTINCT CAST(n_nationkey % 3 * 5 + n_nationkey % 5 + 1 AS INT) AS id, 'AREA_' || CAST(n_nationkey % 3 AS STRING) AS area,

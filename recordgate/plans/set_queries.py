@@ -329,7 +329,7 @@ def win01(t):
     from ..operators import rules
 
     clean = staging.accepted(t.stg_case).where(rules.first_error(staging.row_rules()).isNull())
-    return dedupe.repeats(clean, [F.col(k) for k in staging.KEY]).select("row_num")
+    return dedupe.repeats(clean, [F.col(k) for k in ("job_id", *staging.KEY)]).select("row_num")
 
 
 @query("WIN02", "SELECT row_num, 'duplicate of row ' || first_row AS message FROM case_ranked WHERE place > 1")
@@ -337,7 +337,7 @@ def win02(t):
     from ..operators import rules
 
     clean = staging.accepted(t.stg_case).where(rules.first_error(staging.row_rules()).isNull())
-    found = dedupe.repeats(clean, [F.col(k) for k in staging.KEY])
+    found = dedupe.repeats(clean, [F.col(k) for k in ("job_id", *staging.KEY)])
     return found.select("row_num", F.concat(F.lit("duplicate of row "), F.col("first_row").cast("string")).alias("message"))
 
 

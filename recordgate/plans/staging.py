@@ -71,10 +71,10 @@ def checked(rows: DataFrame, warehouses: DataFrame, units: DataFrame, kinds: Dat
     """
     made = rules.in_order(row_rules())
     incomplete = F.greatest(*[F.col(k).isNull() for k in KEY])
-    dealt = rows.withColumn("__alone", F.when(incomplete, F.col("row_num"))).repartition(*KEY, "__alone")
+    dealt = rows.withColumn("__alone", F.when(incomplete, F.col("row_num"))).repartition("job_id", *KEY, "__alone")
     first = dealt.withColumn("__n", rules.first_number(made))
     clean = F.col("__n") == 0
-    marked = dedupe.mark_repeats(first, [*[F.col(k) for k in KEY], F.col("__alone"), clean])
+    marked = dedupe.mark_repeats(first, [F.col("job_id"), *[F.col(k) for k in KEY], F.col("__alone"), clean])
     marked = refs.with_presence(marked, refs.active(warehouses), F.col("warehouse"), "code", "__w")
     marked = refs.with_presence(marked, refs.active(units), F.col("unit_code"), "code", "__u")
     marked = refs.with_presence(marked, refs.active(kinds), F.col("doc_type"), "name", "__d")
@@ -147,8 +147,8 @@ TWIN_VIEWS["case_norm"] = (
 )
 TWIN_VIEWS["case_row_error"] = f"SELECT *, {_ladder("'{0}'")} AS row_error, {_ladder("'{1}'")} AS row_field FROM case_norm"
 TWIN_VIEWS["fact_codes"] = """SELECT f.*, u.code AS unit_code, b.code AS box_code FROM case_fact f JOIN m_unit u ON f.unit_id = u.id JOIN m_box b ON f.box_id = b.id"""
-TWIN_VIEWS["case_ranked"] = """SELECT *, row_number() OVER (PARTITION BY unit_code, box_code, doc_date, quantity ORDER BY row_num) AS place,
-  first_value(row_num) OVER (PARTITION BY unit_code, box_code, doc_date, quantity ORDER BY row_num) AS first_row FROM case_row_error WHERE row_error IS NULL"""
+TWIN_VIEWS["case_ranked"] = """SELECT *, row_number() OVER (PARTITION BY job_id, unit_code, box_code, doc_date, quantity ORDER BY row_num) AS place,
+  first_value(row_num) OVER (PARTITION BY job_id, unit_code, box_code, doc_date, quantity ORDER BY row_num) AS first_row FROM case_row_error WHERE row_error IS NULL"""
 TWIN_VIEWS["case_checked"] = """SELECT * EXCLUDE (row_error, row_field), row_error AS error_type, row_field AS error_field FROM case_row_error WHERE row_error IS NOT NULL
 UNION ALL BY NAME
 SELECT * EXCLUDE (row_error, row_field, place, first_row, w, u, d, r, f),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -86,10 +86,19 @@ def read(spark: SparkSession, path: str, names: list[str]) -> tuple[DataFrame, D
     return reader_for(path)(spark, path, names)
 
 
-def numbered(df: DataFrame, first: int = 2, name: str = "row_num") -> DataFrame:
-    """Row numbers of a text source in its order, the header being row 1; partitions are counted, none is moved."""
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
-    return df.sparkSession.createDataFrame(df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + first)), schema)
+def numbered(df: DataFrame, folder: str, first: int = 2, name: str = "row_num") -> DataFrame:
+    """Row numbers in the order of df, the header being row 1.
+
+    df is written to folder, file by file in its order; a row's number is its place in its file
+    and the rows of the files before, which are counted, a row for each file.
+    """
+    df.write.parquet(folder)
+    placed = df.sparkSession.read.schema(df.schema).parquet(folder).select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    files = placed.groupBy("__file").agg(F.count("*").alias("__n"))
+    number = F.regexp_extract("__file", r"^part-(\d+)", 1).cast("long")
+    before = F.sum("__n").over(Window.orderBy(number, "__file")) - F.col("__n")
+    files = files.select("__file", before.alias("__before"))
+    return placed.join(files, "__file").select(*df.columns, (F.col("__before") + F.col("__row") + first).alias(name))
 
 
 def stamped(df: DataFrame, job_id: str, sheet: str | None = None) -> DataFrame:
