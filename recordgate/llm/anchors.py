@@ -8,8 +8,9 @@ repeat where its anchor does, and about one position in width / 2 is an anchor.
 of that is lossless; what a repeated anchor's surroundings have in common is left to
 the operators, which sort the suffixes there.
 
-Steps, each an aggregation or equi join with map-side combine; a hot anchor is an
-ordinary skewed join key:
+Steps, each an aggregation or equi join with map-side combine.  Hot anchors are joined where
+they lie: a key with more than a HOT-th of all rows is one of at most HOT such keys, so these can be
+broadcast at any size of the corpus.
 
 1. ``anchor_rows``: anchors of each text with a hash of their context, that is, all
    tokens of windows filed under it.
@@ -35,6 +36,8 @@ from .shared import staged, text_or_empty
 
 #: Tokens that are hashed at once; longer texts are taken in overlapping pieces.
 CHUNK = 1 << 20
+#: A key is hot if it has more than one in so many of all rows, so there are at most so many hot keys.
+HOT = 2000
 #: Stands for a missing doc_id in keys.
 NO_ID = -(2**63)
 #: An odd factor, and its inverse modulo 2 ** 64.
@@ -216,10 +219,13 @@ def anchor_rows(documents: DataFrame, shape: Shape) -> DataFrame:
 
 
 def repeated(anchors: DataFrame) -> DataFrame:
-    """Anchors whose piece occurs at two places or more."""
+    """Anchors whose piece occurs at two places or more; anchors are staged."""
+    total = anchors.count()
     # Written first, so that the join is one of two plain exchanges, whose skewed parts Spark splits.
-    often = staged(anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "repeated-grams")
-    return anchors.join(often, "gram", "left_semi")
+    often = staged(anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "repeated-grams")
+    hot = F.broadcast(often.where(F.col("n") * HOT > total).select("gram"))
+    others = anchors.join(hot, "gram", "left_anti").join(often.where(F.col("n") * HOT <= total).select("gram"), "gram", "left_semi")
+    return anchors.join(hot, "gram", "left_semi").unionByName(others)
 
 
 def context_classes(anchors: DataFrame) -> DataFrame:
@@ -238,16 +244,20 @@ def member_intervals(anchors: DataFrame, classes: DataFrame, shape: Shape, keep_
 
     high may lie beyond the end of the text, low before its start; callers clip.
     """
-    own = classes.where("members > 1").select("gram", "ctx", F.col("doc").alias("d"), F.col("th").alias("t"), F.col("pos").alias("p"))
-    joined = anchors.join(own, ["gram", "ctx"])
+    total = anchors.count()
+    own = classes.where("members > 1").select("gram", "ctx", "members", F.col("doc").alias("d"), F.col("th").alias("t"), F.col("pos").alias("p"))
+    is_hot = F.col("members") * HOT > total
+    hot, cold = F.broadcast(own.where(is_hot).drop("members")), own.where(~is_hot).drop("members")
+    others = anchors.join(hot.select("gram", "ctx"), ["gram", "ctx"], "left_anti").join(cold, ["gram", "ctx"])
+    joined = anchors.join(hot, ["gram", "ctx"]).select(others.columns).unionByName(others)
     if keep_first:
         joined = joined.where("not (doc = d and th = t and pos = p)")
     return joined.select("doc", "th", (F.col("pos") - shape.left).alias("low"), (F.col("pos") + shape.width).alias("high"))
 
 
 def per_document(rows: DataFrame, *columns: str) -> DataFrame:
-    """Rows of each (doc, th), as parallel arrays; their number is bounded by the text's length."""
-    return rows.groupBy("doc", "th").agg(F.collect_list(F.struct(*columns)).alias("own")).select(
+    """Distinct rows of each (doc, th), as parallel arrays; their number is bounded by the text's length, however often it is repeated."""
+    return rows.groupBy("doc", "th").agg(F.collect_set(F.struct(*columns)).alias("own")).select(
         "doc", "th", *[F.col(f"own.{c}").alias(c) for c in columns]
     )
 
@@ -269,9 +279,6 @@ def with_contexts(documents: DataFrame, representatives: DataFrame, shape: Shape
                 doc, th, text, grams, members, places = (c[row].as_py() for c in batch.columns)
                 data = text.encode("utf-8", "surrogatepass")
                 data = word_values(data).tobytes() if shape.words else data
-                # Rows that are alike in all their columns stand for one another.
-                unique = sorted(set(zip(grams, members, places, strict=True)))
-                grams, members, places = zip(*unique, strict=True)
                 n = len(places)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -283,8 +290,8 @@ def with_contexts(documents: DataFrame, representatives: DataFrame, shape: Shape
                     ["gram", "members", "doc", "th", "pos", "before", "after"],
                 )
 
-    # Rows with one key have one text, and give the same contexts; callers count them once.
-    joined = documents.join(wanted, ["doc", "th"]).select("doc", "th", "text", "gram", "members", "pos")
+    # Rows with one key have one text, and are read once.
+    joined = documents.join(wanted, ["doc", "th"]).dropDuplicates(["doc", "th"]).select("doc", "th", "text", "gram", "members", "pos")
     return joined.mapInArrow(run, _CONTEXTS)
 
 

@@ -3,8 +3,12 @@
 Suffixes of the word sequences are split by prefixes of variable length: the words
 of an anchor (anchors.py), and for anchors with more suffixes than a task should hold,
 all words of the window.  Each group's suffixes form one suffix tree, kept as its leaves
-in order with the depth of the branching between neighbours; its nodes of depth 20
-and more are the maximal repeats, in which the earliest leaf stays and the others go.
+in order with the depth at which each parts from the one before: an inner node is a stretch of
+leaves whose depths do not fall below its own.  Nodes of depth 20 and more are repeats, and a
+leaf that is not the earliest of its deepest such node repeats as many words as the node is deep.
+
+Places with equal surroundings are one leaf (they are told by a hash of all words around them), and
+all of them but the first repeat.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors as A
+from .shared import staged
 from .suffix_dedup import GROUP, _sorted_groups, repeat_intervals
 
 GRAM = 6
@@ -36,15 +41,32 @@ def _suffixes(befores: pa.ChunkedArray, afters: pa.ChunkedArray, rows: np.ndarra
     return words, before, after
 
 
-def tree_depths(suffixes: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix tree of the rows under each prefix: leaves in order, and the depth at which each parts from the one before."""
+def tree_depths(suffixes: np.ndarray, length: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix tree of the rows under each prefix: leaves in order, and the depth at which each parts from the one before.
+
+    A row has length words, and what is beyond these does not count.
+    """
     order = np.lexsort((*suffixes.T[::-1], prefix))
-    rows, kept = suffixes[order], prefix[order]
-    same = np.concatenate([[[False] * rows.shape[1]], rows[1:] == rows[:-1]]) if len(rows) else np.zeros((0, rows.shape[1]), bool)
+    rows, kept, length = suffixes[order], prefix[order], length[order]
+    if not len(rows):
+        return order, np.zeros(0, np.int64)
+    same = rows[1:] == rows[:-1]
     depth = np.where(same.all(1), rows.shape[1], same.argmin(1))
-    if len(rows):
-        depth[np.concatenate([[True], kept[1:] != kept[:-1]])] = 0
-    return order, depth
+    depth = np.minimum(depth, np.minimum(length[1:], length[:-1]))
+    depth[kept[1:] != kept[:-1]] = 0
+    return order, np.concatenate([[0], depth])
+
+
+def repeated_depths(order: np.ndarray, depth: np.ndarray, least: int) -> np.ndarray:
+    """For each row the depth of the deepest node of at least that depth in which it is not the earliest row; 0 if there is none."""
+    found = np.zeros(len(order), np.int64)
+    for level in range(int(depth.max(initial=0)), least - 1, -1):
+        node = np.cumsum(depth < level)
+        earliest = np.full(node[-1] + 1, len(order), np.int64)
+        np.minimum.at(earliest, node, order)
+        later = order[(order != earliest[node]) & (found[order] == 0)]
+        found[later] = level
+    return found
 
 
 def _compare(shape: A.Shape):
@@ -62,18 +84,15 @@ def _compare(shape: A.Shape):
                 own = np.flatnonzero((before >= step) & (after >= width - step))
                 if not len(own):
                     continue
-                order, depth = tree_depths(words[own, left - step : left - step + width], group[own])
-                node = np.cumsum(depth < width)
-                leaf = own[order]
                 # Rows stand in order of (doc, th, pos) within their group, so the least row of a node is its earliest.
-                earliest = np.full(node[-1] + 1, len(rows), np.int64)
-                np.minimum.at(earliest, node, leaf)
-                later = leaf[leaf != earliest[node]]
-                first[later] = np.where(first[later] < 0, step, first[later])
+                order, depth = tree_depths(words[own, left - step :], step + after[own], group[own])
+                deep = repeated_depths(order, depth, width)
+                later, end = own[deep > 0], deep[deep > 0] - step
+                first[later] = np.maximum(first[later], end)
                 last[later] = step
-            hit = np.flatnonzero(first >= 0)
+            hit = np.flatnonzero(last >= 0)
             doc, th = docs[hit], ths[hit]
-            low, high = (pos[hit] - last[hit]).astype(np.int32), (pos[hit] - first[hit] + width).astype(np.int32)
+            low, high = (pos[hit] - last[hit]).astype(np.int32), (pos[hit] + first[hit]).astype(np.int32)
         return pa.table({"doc": pa.array(doc), "th": pa.array(th), "low": pa.array(low), "high": pa.array(high)})
 
     return compare
@@ -92,7 +111,7 @@ def substring_dedup(docs: DataFrame, width: int = 20, gram: int = GRAM, group: i
     """
     shape = A.Shape(width, gram, words=True)
     documents = A.keyed(docs)
-    runs = A.per_document(repeat_intervals(documents, shape, _compare(shape), True, group, GROUP_ROWS), "low", "high")
+    runs = staged(A.per_document(repeat_intervals(documents, shape, _compare(shape), True, group, GROUP_ROWS), "low", "high"), "repeat-runs")
 
     def cut(batches):
         for batch in batches:

@@ -131,7 +131,7 @@ def suffix_dedup(docs: DataFrame, width: int = 200, gram: int = GRAM, group: int
     """
     shape = A.Shape(width, gram, words=False)
     documents = A.keyed(docs)
-    runs = A.per_document(repeat_intervals(documents, shape, _compare(width, shallow), False, group, GROUP_ROWS), "low", "high")
+    runs = staged(A.per_document(repeat_intervals(documents, shape, _compare(width, shallow), False, group, GROUP_ROWS), "low", "high"), "repeat-runs")
 
     def cut(batches):
         for batch in batches:

@@ -4,12 +4,13 @@ import hashlib
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from recordgate.llm import anchors as A
 from recordgate.llm.queries import op1_suffix_dedup, op5_substring_dedup
 from recordgate.llm.shared import load
-from recordgate.llm.substring_dedup import substring_dedup
+from recordgate.llm.substring_dedup import repeated_depths, substring_dedup, tree_depths
 from recordgate.llm.suffix_dedup import repeated_reach, suffix_dedup
 from recordgate.llm.suffix_sort import common_prefix, deep_shallow_order
 
@@ -107,6 +108,36 @@ def test_awkward_rows(spark):
     assert substring_dedup(documents(spark, [])).count() == 0
 
 
+def test_many_repeated_rows(spark):
+    rng = random.Random(4)
+    text = " ".join(f"w{rng.randrange(90)}" for _ in range(120))
+    rows = [(7, text)] * 1200 + [(k, text[k : 300 + k]) for k in range(20)] + [(7, "another text of the same id, with words of its own, and more of them")] * 2
+    assert by_id(suffix_dedup(documents(spark, rows), width=24, gram=8).drop("kept").collect()) == by_id(plain_bytes(rows, 24))
+    got = substring_dedup(documents(spark, rows), width=5, gram=2).drop("kept").collect()
+    assert len(got) == len(rows) and len({tuple(r) for r in got}) == len(set(rows))
+
+
+@pytest.mark.parametrize("hot", [1, 2000, 10**9])
+def test_hot_anchors_are_joined_where_they_lie(spark, monkeypatch, hot):
+    monkeypatch.setattr(A, "HOT", hot)
+    rows = noisy_rows(6, 30, "ab    ", 160) + [(500, "x y " * 200), (501, "x y " * 150)]
+    assert by_id(substring_dedup(documents(spark, rows), width=6, gram=2).drop("kept").collect()) == by_id(plain_words(rows, 6))
+    assert by_id(suffix_dedup(documents(spark, rows), width=24, gram=8).drop("kept").collect()) == by_id(plain_bytes(rows, 24))
+
+
+def test_nodes_of_a_suffix_tree():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        n = int(rng.integers(1, 30))
+        rows, length, prefix = rng.integers(1, 3, (n, 8)).astype(np.uint64), rng.integers(0, 9, n), rng.integers(0, 2, n)
+        rows[np.arange(8)[None, :] >= length[:, None]] = 0
+        got = repeated_depths(*tree_depths(rows, length, prefix), 3)
+        for i in range(n):
+            shared = [int(np.argmin([*(rows[i, :m] == rows[j, :m]), False])) for j in range(i) if prefix[i] == prefix[j] for m in [min(length[i], length[j])]]
+            want = max(shared, default=0)
+            assert got[i] == (want if want >= 3 else 0)
+
+
 def test_texts_longer_than_a_chunk(spark, monkeypatch):
     monkeypatch.setattr(A, "CHUNK", 500)
     rows = noisy_rows(5, 6, "abcd ", 2000)
