@@ -21,9 +21,9 @@ def missing_members(rows: DataFrame, dimension: DataFrame, keys: list[str], othe
 
 def with_surrogate(new: DataFrame, dimension: DataFrame, keys: list[str], id_column: str = "id") -> DataFrame:
     """new + ids that go on from the greatest one; new members of a dimension are few, so one window orders them."""
-    last = dimension.agg(F.coalesce(F.max(id_column), F.lit(0))).first()[0]
+    last = dimension.agg(F.coalesce(F.max(id_column), F.lit(0))).scalar()
     place = F.row_number().over(Window.orderBy(*keys))
-    return new.withColumn(id_column, (F.lit(last) + place).cast("bigint"))
+    return new.withColumn(id_column, (last + place).cast("bigint"))
 
 
 def grown(dimension: DataFrame, new: DataFrame) -> DataFrame:

@@ -11,8 +11,8 @@ def one_hop(links: DataFrame, targets: DataFrame, key: str) -> DataFrame:
 
 
 def two_hops(first: DataFrame, second: DataFrame, middle: str, start: str, end: str) -> DataFrame:
-    """Distinct (start, end) over the middle."""
-    return first.select(start, middle).join(second.select(middle, end), middle).select(start, end).distinct()
+    """Distinct (start, end) over the middle; repeated links count once before they are joined."""
+    return first.select(start, middle).distinct().join(second.select(middle, end).distinct(), middle).select(start, end).distinct()
 
 
 def allowed(resources: DataFrame, links: DataFrame, key: str) -> DataFrame:

@@ -12,9 +12,6 @@ from .registry import TWIN_VIEWS, query
 
 # Sources in table form
 
-_ENABLED = "(VALUES ('S1', 3, true), ('S2', 1, true), ('S3', 2, false))"
-
-
 def _sheets(t):
     """Raw rows of two sheets with different columns, by name."""
     return {
@@ -46,9 +43,9 @@ def src08(t):
     return both_sheets(t).where(F.col("sheet_name").isin("contract", "other")).select("sheet_name", "row_num")
 
 
-@query("SRC09", "SELECT s.sheet, CAST(min(s.row_no) AS INT) AS place FROM cell_table s WHERE s.sheet IN (SELECT 'R' || CAST(r_regionkey AS VARCHAR) FROM region WHERE r_regionkey <> 3) GROUP BY s.sheet")
+@query("SRC09", "SELECT 'R' || CAST(r_regionkey AS VARCHAR) AS sheet, CAST(5 - r_regionkey AS INT) AS place FROM region WHERE r_regionkey <> 3 AND 'R' || CAST(r_regionkey AS VARCHAR) IN (SELECT sheet FROM cell_table)")
 def src09(t):
-    registry = t.region.select(F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("sheet"), (F.col("r_regionkey") != 3).alias("enabled"), F.lit(1).alias("place"))
+    registry = t.region.select(F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("sheet"), (F.col("r_regionkey") != 3).alias("enabled"), (5 - F.col("r_regionkey")).cast("int").alias("place"))
     present = t.cell_table.select("sheet").distinct()
     return registry.where("enabled").join(present, "sheet", "left_semi").orderBy("place", "sheet").select("sheet", "place")
 
@@ -428,13 +425,16 @@ def set02(t):
 
 @query("SET03", """SELECT job_id, row_num, error_type, min(error_field) AS error_field FROM (
   SELECT job_id, row_num, row_error AS error_type, row_field AS error_field FROM case_row_error WHERE row_error IS NOT NULL
-  UNION ALL SELECT job_id, row_num, row_error, row_field FROM case_row_error WHERE row_error IS NOT NULL) GROUP BY ALL""")
+  UNION ALL SELECT job_id, row_num, 'REQUIRED_MISSING', 'box_code_or_quantity' FROM case_norm WHERE box_code IS NULL OR quantity IS NULL
+  UNION ALL SELECT job_id, row_num, 'REQUIRED_MISSING', 'unit_code' FROM case_norm WHERE unit_code IS NULL) GROUP BY ALL""")
 def set03(t):
     from ..operators import rules
 
-    e = rules.first_error(staging.row_rules())
-    errors = staging.accepted(t.stg_case).select("job_id", "row_num", e["error_type"].alias("error_type"), e["error_field"].alias("error_field")).where("error_type is not null")
-    return dedupe.first_of_each(errors.unionByName(errors), ["job_id", "row_num", "error_type"], "error_field")
+    e, rows = rules.first_error(staging.row_rules()), staging.accepted(t.stg_case)
+    errors = rows.select("job_id", "row_num", e["error_type"].alias("error_type"), e["error_field"].alias("error_field")).where("error_type is not null")
+    for condition, field in (("box_code is null or quantity is null", "box_code_or_quantity"), ("unit_code is null", "unit_code")):
+        errors = errors.unionByName(rows.where(condition).select("job_id", "row_num", F.lit("REQUIRED_MISSING").alias("error_type"), F.lit(field).alias("error_field")))
+    return dedupe.first_of_each(errors, ["job_id", "row_num", "error_type"], "error_field")
 
 
 @query("SET04", "SELECT 'case' AS sheet_name, row_num FROM stg_case WHERE unit_code IS NULL UNION ALL SELECT 'contract', row_num FROM stg_contract WHERE disbursed_on IS NULL")
@@ -708,5 +708,5 @@ def rep15(t):
 
 @query("REP16", "SELECT sheet_name FROM job_sheet_log WHERE started_at < (SELECT max(started_at) FROM job_sheet_log) - INTERVAL 7 DAY")
 def rep16(t):
-    newest = t.job_sheet_log.agg(F.max("started_at")).first()[0]
-    return t.job_sheet_log.where(F.col("started_at") < F.lit(newest) - F.expr("interval 7 days")).select("sheet_name")
+    newest = t.job_sheet_log.agg(F.max("started_at")).scalar()
+    return t.job_sheet_log.where(F.col("started_at") < newest - F.expr("interval 7 days")).select("sheet_name")
