@@ -32,9 +32,9 @@ END = 2
 ROW_GROUP = 16 << 20
 PAGE = 256 << 10
 #: Pieces that a worker remembers: the first ones it meets, among which the frequent ones are.
-KNOWN = 300_000
+KNOWN = 150_000
 #: Bytes of text that are split at once.
-STEP = 8 << 20
+STEP = 4 << 20
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(rf"[{_LETTERS}0-9\n!-/:-@\[-`{{-~ ]*")
