@@ -41,7 +41,7 @@ DECAY, POWER = 0.7, 2
 #: Below this resemblance a word counts as not resembling the landmark.
 LEAST = 0.3
 #: Added to the kernel between landmarks before it is inverted, and words that a worker remembers.
-RIDGE, KNOWN = 0.1, 300_000
+RIDGE, KNOWN = 0.1, 120_000
 THRESHOLD = 0.7
 _GAPS = ((1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4))
 _STEP = 512 << 10

@@ -257,3 +257,24 @@ def test_pipeline_stages(spark, sf):
     assert sum(1 for d, y in labels.items() if y == 0 and d in clean) >= 0.98 * sum(1 for y in labels.values() if y == 0)
     out = corpus_pipeline.run(spark, sf)
     assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() > 0
+
+
+def test_pipeline_on_awkward_and_empty_tables(spark, tmp_path):
+    for name, rows in (("awkward", AWKWARD), ("empty", [])):
+        folder = str(tmp_path / name)
+        tables = {
+            "documents": documents(spark, rows),
+            "labels": spark.createDataFrame([(1, 1, 1), (2, 0, 0), (None, 1, 0), (9, None, 7)] if rows else [], "doc_id long, quality int, toxic int"),
+            "benchmark": spark.createDataFrame([(1, "same text here said twice over"), (None, "x"), (2, None)] if rows else [], "item_id long, text string"),
+        }
+        for table, df in tables.items():
+            df.write.parquet(f"{folder}/{table}.parquet")
+        docs, kept = load(spark, folder, "documents"), {}
+        for stage, work in corpus_pipeline.STAGES[:-1]:
+            found = work(spark, docs, folder)
+            assert found.schema == docs.schema
+            kept[stage] = sorted((r.doc_id is not None, r.doc_id or 0) for r in found.collect())
+        ids = sorted((r[0] is not None, r[0] or 0) for r in rows)
+        assert kept["toxicity"] == ids
+        assert kept["decontamination"] == [i for i in ids if i[1] not in (6, 7)]
+        assert len(corpus_pipeline.run(spark, folder).collect()) == 0 if not rows else corpus_pipeline.run(spark, folder).count() > 0
