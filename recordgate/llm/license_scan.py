@@ -134,7 +134,7 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, level: float = LEVEL) ->
 
 
 def license_sql(templates=TEMPLATES, level: float = LEVEL) -> str:
-    """The same rows in DuckDB's SQL, without the bounds."""
+    """The same rows in DuckDB's SQL, over all units and without the bounds; a unit that shares no bigram has a Dice of 0."""
     quoted = ", ".join("('{}', {})".format(n, "[" + ", ".join(f"'{p}'" for p in bigram_set(normal_words(t))) + "]") for n, t in templates)
     return f"""
 WITH templates(license, pairs) AS (VALUES {quoted}),
@@ -145,11 +145,11 @@ cut AS (
 units AS (SELECT rid, pos, trim(unit) AS unit FROM (
   SELECT rid, unnest(list_concat(lines, list_transform(paragraphs, lambda p: regexp_replace(p, ' *\\n *', ' ', 'g')))) AS unit,
          unnest(range(len(lines) + len(paragraphs))) AS pos FROM cut)),
-words AS (SELECT rid, pos, string_split(unit, ' ') AS w FROM units WHERE regexp_matches(unit, 'licen|permi|copy|free|public|software|domain|redist|source')),
-pairs AS (SELECT rid, pos, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS p FROM words WHERE len(w) BETWEEN 2 AND 400),
-dice AS (
-  SELECT rid, pos, license, 2.0 * len(list_intersect(p, pairs)) / (len(p) + len(pairs)) AS dice
-  FROM (SELECT rid, pos, p FROM pairs) CROSS JOIN templates),
+words AS (SELECT rid, pos, string_split(unit, ' ') AS w FROM units),
+pairs AS (SELECT rid, pos, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS p FROM words WHERE len(w) >= 2),
+grams AS (SELECT rid, pos, len(p) AS n, unnest(p) AS g FROM pairs),
+known AS (SELECT license, len(pairs) AS m, unnest(pairs) AS g FROM templates),
+dice AS (SELECT rid, pos, license, 2.0 * count(*) / (n + m) AS dice FROM grams JOIN known USING (g) GROUP BY rid, pos, license, n, m),
 good AS (SELECT rid, pos, license, round(dice, 6) AS dice, row_number() OVER (PARTITION BY rid, pos ORDER BY round(dice, 6) DESC, license) AS place
   FROM dice WHERE dice >= {level} - 1e-9),
 best AS (SELECT * FROM good WHERE place = 1),
