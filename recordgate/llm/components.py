@@ -25,12 +25,13 @@ def _ordered(links: DataFrame) -> DataFrame:
 
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    # Written first, so that the links of a hub are split by Spark: both sides of the join are plain exchanges.
+    least = staged(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least-neighbours")
     return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
-    least = links.groupBy("a").agg(F.min("b").alias("m"))
+    least = staged(links.groupBy("a").agg(F.min("b").alias("m")), "least-neighbours")
     others = links.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return others.unionByName(least.select("a", F.col("m").alias("b")))
 
@@ -48,7 +49,8 @@ def components(links: DataFrame) -> DataFrame:
         if mark == seen or mark["n"] == 0:
             break
         seen = mark
-        links = staged(_ordered(_small_star(_ordered(_large_star(links)))), "links")
+        links = staged(_ordered(_large_star(links)), "links")
+        links = staged(_ordered(_small_star(links)), "links")
     else:
         raise RuntimeError(f"components did not settle in {_ROUNDS} rounds")
     pairs = links.select(F.col("a").alias("node"), F.col("b").alias("root"))

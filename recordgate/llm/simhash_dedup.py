@@ -16,7 +16,6 @@ reports a spanning forest of its links, never all pairs.
 from __future__ import annotations
 
 from itertools import combinations
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import NO_ID
 from .components import components
-from .shared import parts_for, row_columns, packed, staged, text_or_empty
+from .shared import parts_for, staged, text_or_empty
 
 #: Fingerprints of one tile at most, and rows of one Python group.
 TILE = 4096
@@ -168,15 +166,9 @@ def forest_of_tiles(group: np.ndarray, side: np.ndarray, fp: np.ndarray, radius:
     return fp[moved], fp[root[moved]]
 
 
-def near_links(distinct: DataFrame, total: int, radius: int, tile: int = TILE, agree: int | None = None) -> DataFrame:
-    """distinct (fp) -> (a, b): links within the radius, enough of them to connect every family.
-
-    agree: blocks in which fingerprints of one tile agree, by default as many as keep tiles
-    small.  With 0 all fingerprints are one tile, split into sub-tiles by population count: the
-    way for radii of many bits, for which blocks would be too narrow to tell anything apart.
-    """
-    agree = blocks_to_agree(total, radius, tile) if agree is None else agree
-    masks = _masks(radius, agree) if agree else [0]
+def near_links(distinct: DataFrame, total: int, radius: int, tile: int = TILE) -> DataFrame:
+    """distinct (fp) -> (a, b): links within the radius, enough of them to connect every family."""
+    masks = _masks(radius, blocks_to_agree(total, radius, tile))
     dealt = distinct.select(
         "fp",
         F.bit_count("fp").alias("ones"),
@@ -210,7 +202,7 @@ def near_links(distinct: DataFrame, total: int, radius: int, tile: int = TILE, a
         .select("tile", "side", "fp")
     )
     rows = plain.unionByName(seated)
-    groups = parts_for(total * (len(masks) if agree else 2 * radius + 2), GROUP_ROWS)
+    groups = parts_for(total * len(masks), GROUP_ROWS)
 
     def compare(table: pa.Table) -> pa.Table:
         a, b = forest_of_tiles(
@@ -234,288 +226,9 @@ def simhash_groups(docs: DataFrame, width: int = 3, radius: int = 3, tile: int =
     distinct = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     links = near_links(distinct.select("fp"), distinct.count(), radius, tile)
     forest = components(links).select(F.col("node").alias("fp"), "root")
-    linked = distinct.join(forest, "fp")
-    roots = linked.groupBy("root").agg(F.min("least").alias("component"))
-    component = linked.join(roots, "root").select("fp", "component")
-    return (
-        fps.join(distinct, "fp")
-        .join(component, "fp", "left")
-        .select("doc_id", "fp", F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("component")).alias("component_id"))
-    )
-
-
-#: Near duplicates of whole documents: words of a shingle, least similarity, and the bits by which fingerprints
-#: of such may differ.  At a similarity of 0.8 over five words, that over three is about 0.87, and 8 of 64 bits differ.
-WORDS, SIMILARITY, WIDE_RADIUS, WIDE_TILE = 5, 0.8, 12, 16384
-#: Texts of one block of a large family.
-FAMILY_BLOCK = 256
-#: Hot shingles come last in the order of prefixes: those of at least HOT_TEXTS texts in a sample of one text in SAMPLE,
-#: at most HOT_LIST of them.  Any order loses nothing; this one keeps the groups of a shingle small.
-SAMPLE, HOT_TEXTS, HOT_LIST = 16, 4, 200_000
-#: Characters of text for one entry of a prefix, entries of one Python group, and pairs of one step in it.
-ENTRY_CHARS, PREFIX_ROWS, PAIR_STEP = 30, 1_000_000, 4_000_000
-
-
-def shingle_set(text: str, width: int) -> np.ndarray:
-    """Hashes of the distinct shingles of a text, ascending; words as for the fingerprint."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    glue, digest = b" ".join, xxhash.xxh64_intdigest
-    if len(words) < width:
-        own = {digest(glue(words), 42)}
-    else:
-        own = {digest(glue(s), 42) for s in zip(*(words[k:] for k in range(width)), strict=False)}
-    return np.sort(np.array(list(own), np.uint64))
-
-
-def _alike(sets: list[np.ndarray], block: list[int], least: float) -> _Forest:
-    """Forest of the texts whose shingle sets reach the similarity; texts of different blocks, or all if there is one."""
-    forest = _Forest(len(sets))
-    sizes = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    values = np.concatenate(sets)
-    order = np.argsort(values, kind="stable")
-    values, owner = values[order], owner[order]
-    bounds = np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1, [len(values)]])
-    block = np.array(block)
-    one = bool((block == block[0]).all())
-    index = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[np.argsort(owner, kind="stable")]
-    ends = np.cumsum(sizes)
-    for i in range(len(sets)):
-        # Shingles of text i, then whoever else has them.
-        own = index[ends[i] - sizes[i] : ends[i]]
-        reach = np.concatenate([np.arange(bounds[k], bounds[k + 1]) for k in own.tolist()]) if len(own) else np.zeros(0, np.int64)
-        shared = np.bincount(owner[reach], minlength=len(sets))
-        good = (shared >= least * (sizes + sizes[i] - shared) - 1e-9) & (np.arange(len(sets)) > i) & (shared > 0)
-        if not one:
-            good &= block != block[i]
-        j = np.flatnonzero(good)
-        forest.link(np.full(len(j), i), j)
-    return forest
-
-
-def prefix_of(shingles: np.ndarray, hot: np.ndarray, rank: np.ndarray, least: float) -> np.ndarray:
-    """First shingles of a text in an order common to all texts, so many that two texts of the similarity share one.
-
-    Two sets of similarity least share at least ceil(least * n) of the n shingles of either, so of
-    its first n - that + 1 at least one is shared, and the first shared one is among these in both.
-    The order: shingles that are not hot by hash, then the hot ones by rank.
-    """
-    take = len(shingles) - ceil(least * len(shingles) - 1e-9) + 1
-    if not len(hot):
-        return shingles[:take]
-    at = np.minimum(np.searchsorted(hot, shingles), len(hot) - 1)
-    known = hot[at] == shingles
-    cold = shingles[~known]
-    if len(cold) >= take:
-        return cold[:take]
-    late = at[known]
-    return np.concatenate([cold, hot[late[np.argsort(rank[late])]]])[:take]
-
-
-def crossing_pairs(key: np.ndarray, node: np.ndarray, size: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of nodes that share keys, lie in different families and have sizes that allow the similarity.
-
-    Rows (lesser node, greater node, their sizes), and the keys shared by each; a pair may have several
-    rows.  The upper 40 bits of a node are its family.  Only pairs across families are ever made.
-    """
-    order = np.lexsort((node, key))
-    key, node, size = key[order], node[order], size[order]
-    new_key = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    family = node >> np.uint64(24)
-    new_run = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (family[1:] != family[:-1])])
-    n = len(key)
-    key_end = np.repeat(np.r_[new_key[1:], n], np.diff(np.r_[new_key, n]))
-    run_end = np.repeat(np.r_[new_run[1:], n], np.diff(np.r_[new_run, n]))
-    reach = key_end - run_end
-    rows, shared, low = [np.zeros((0, 4), np.uint64)], [np.zeros(0, np.int64)], np.flatnonzero(reach)
-    ends = np.cumsum(reach[low])
-    while len(low):
-        cut = max(1, int(np.searchsorted(ends, PAIR_STEP, "right")))
-        part, low, ends = low[:cut], low[cut:], ends[cut:] - ends[cut - 1]
-        i = np.repeat(part, reach[part])
-        j = run_end[i] + np.arange(len(i)) - np.repeat(np.cumsum(reach[part]) - reach[part], reach[part])
-        fits = np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j]) - 1e-9
-        i, j = i[fits], j[fits]
-        i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
-        found, times = np.unique(np.stack([node[i], node[j], size[i].astype(np.uint64), size[j].astype(np.uint64)], 1), axis=0, return_counts=True)
-        rows.append(found), shared.append(times)
-    return np.concatenate(rows), np.concatenate(shared)
-
-
-def _hot_shingles(hashed: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hot shingles, ascending, and the place of each in the order of prefixes."""
-
-    def run(batches):
-        for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                own = [shingle_set(t, width) for t in batch.column(0).slice(low, 256).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64))], ["shingle"])
-
-    sample = hashed.where(F.pmod("t1", F.lit(SAMPLE)) == 0).dropDuplicates(["t1", "t2"]).select("text")
-    counts = sample.mapInArrow(run, "shingle long").groupBy("shingle").count().where(F.col("count") >= HOT_TEXTS)
-    table = counts.orderBy(F.desc("count"), "shingle").limit(HOT_LIST).toArrow()
-    hot, count = table.column("shingle").to_numpy().view(np.uint64), table.column("count").to_numpy()
-    order = np.argsort(hot)
-    hot, count = hot[order], count[order]
-    rank = np.empty(len(hot), np.int64)
-    rank[np.lexsort((hot, count))] = np.arange(len(hot))
-    return hot, rank
-
-
-def prefix_pairs(hashed: DataFrame, nodes: DataFrame, similarity: float, width: int) -> DataFrame:
-    """hashed (t1, t2, text), nodes (t1, t2, node, chars) -> distinct (a, b): nodes of different families that may be alike.
-
-    Every pair of texts that reaches the similarity is there, unless both are of one family.
-    Prefixes are sent as packed entries, a row per group and batch: 32 bits of the shingle that
-    the group does not tell, the node and the size of the set.
-    """
-    hot, rank = _hot_shingles(hashed, width)
-    known = hashed.sparkSession.sparkContext.broadcast((hot, rank))
-    groups = parts_for((nodes.agg(F.sum("chars")).first()[0] or 0) // ENTRY_CHARS, PREFIX_ROWS)
-
-    def prefixes(batches):
-        hot, rank = known.value
-        for batch in batches:
-            for low in range(0, batch.num_rows, 1000):
-                part = batch.slice(low, 1000)
-                sets = [shingle_set(t, width) for t in part.column(2).to_pylist()]
-                own = [prefix_of(s, hot, rank, similarity).tobytes() for s in sets]
-                sizes = pa.array([len(s) for s in sets], pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), sizes, pa.array(own, pa.binary())], ["t1", "t2", "size", "prefix"])
-
-    def dealt(batches):
-        for batch in batches:
-            for low in range(0, batch.num_rows, 8192):
-                part = batch.slice(low, 8192)
-                own = [np.frombuffer(p, np.uint64) for p in part.column(2).to_pylist()]
-                times = [len(p) for p in own]
-                shingle = np.concatenate(own)
-                node = np.repeat(part.column(0).to_numpy().view(np.uint64), times)
-                size = np.repeat(part.column(1).to_numpy(), times)
-                to = (shingle % np.uint64(groups)).astype(np.int64)
-                order = np.argsort(to, kind="stable")
-                to, key, node, size = to[order], (shingle[order] >> np.uint64(32)).astype(np.uint32), node[order], size[order]
-                starts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]).tolist()
-                cuts = list(zip(starts, [*starts[1:], len(to)], strict=True))
-                packs = [pa.array([c[s:e].tobytes() for s, e in cuts], pa.binary()) for c in (key, node, size)]
-                yield pa.RecordBatch.from_arrays([pa.array(to[starts]), *packs], ["part", "key", "node", "size"])
-
-    def meet(table: pa.Table) -> pa.Table:
-        kinds = {"key": np.uint32, "node": np.uint64, "size": np.int32}
-        key, node, size = (np.frombuffer(b"".join(table.column(c).to_pylist()), k) for c, k in kinds.items())
-        found, shared = crossing_pairs(key, node, size, similarity) if len(key) else (np.zeros((0, 4), np.uint64), np.zeros(0, np.int64))
-        columns = [pa.array(found[:, k].astype(np.int64)) for k in range(4)]
-        return pa.table([*columns, pa.array(shared)], ["a", "b", "n_a", "n_b", "shared"])
-
-    own = hashed.select("t1", "t2", "text").mapInArrow(prefixes, "t1 long, t2 long, size int, prefix binary").dropDuplicates(["t1", "t2"])
-    packed_rows = own.join(nodes, ["t1", "t2"]).select("node", "size", "prefix").mapInArrow(dealt, "part long, key binary, node binary, size binary")
-    met = packed_rows.groupBy("part").applyInArrow(meet, "a long, b long, n_a long, n_b long, shared long")
-    # All that two texts share up to the end of the prefix that ends first is in both prefixes, so beyond
-    # what the prefixes share there is at most the rest of that text: n less its prefix.
-    beyond = F.ceil(F.lit(similarity) * F.greatest("n_a", "n_b") - 1e-9) - 1
-    needed = F.lit(similarity / (1 + similarity)) * (F.col("n_a") + F.col("n_b"))
-    counted = met.groupBy("a", "b", "n_a", "n_b").agg(F.sum("shared").alias("shared"))
-    return counted.where(F.col("shared") + beyond >= needed - 1e-6).select("a", "b").distinct()
-
-
-def near_duplicate_groups(docs: DataFrame, similarity: float = SIMILARITY, width: int = WORDS, radius: int = WIDE_RADIUS) -> DataFrame:
-    """docs (doc_id, text, ...) -> per distinct (doc_id, text): doc, t1, t2, rows, keeper, kept.
-
-    Texts link when they are equal or their shingle sets have the similarity; groups are what
-    links connect.  Fingerprints within the radius make families, in which all pairs are compared;
-    pairs across families are found by their prefixes, which lose none.  doc is doc_id,
-    a missing one being ``NO_ID``; t1 and t2 are two hashes of the text, rows how many
-    rows are alike in all.  keeper: the least doc_id of the group.  kept: true for one text
-    of each group, the one with the least doc_id, then hashes.
-    """
-    doc_id, text = F.col("doc_id").cast("long"), text_or_empty()
-    slim = docs.select(F.coalesce(doc_id, F.lit(NO_ID)).alias("doc_id"), text.alias("text"))
-
-    def run(batches):
-        for batch in batches:
-            fps = fingerprints_of(batch.column(1).to_pylist(), 3)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(fps.view(np.int64))], ["doc", "t1", "t2", "chars", "fp"])
-
-    hashed = slim.select("doc_id", "text", F.xxhash64("text").alias("t1"), F.xxhash64("text", F.lit("again")).alias("t2"))
-    hashed = hashed.withColumn("chars", F.length("text").cast("long"))
-    rows = staged(hashed.mapInArrow(run, "doc long, t1 long, t2 long, chars long, fp long"), "text-fingerprints")
-    texts = staged(rows.groupBy("t1", "t2").agg(F.min("fp").alias("fp"), F.min("doc").alias("doc"), F.min("chars").alias("chars")), "distinct-texts")
-    distinct = staged(texts.select("fp").distinct(), "wide-fingerprints")
-    forest = components(near_links(distinct, distinct.count(), radius, WIDE_TILE, agree=0))
-    loose = texts.join(forest.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = F.xxhash64("t1", "t2")
-    # A node tells its family by 40 bits; texts whose nodes are equal share their candidates.
-    node = F.xxhash64("root").bitwiseAND(F.lit(-(1 << 24))).bitwiseOR(named.bitwiseAND(F.lit((1 << 24) - 1)))
-    loose = staged(loose.select("root", "t1", "t2", "chars", node.alias("node")), "families")
-    across = staged(prefix_pairs(hashed, loose.select("t1", "t2", "node", "chars"), similarity, width), "prefix-pairs")
-    families = loose.groupBy("root").agg(F.count("*").alias("size")).where("size > 1")
-    cut = F.ceil(F.col("size") / F.lit(FAMILY_BLOCK)).cast("int")
-    seats = loose.join(families, "root").withColumn("blocks", cut).withColumn("block", F.pmod(named, F.col("blocks")).cast("int"))
-    seats = seats.select("t1", "t2", F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(
-        F.xxhash64("root", F.least("block", other), F.greatest("block", other)).alias("pair"), F.col("block").alias("block")
-    )).alias("seats"))
-    pair = F.xxhash64("a", "b", F.lit("across"))
-    sides = across.select(F.col("a").alias("node"), F.struct(pair.alias("pair"), F.lit(0).alias("block")).alias("seat")).unionByName(
-        across.select(F.col("b").alias("node"), F.struct(pair.alias("pair"), F.lit(1).alias("block")).alias("seat"))
-    )
-    met = loose.join(sides.groupBy("node").agg(F.collect_list("seat").alias("more")), "node").select("t1", "t2", "more")
-    none = F.array().cast("array<struct<pair:bigint,block:int>>")
-    seats = seats.join(met, ["t1", "t2"], "full").select("t1", "t2", F.concat(F.coalesce("seats", none), F.coalesce("more", none)).alias("seats"))
-    seats = staged(seats, "seats")
-    with_text = hashed.select("t1", "t2", "text").join(seats, ["t1", "t2"]).select("t1", "t2", "seats", "text")
-
-    def sets(batches):
-        for batch in batches:
-            for low in range(0, batch.num_rows, 1000):
-                part = batch.slice(low, 1000)
-                own = [shingle_set(t, width).tobytes() for t in part.column(3).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(own, pa.binary())], ["t1", "t2", "seats", "shingles"])
-
-    ready = with_text.mapInArrow(sets, "t1 long, t2 long, seats array<struct<pair:bigint,block:int>>, shingles binary")
-    pairs = ready.select(F.explode("seats").alias("seat"), "t1", "t2", "shingles").select("seat.pair", "seat.block", "t1", "t2", "shingles")
-    groups = parts_for(seats.agg(F.sum(F.size("seats"))).first()[0] or 0, 2000)
-
-    def verify(table: pa.Table) -> pa.Table:
-        a, b = [], []
-        if table.num_rows:
-            pair, block, t1, t2 = (table.column(c).to_pylist() for c in ("pair", "block", "t1", "t2"))
-            shingles = table.column("shingles").to_pylist()
-            seen: dict = {}
-            for k in range(len(pair)):
-                seen.setdefault(pair[k], {}).setdefault((t1[k], t2[k]), k)  # repeated rows of a text count once
-            for members in seen.values():
-                own = list(members.values())
-                forest = _alike([np.frombuffer(shingles[k], np.uint64) for k in own], [block[k] for k in own], similarity)
-                root = forest.labels()
-                for i in np.flatnonzero(root != np.arange(len(own))).tolist():
-                    a.append(own[i]), b.append(own[int(root[i])])
-        take = lambda c, at: table.column(c).take(pa.array(at, pa.int64())).combine_chunks()
-        return pa.table({"a1": take("t1", a), "a2": take("t2", a), "b1": take("t1", b), "b2": take("t2", b)})
-
-    links = pairs.withColumn("part", F.pmod("pair", F.lit(groups))).groupBy("part").applyInArrow(verify, "a1 long, a2 long, b1 long, b2 long")
-    joined = components(links.select(F.xxhash64("a1", "a2").alias("a"), F.xxhash64("b1", "b2").alias("b")))
-    linked = texts.withColumn("node", named).join(joined, "node")
-    keepers = linked.groupBy("root").agg(F.min(F.struct("doc", "t1", "t2")).alias("least"))
-    linked = linked.join(keepers, "root").select("t1", "t2", "least")
-    own = F.struct("doc", "t1", "t2")
-    keeper = texts.join(linked, ["t1", "t2"], "left").select("t1", "t2", F.coalesce("least", own).alias("least"))
-    alike = rows.groupBy("doc", "t1", "t2").agg(F.count("*").alias("rows"))
-    return alike.join(keeper, ["t1", "t2"]).select("doc", "t1", "t2", "rows", F.col("least.doc").alias("keeper"), (own == F.col("least")).alias("kept"))
-
-
-def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """One row of docs for each group of near duplicates, with the columns of docs.
-
-    It is the row of the least doc_id; if several texts of the group share that id, the text
-    of the least hash, and one of the rows alike in both.  Texts without words are alike.
-    """
-    found = staged(near_duplicate_groups(docs, **options), "near-duplicates")
-    gone = found.where("not kept").select("doc", "t1", "t2")
-    several = found.where("kept and rows > 1").select("doc", "t1", "t2")
-    hashed = packed(
-        docs, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text_or_empty()).alias("t1"),
-        F.xxhash64(text_or_empty(), F.lit("again")).alias("t2"),
-    )
-    left = hashed.join(gone.unionByName(several), ["doc", "t1", "t2"], "left_anti").select("row")
-    again = hashed.join(several, ["doc", "t1", "t2"], "left_semi").dropDuplicates(["doc", "t1", "t2"]).select("row")
-    return left.unionByName(again).select(row_columns(docs))
+    linked = staged(distinct.join(forest, "fp"), "linked-fingerprints")
+    roots = staged(linked.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
+    component = linked.join(roots, "root").select("fp", "component_id")
+    alone = distinct.join(linked, "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
+    # Written first, so that the rows of a hot fingerprint are split by Spark: both sides of this join are plain exchanges.
+    return fps.join(staged(component.unionByName(alone), "components"), "fp").select("doc_id", "fp", "component_id")

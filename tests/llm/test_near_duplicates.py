@@ -1,8 +1,13 @@
 import random
 
+import numpy as np
+import pytest
+
 import corpus_pipeline
+
+from recordgate.llm import near_duplicates as N
+from recordgate.llm.near_duplicates import near_duplicate_groups, without_near_duplicates
 from recordgate.llm.shared import load
-from recordgate.llm.simhash_dedup import near_duplicate_groups, without_near_duplicates
 
 from .helpers import AWKWARD, documents
 
@@ -42,23 +47,47 @@ def test_groups_match_brute_force(spark, sf):
     assert sorted(kept) == sorted(set(want.values()))
 
 
-def test_large_family(spark, monkeypatch):
-    from recordgate.llm import simhash_dedup as S
-
-    monkeypatch.setattr(S, "FAMILY_BLOCK", 7)
-    rng = random.Random(2)
+def family(rng, size, edits, start=0):
     base = [f"w{rng.randrange(500)}" for _ in range(300)]
     rows = []
-    for k in range(40):
+    for k in range(size):
         words = list(base)
-        for _ in range(rng.randrange(4)):
-            words[rng.randrange(300)] = f"x{k}"
-        rows.append((k, " ".join(words)))
-    rows += [(100 + k, " ".join(f"y{k}z{i}" for i in range(50))) for k in range(5)]
+        for _ in range(rng.randrange(edits)):
+            words[rng.randrange(300)] = f"x{start + k}"
+        rows.append((start + k, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("tile", [5, 16_384])
+def test_large_families(spark, monkeypatch, tile):
+    # Tiles of more than SMALL texts, whose members do not all reach the similarity with one another, and of
+    # hot shingles, which are dealt to several tiles; then pairs across clusters, block by block.
+    for name, value in (("SMALL", 4), ("PIVOTS", 2), ("SAMPLE", 1), ("TILE", tile), ("FAMILY_BLOCK", 7), ("FAMILY_ROWS", 10)):
+        monkeypatch.setattr(N, name, value)
+    rng = random.Random(2)
+    rows = family(rng, 60, 12) + family(rng, 20, 30, 100)
+    rows += [(200 + k, " ".join(f"y{k}z{i}" for i in range(50))) for k in range(5)]
     got = {r.doc: r.keeper for r in near_duplicate_groups(documents(spark, rows)).collect()}
     assert got == plain_keepers(rows)
 
 
+def test_pairs_across_clusters_are_all_found():
+    rng = np.random.default_rng(3)
+    for sides in (1, 2):
+        n = 3000
+        pair, side = np.sort(rng.integers(0, 3, n)), rng.integers(0, sides, n) if sides > 1 else np.full(n, -1)
+        root, size = rng.integers(0, 40, n), rng.integers(10, 40, n)
+        root[rng.random(n) < 0.5] = 7
+        fp = rng.integers(0, 2**63, 20).astype(np.uint64)[rng.integers(0, 20, n)] ^ (np.uint64(1) << rng.integers(0, 63, n).astype(np.uint64))
+        rest = size - rng.integers(0, 6, n)
+        a, b = N.pairs_across(pair, side, root, size, fp, rest, 0.8, 3)
+        got = {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist(), strict=True)}
+        i, j = np.triu_indices(n, 1)
+        near = (pair[i] == pair[j]) & (root[i] != root[j]) & N._candidates(fp, size, rest, i, j, 0.8, 3)
+        near &= (side[i] != side[j]) if sides > 1 else True
+        assert got == set(zip(i[near].tolist(), j[near].tolist(), strict=True)) and len(got) > 100
+
+
 def test_awkward_rows(spark):
     kept = without_near_duplicates(documents(spark, AWKWARD))
     assert kept.columns == documents(spark, []).columns
@@ -71,7 +100,7 @@ def test_awkward_rows(spark):
 
 
 def test_pairs_beyond_the_radius_are_linked(spark):
-    from recordgate.llm.simhash_dedup import WIDE_RADIUS, fingerprints_of
+    from recordgate.llm.simhash_dedup import fingerprints_of
 
     rng = random.Random(5)
     rows = []
@@ -82,7 +111,7 @@ def test_pairs_beyond_the_radius_are_linked(spark):
         rows += [(2 * k, " ".join(base + line * (k % 3) * 10)), (2 * k + 1, " ".join(base + line * 30))]
     rows += [(200 + k, " ".join([f"common {k}", *(f"c{i}" for i in range(30)), *(f"d{k}e{i}" for i in range(40))])) for k in range(50)]
     fps = fingerprints_of([t for _, t in rows], 3)
-    beyond = [k for k in range(60) if (int(fps[2 * k]) ^ int(fps[2 * k + 1])).bit_count() > WIDE_RADIUS]
+    beyond = [k for k in range(60) if (int(fps[2 * k]) ^ int(fps[2 * k + 1])).bit_count() > 12]
     assert len(beyond) > 10
     got = {r.doc: r.keeper for r in near_duplicate_groups(documents(spark, rows)).collect()}
     assert got == plain_keepers(rows)
