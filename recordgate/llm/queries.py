@@ -14,6 +14,7 @@ from .source_mixing import label_quality, mix, mixing_sql
 from .substring_dedup import substring_dedup, substring_sql
 from .suffix_dedup import suffix_dedup, suffix_sql
 from .token_store import token_digest
+from .topk_search import top_k, top_k_sql
 from .toxicity import toxicity
 from .vector_search import nearest, nearest_sql
 
@@ -69,13 +70,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(load(spark, sf_dir, "documents"))
 
 
+def op13_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = load(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_suffix_dedup, op2_vector_search, op3_toxicity, op4_decontamination, op5_substring_dedup,
-        op6_simhash_dedup, op7_source_mixing, op8_token_store, op9_chat_roles, op10_license_scan,
+        op6_simhash_dedup, op7_source_mixing, op8_token_store, op9_chat_roles, op10_license_scan, op13_topk_search,
     )
 }
 ORACLE_SQL: dict[str, str] = {
-    "op1_suffix_dedup": suffix_sql(), "op2_vector_search": nearest_sql(), "op5_substring_dedup": substring_sql(), "op7_source_mixing": mixing_sql(), "op10_license_scan": license_sql(),
+    "op1_suffix_dedup": suffix_sql(), "op2_vector_search": nearest_sql(), "op5_substring_dedup": substring_sql(), "op7_source_mixing": mixing_sql(), "op10_license_scan": license_sql(), "op13_topk_search": top_k_sql(),
 }
