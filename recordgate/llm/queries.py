@@ -13,16 +13,17 @@ from .simhash_dedup import simhash_groups
 from .source_mixing import label_quality, mix, mixing_sql
 from .substring_dedup import substring_dedup, substring_sql
 from .suffix_dedup import suffix_dedup, suffix_sql
+from .token_alignment import alignment
 from .token_store import token_digest
 from .topk_search import top_k, top_k_sql
 from .toxicity import toxicity
 from .vector_search import nearest, nearest_sql
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +71,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(load(spark, sf_dir, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment(load(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op13_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = load(spark, sf_dir, "embeddings")
     return top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
@@ -79,7 +84,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_suffix_dedup, op2_vector_search, op3_toxicity, op4_decontamination, op5_substring_dedup,
-        op6_simhash_dedup, op7_source_mixing, op8_token_store, op9_chat_roles, op10_license_scan, op13_topk_search,
+        op6_simhash_dedup, op7_source_mixing, op8_token_store, op9_chat_roles, op10_license_scan,
+        op12_token_alignment, op13_topk_search,
     )
 }
 ORACLE_SQL: dict[str, str] = {
