@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat_roles import chat_turns, fit_roles, transcripts
+from .conversation_trie import conversation_trie, trie_sql
 from .decontamination import flagged
 from .license_scan import license_scan, license_sql
 from .shared import load
@@ -71,6 +72,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(load(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(load(spark, sf_dir, "conversations"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment(load(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
 
@@ -85,9 +90,9 @@ QUERIES = {
     for f in (
         op1_suffix_dedup, op2_vector_search, op3_toxicity, op4_decontamination, op5_substring_dedup,
         op6_simhash_dedup, op7_source_mixing, op8_token_store, op9_chat_roles, op10_license_scan,
-        op12_token_alignment, op13_topk_search,
+        op11_conversation_trie, op12_token_alignment, op13_topk_search,
     )
 }
 ORACLE_SQL: dict[str, str] = {
-    "op1_suffix_dedup": suffix_sql(), "op2_vector_search": nearest_sql(), "op5_substring_dedup": substring_sql(), "op7_source_mixing": mixing_sql(), "op10_license_scan": license_sql(), "op13_topk_search": top_k_sql(),
+    "op1_suffix_dedup": suffix_sql(), "op2_vector_search": nearest_sql(), "op5_substring_dedup": substring_sql(), "op7_source_mixing": mixing_sql(), "op10_license_scan": license_sql(), "op11_conversation_trie": trie_sql(), "op13_topk_search": top_k_sql(),
 }
