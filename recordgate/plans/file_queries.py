@@ -221,14 +221,6 @@ def str03(t):
     return t.spark.read.parquet(f"{folder}/out").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"))
 
 
-@query("STR04", "SELECT CAST(user_id AS BIGINT) AS user_id, CAST(count(*) - 1 AS BIGINT) AS rejected FROM events GROUP BY user_id")
-def str04(t):
-    folder = scratch(t, "str04")
-    stream.run_batches(_event_files(t, folder), stream.accept_unique(f"{folder}/out", f"{folder}/rejects", ["user_id"], "event_id"), f"{folder}/checkpoint")
-    accepted, rejected = (t.spark.read.parquet(f"{folder}/{name}").select("user_id", F.lit(n).alias("n")) for name, n in (("out", 0), ("rejects", 1)))
-    return accepted.unionByName(rejected).groupBy("user_id").agg(F.sum("n").alias("rejected"))
-
-
 @query("STR05", "SELECT 'BAD_' || upper(event_type) AS error_type, CAST(count(*) AS BIGINT) AS count FROM events WHERE event_type IN ('error', 'view') GROUP BY event_type")
 def str05(t):
     folder, name = scratch(t, "str05"), f"str05_{uuid.uuid4().hex}"
@@ -239,15 +231,6 @@ def str05(t):
     return t.spark.table(name)
 
 
-@query("STR06", "SELECT CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT user_id, event_type FROM events)")
-def str06(t):
-    folder = scratch(t, "str06")
-    source = _event_files(t, folder).select("user_id", "event_type")
-    for run in ("a", "b"):  # a second run from the start appends nothing
-        stream.run_batches(source, lambda df, n: sinks.append_new(df, f"{folder}/out", ["user_id", "event_type"]) and None, f"{folder}/checkpoint-{run}")
-    return t.spark.read.parquet(f"{folder}/out").agg(F.count("*").alias("n"))
-
-
 @query("STR07", """SELECT CASE WHEN event_id % 4 = 1 THEN 'FAILED' ELSE 'OK' END AS status, CAST(count(DISTINCT event_id % 4) AS BIGINT) AS n,
   CAST(count(*) FILTER (event_id % 4 <> 1) AS BIGINT) AS rows FROM events GROUP BY 1""")
 def str07(t):
