@@ -5,13 +5,14 @@ word being signs too, each weighted by decay to the power of the stretch it span
 signs; so an insult with a character put in or left out still resembles it.  Runs of single
 characters count as one word.
 
-Fitting reads a bounded sample of labelled documents.  Landmarks are words of sentences of
-toxic documents, taken by pivoted Cholesky steps on their kernel: each time the word where
-what is left of the kernel tells toxic from clean documents best.  The machine works on the
-landmark features, whitened by the kernel between landmarks; a sentence has the margin of its
-greatest word.  Labels belong to documents, so sentences get theirs in rounds: the best
-sentence of a toxic document is toxic, all sentences of other documents are clean, the machine is
-trained, and best sentences and words are taken anew.  A document's score is its sentences'
+Fitting reads a bounded sample of labelled documents.  Landmarks are words of sentences of both
+kinds: words that toxic documents hold more often than clean ones, beyond what chance explains, taken by pivoted
+Cholesky steps on their kernel, and then those words of clean documents that come nearest to them.  A sentence has, for
+each landmark, the greatest resemblance among its words, and the machine works on these, whitened by the kernel between landmarks.
+Toxic documents stand in the training set twice more with their telling words misspelt: with a sign or letter put
+in, one left out, or signs or blanks between all letters.  Labels belong to documents, so sentences get theirs in
+rounds: the best sentence of a toxic document is toxic, all sentences of other documents are clean, the machine is
+trained, and best sentences are taken anew.  A document's score is its sentences'
 margins, turned into a probability; nothing else enters it.
 
 Scoring is one narrow pass.  Sums of landmark weights per subsequence bound what a word
@@ -21,6 +22,9 @@ the bound is never below the kernel, so nothing is lost.
 
 from __future__ import annotations
 
+import random
+import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -33,18 +37,27 @@ from .shared import packed, row_columns, text_or_empty
 
 #: Labelled documents that fitting reads, toxic and clean each, and characters of each at most: longer ones are not read.
 SAMPLE, FIT_CHARS = 2000, 20_000
-#: Words that landmarks are chosen from, landmarks, and words of clean sentences that the machine is trained on, the worst ones.
+#: Words that landmarks are chosen from, landmarks, and clean sentences that the machine is trained on, the worst ones.
 POOL, LANDMARKS, NEGATIVES = 1200, 48, 12_000
-#: Rounds in which sentences of toxic documents get their labels, cost of a miss, and the margin from which on all words of theirs count as toxic.
+#: Documents with a word this much like a telling one are more among toxic ones than among clean ones, by so many standard errors.
+ALIKE, ERRORS = 0.4, 4.0
+#: Misspelt copies of each toxic document, for so many documents.
+COPIES, COPIED = 2, 500
+#: Landmarks among clean words for each telling one.
+NEAREST = 2
+#: Rounds in which sentences of toxic documents get their labels, cost of a miss, and the margin from which on all sentences of theirs count as toxic.
 ROUNDS, COST, POSITIVE = 2, 3.0, 0.5
 DECAY, POWER = 0.7, 2
-#: Below this resemblance a word counts as not resembling the landmark.
-LEAST = 0.3
+#: The kernel is cut off here: below this resemblance a word counts as not resembling the landmark.
+LEAST = 0.2
 #: Added to the kernel between landmarks before it is inverted, and words that a worker remembers.
 RIDGE, KNOWN = 0.1, 120_000
 THRESHOLD = 0.7
 _GAPS = ((1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4))
 _STEP = 512 << 10
+#: Signs that may stand around a word.
+_AROUND = ".,;:!?\"'()[]{}*#%&$-_"
+_LETTERS_ONLY = re.compile(r"[^\W_]+")
 
 
 def _alphabet() -> np.ndarray:
@@ -205,6 +218,17 @@ class Landmarks:
         return own, words.text[maybe], words.sentence[maybe]
 
 
+def _parts(owner: np.ndarray, sentence: np.ndarray, most: int = 20_000):
+    """Bounds of runs of about so many words that end where sentences do."""
+    low = 0
+    while low < len(owner):
+        high = min(low + most, len(owner))
+        while high < len(owner) and owner[high] == owner[high - 1] and sentence[high] == sentence[high - 1]:
+            high += 1
+        yield low, high
+        low = high
+
+
 @dataclass
 class Model:
     """A fitted scorer."""
@@ -214,31 +238,37 @@ class Model:
     bias: float
     #: Weights of the columns of summary.
     scale: np.ndarray
-    known: dict[bytes, float]
+    known: dict[bytes, np.ndarray]
 
-    def margin(self, words: list[bytes]) -> np.ndarray:
-        """Of each word; what resembles no landmark has the bias."""
+    def near(self, words: list[bytes]) -> np.ndarray:
+        """Resemblances of each word with the landmarks."""
         new = sorted({w for w in words if w not in self.known})
         if len(self.known) + len(new) > KNOWN:
             self.known.clear()
             new = sorted(set(words))
-        self.known.update(zip(new, (self.landmarks.resemblances(new) @ self.landmarks.white @ self.weights + self.bias).tolist(), strict=True))
-        return np.array([self.known[w] for w in words])
+        self.known.update(zip(new, self.landmarks.resemblances(new).astype(np.float32), strict=True))
+        return np.array([self.known[w] for w in words], np.float32).reshape(len(words), len(self.landmarks.strings))
 
-    def sentences(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Sentences with a word that may resemble a landmark: their texts and margins.  All others have the margin bias."""
-        text, margin, low = [], [], 0
+    def pooled(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sentences with a word that may resemble a landmark: their texts, and for each landmark the greatest resemblance among their words."""
+        text, best, low = [], [], 0
         while low < len(texts):
             high, size = low, 0
             while high < len(texts) and (high == low or size + len(texts[high]) <= _STEP):
                 size += len(texts[high])
                 high += 1
             words, owner, sentence = self.landmarks.places(texts[low:high])
-            if words:
-                new = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (sentence[1:] != sentence[:-1])])
-                text.append(owner[new] + low), margin.append(np.maximum.reduceat(self.margin(words), new))
+            for a, b in _parts(owner, sentence):
+                own = owner[a:b]
+                new = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (sentence[a + 1 : b] != sentence[a : b - 1])])
+                text.append(own[new] + low), best.append(np.maximum.reduceat(self.near(words[a:b]), new, axis=0))
             low = high
-        return (np.concatenate(text), np.concatenate(margin)) if text else (np.zeros(0, np.int64), np.zeros(0))
+        return (np.concatenate(text), np.concatenate(best)) if text else (np.zeros(0, np.int64), np.zeros((0, len(self.landmarks.strings)), np.float32))
+
+    def sentences(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Texts and margins of the sentences that may resemble a landmark.  All others have the margin bias."""
+        text, best = self.pooled(texts)
+        return text, best @ self.landmarks.white @ self.weights + self.bias
 
     def summary(self, texts: list[str]) -> np.ndarray:
         """For each text its greatest margin, the sum of the positive ones of its sentences, that for a hundred words, and 1."""
@@ -254,20 +284,55 @@ class Model:
 
 
 def pool_of_words(toxic: list[str], clean: list[str], most: int = POOL) -> tuple[list[bytes], np.ndarray]:
-    """Words of sentences that several toxic texts hold, and by how much more of these than of clean ones they are held."""
+    """Words of toxic texts, and by how much more of these than of clean ones they are held: the most ones, by the size of that difference."""
     held = []
     for texts in (toxic, clean):
         counts: Counter = Counter()
         for low in range(0, len(texts), 50):
             words = split_words(texts[low : low + 50])
-            own = {(t, words.data[s:e].strip(b".,;:!?\"'()[]{}*#%&$-_")) for t, s, e in zip(words.text.tolist(), words.starts.tolist(), words.ends.tolist(), strict=True)}
-            counts.update(w for _, w in own if 3 <= len(w) <= 40 and (len(held) == 0 or w in held[0]))
-        held.append(counts if held else {w: n for w, n in counts.items() if n >= max(3, len(toxic) // 200)})
-    more = {w: n / len(toxic) - held[1][w] / len(clean) for w, n in held[0].items()}
-    chosen = sorted(sorted((w for w in more if features(w)), key=lambda w: (-abs(more[w]), w))[:most])
+            own = {(t, words.data[s:e].strip(_AROUND.encode())) for t, s, e in zip(words.text.tolist(), words.starts.tolist(), words.ends.tolist(), strict=True)}
+            counts.update(w for _, w in own if len(held) == 0 or w in held[0])
+        held.append(counts)
+    more = {w: k / len(toxic) - held[1][w] / len(clean) for w, k in held[0].items() if features(w)}
+    chosen = sorted(sorted(more, key=lambda w: (-abs(more[w]), w))[:most])
     return chosen, np.array([more[w] for w in chosen])
 
 
+def misspelt(word: str, pick: random.Random) -> str:
+    """The word with a letter or sign put in, a letter left out or doubled, or signs or blanks between its letters."""
+    if len(word) < 3:
+        return word
+    at, way = pick.randrange(1, len(word)), pick.randrange(8)
+    if way < 3:
+        return word[:at] + pick.choice("abcdefghijklmnopqrstuvwxyz") + word[at:]
+    if way == 3:
+        return word[:at] + pick.choice("-_.*") + word[at:]
+    if way == 4:
+        return word[: at - 1] + word[at:] if at > 1 else word[:1] + word[2:]
+    if way == 5:
+        return word[:at] + word[at - 1] + word[at:]
+    return pick.choice(".-_*" if way == 6 else " ").join(word)
+
+
+def like_words(landmarks: Landmarks, texts: list[str]) -> set[str]:
+    """Words of the texts that resemble a landmark by ALIKE or more, without the signs around them."""
+    found: set[str] = set()
+    for low in range(0, len(texts), 50):
+        words = sorted(set(landmarks.places(texts[low : low + 50])[0]))
+        near = landmarks.resemblances(words).max(1, initial=0)
+        found.update(w.decode("utf-8", "ignore").strip(_AROUND) for w, r in zip(words, near.tolist(), strict=True) if r >= ALIKE)
+    return found
+
+
+def misspelt_texts(texts: list[str], words: set[str], salt: int) -> list[str]:
+    """texts with each of the words misspelt wherever it stands; texts and salt alone decide how."""
+    out = []
+    for text in texts:
+        pick = random.Random(zlib.crc32(text.encode("utf-8", "replace")) + salt)
+        out.append(_LETTERS_ONLY.sub(lambda found, pick=pick: misspelt(found.group(), pick) if found.group().lower() in words else found.group(), text))
+    return out
+
+
 def train_machine(positive: np.ndarray, negative: np.ndarray, often: np.ndarray, seldom: np.ndarray, cost: float = COST) -> tuple[np.ndarray, float]:
     """Linear support vector machine (squared hinge loss) by Newton's method, on rows that count often and seldom times.
 
@@ -295,9 +360,9 @@ def train_machine(positive: np.ndarray, negative: np.ndarray, often: np.ndarray,
     return w[:-1], float(w[-1])
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights of the columns of x, by Newton's method with a small penalty; the lesser kind weighs more, by the root of what it lacks."""
-    weight = np.where(y > 0, 1.0, ((y > 0).sum() / max((y < 0).sum(), 1)) ** 0.5)
+def fit_logistic(x: np.ndarray, y: np.ndarray, each: float = 1.0) -> np.ndarray:
+    """Weights of the columns of x, by Newton's method with a small penalty; rows of the first kind count each, and the lesser kind weighs more, by the root of what it lacks."""
+    weight = np.where(y > 0, each, (each * (y > 0).sum() / max((y < 0).sum(), 1)) ** 0.5)
     t = np.where(y > 0, 1.0 - 1e-3, 1e-3)
     b = np.zeros(x.shape[1])
     for _ in range(60):
@@ -309,8 +374,23 @@ def fit_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return b
 
 
-def chosen_landmarks(toxic: list[str], clean: list[str], most: int) -> list[bytes]:
-    """Words of the pool, by pivoted Cholesky steps: the next pivot is the word with the greatest part of the difference left."""
+def shares(landmarks: Landmarks, texts: list[str]) -> np.ndarray:
+    """For each landmark, how many of the texts have a word that resembles it by ALIKE or more."""
+    has = np.zeros(len(landmarks.strings))
+    for low in range(0, len(texts), 50):
+        words, owner, _ = landmarks.places(texts[low : low + 50])
+        if words:
+            near = np.zeros((50, len(landmarks.strings)))
+            np.maximum.at(near, owner, landmarks.resemblances(words))
+            has += (near >= ALIKE).sum(0)
+    return has / len(texts)
+
+
+def telling_words(toxic: list[str], clean: list[str], most: int) -> list[bytes]:
+    """Words by pivoted Cholesky steps on the pool: the next is the one with the greatest part of the difference left, words like it counted too.
+
+    Those stay whose likes toxic texts hold more often than clean ones, by ERRORS standard errors.
+    """
     pool, more = pool_of_words(toxic, clean)
     if not pool:
         return []
@@ -323,44 +403,60 @@ def chosen_landmarks(toxic: list[str], clean: list[str], most: int) -> list[byte
             break
         chosen.append(pool[pivot])
         left = left - np.outer(left[:, pivot], left[pivot]) / left[pivot, pivot]
+    landmarks = Landmarks(chosen)
+    p, q = shares(landmarks, toxic), shares(landmarks, clean)
+    both = (p * len(toxic) + q * len(clean)) / (len(toxic) + len(clean))
+    error = np.sqrt(both * (1 - both) * (1 / len(toxic) + 1 / len(clean)))
+    return [w for w, d, e in zip(chosen, p - q, error, strict=True) if d > ERRORS * e]
+
+
+def nearest_clean(landmarks: Landmarks, clean: list[str], each: int) -> list[bytes]:
+    """For each landmark the words of clean texts that resemble it most, without itself, none of them much like another."""
+    seen: set[bytes] = set()
+    for low in range(0, len(clean), 50):
+        seen.update(landmarks.places(clean[low : low + 50])[0])
+    words = sorted(seen)
+    near = landmarks.resemblances(words)
+    chosen: list[bytes] = []
+    for k in range(len(landmarks.strings)):
+        own: list[bytes] = []
+        for i in np.argsort(-near[:, k], kind="stable")[: 8 * each].tolist():
+            if len(own) < each and 0 < near[i, k] < 0.9 and all(kernel(words[i], w) < 0.8 for w in [*chosen, *own]):
+                own.append(words[i])
+        chosen += own
     return chosen
 
 
 def fit(toxic: list[str], clean: list[str], most: int = LANDMARKS) -> Model:
     """A model from the texts of toxic and clean documents; without either kind it calls nothing toxic."""
-    chosen = chosen_landmarks(toxic, clean, most) if toxic and clean else []
-    if not chosen:
+    telling = telling_words(toxic, clean, most) if toxic and clean else []
+    if not telling:
         return Model(Landmarks([]), np.zeros(0), -1.0, np.array([0.0, 0.0, 0.0, -6.0]), {})
-    landmarks = Landmarks(chosen)
-    number: dict[bytes, int] = {}
-    held = []  # words of toxic sentences and of clean ones, by number, with their texts
-    for texts in (toxic, clean):
-        place, owner = [], []
-        for low in range(0, len(texts), 50):
-            words, text, _ = landmarks.places(texts[low : low + 50])
-            for k, word in sorted(set(zip(text.tolist(), words, strict=True))):
-                place.append(number.setdefault(word, len(number))), owner.append(low + k)
-        held.append((np.array(place, np.int64), np.array(owner, np.int64)))
-    near = landmarks.resemblances(list(number))
-    some = near.any(1)
-    x = near @ landmarks.white
-    (place, owner), (clean_place, _) = ((p[some[p]], o[some[p]]) for p, o in held)
-    none = np.zeros((1, len(chosen)))  # what resembles no landmark is clean
-    other, seldom = np.unique(clean_place, return_counts=True)
-    # At first all words of toxic documents count as toxic.
-    positive, often = np.unique(place, return_counts=True)
-    weights, bias = train_machine(x[positive], np.concatenate([x[other], none]), often, np.r_[seldom, max(1, len(clean) // 4)])
-    for _ in range(ROUNDS):
-        margin = x @ weights + bias
+    chosen = telling + nearest_clean(Landmarks(telling), clean, NEAREST)
+    model = Model(Landmarks(chosen), np.zeros(len(chosen)), -1.0, np.zeros(4), {})
+    words = like_words(Landmarks(telling), toxic)
+    given = len(toxic)
+    toxic = toxic + [t for k in range(1, COPIES + 1) for t in misspelt_texts(toxic[:COPIED], words, k)]
+    owner, near = model.pooled(toxic)
+    owner, near = owner[near.any(1)], near[near.any(1)]
+    other, seldom = np.unique(model.pooled(clean)[1], axis=0, return_counts=True)
+    x, y = near @ model.landmarks.white, other @ model.landmarks.white
+    none = np.zeros((1, len(chosen)))  # a sentence that resembles no landmark is clean
+    # At first a sentence is as toxic as its likeness to a telling word.
+    margin, clean_margin = (v[:, : len(telling)].max(1, initial=0) for v in (near, other))
+    for _ in range(ROUNDS + 1):
         best = np.full(len(toxic), -np.inf)
-        np.maximum.at(best, owner, margin[place])
-        positive, often = np.unique(place[margin[place] >= np.minimum(best[owner], POSITIVE)], return_counts=True)
-        # Words of clean sentences that come nearest to toxic ones say where the border lies.
-        hard = np.argsort(-margin[other], kind="stable")[:NEGATIVES]
-        weights, bias = train_machine(x[positive], np.concatenate([x[other[hard]], none]), often, np.r_[seldom[hard], max(1, len(clean) // 4)])
-    model = Model(landmarks, weights, bias, np.zeros(4), {})
+        np.maximum.at(best, owner, margin)
+        positive = margin >= np.minimum(best[owner], POSITIVE)
+        # Clean sentences that come nearest to toxic ones say where the border lies.
+        hard = np.argsort(-clean_margin, kind="stable")[:NEGATIVES]
+        rows, often = np.unique(x[positive], axis=0, return_counts=True)
+        model.weights, model.bias = train_machine(rows, np.concatenate([y[hard], none]), often, np.r_[seldom[hard], max(1, len(clean) // 4)])
+        margin, clean_margin = x @ model.weights + model.bias, y @ model.weights + model.bias
     x = np.concatenate([model.summary(toxic), model.summary(clean)])
-    model.scale = fit_logistic(x, np.concatenate([np.ones(len(toxic)), -np.ones(len(clean))]))
+    # Copies take their part of what the documents given weigh.
+    model.scale = fit_logistic(x, np.concatenate([np.ones(len(toxic)), -np.ones(len(clean))]), given / len(toxic))
+    model.known.clear()
     return model
 
 

@@ -40,6 +40,52 @@ def test_kernel_tolerates_gaps_and_insertions():
     assert [words.data[s:e] for s, e in zip(words.starts, words.ends, strict=True)] == [b"you", b"i d i o t!", b"ok"]
 
 
+def _held_out_texts():
+    """(toxic and clean texts to learn from, toxic and clean texts held out) of the larger tables."""
+    import duckdb
+
+    rows = duckdb.sql(f"SELECT d.doc_id, coalesce(d.text, ''), max(l.toxic) FROM '{SF}/documents.parquet' d JOIN '{SF}/labels.parquet' l USING (doc_id) GROUP BY 1, 2 ORDER BY 1").fetchall()
+    out = zlib.crc32
+    parts = [[t for d, t, y in rows if y == kind and (out(str(d).encode()) % 3 == 1) == held and (held or len(t) <= T.FIT_CHARS)] for held in (False, True) for kind in (1, 0)]
+    return [p[: T.SAMPLE] for p in parts[:2]] + parts[2:]
+
+
+def test_misspelt_insults_are_found():
+    """Insults of held-out documents with a letter put in or left out, or with signs or blanks between all letters."""
+    toxic, clean, unseen, unseen_clean = _held_out_texts()
+    model = T.fit(toxic, clean)
+    # Plain insults of the tables.
+    insults = ["trash", "idiot", "pathetic", "worthless", "scum", "stupid", "loser", "moron", "disgusting", "clown"]
+    plain = re.compile(rf"\b(?:{'|'.join(insults)})\b", re.I)
+    rude = [t for t in unseen if plain.search(t)]
+    rng = np.random.default_rng(11)
+
+    def inserted(w):
+        k = rng.integers(1, len(w))
+        return w[:k] + rng.choice(list("abcdefghijklmnopqrstuvwxyz")) + w[k:]
+
+    def left_out(w):
+        k = rng.integers(1, len(w) - 1)
+        return w[:k] + w[k + 1 :]
+
+    found = lambda change: (model.score([plain.sub(lambda m: change(m.group()), t) for t in rude]) >= T.THRESHOLD).mean()
+    assert len(rude) > 60
+    assert found(str) >= 0.95 and found(inserted) >= 0.9 and found(left_out) >= 0.9
+    assert found(".".join) >= 0.9 and found(" ".join) >= 0.8 and found("_".join) >= 0.9
+    changed = [re.sub(r"[A-Za-z]{4,}", lambda m: inserted(m.group()), t) for t in unseen_clean]
+    for texts in (unseen_clean, changed):
+        assert (model.score(texts) >= T.THRESHOLD).mean() <= 0.01
+
+
+def test_telling_words_and_misspelling():
+    words = T.misspelt_texts(["You IDIOT, idiots are no idiot."], {"idiot"}, 1)[0].split(" ")
+    assert words[0] == "You" and "idiots" in words and words[1] != "IDIOT,"
+    assert T.misspelt_texts(["You idiot"], {"idiot"}, 1) == T.misspelt_texts(["You idiot"], {"idiot"}, 1)
+    toxic, clean = [f"what a idiot {k}" for k in range(60)], [f"what a thing {k}" for k in range(200)]
+    assert T.telling_words(toxic, clean, 8) == [b"idiot"]
+    assert T.telling_words(clean, clean, 8) == []
+
+
 def test_bound_loses_no_word():
     rng = np.random.default_rng(3)
     marks = T.Landmarks([b"idiot", b"moron", b"trash", b"worthless", "réeux".encode()])
@@ -68,10 +114,11 @@ def test_scores_equal_a_plain_kernel_machine():
         for sentence in re.split(r"(?<=[.!?])\s", t):
             words = T.split_words([sentence])
             own = [[T.kernel(words.data[s:e], m) for m in model.landmarks.strings] for s, e in zip(words.starts, words.ends, strict=True)]
-            margins.append(max([model.bias, *(np.where(np.array(x) < T.LEAST, 0, x) @ alpha + model.bias for x in own)]))
+            best = np.array(own).max(0) if own else np.zeros(len(alpha))
+            margins.append(np.where(best < T.LEAST, 0, best) @ alpha + model.bias)
         total = sum(max(m, 0) for m in margins)
         columns = [np.clip(max(margins), -3, 3), np.log1p(total), np.log1p(100 * total / max(t.count(" ") + t.count("\n") + 1, 30)), 1]
-        assert np.isclose(score, 1 / (1 + np.exp(-np.array(columns) @ model.scale)))
+        assert np.isclose(score, 1 / (1 + np.exp(-np.array(columns) @ model.scale)), rtol=1e-3, atol=1e-4)
     assert (model.score(["such an idiiot", "id.iot, so it goes"]) > 0.5).all() and (model.score([*clean, "", "all well here"]) < 0.5).all()
 
 
