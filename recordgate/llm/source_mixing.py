@@ -7,8 +7,8 @@ up to the rest of the target.
 
 Prefix sums over a source are made in steps so that no task holds a source: rows are dealt by
 ranges of (source, key), which Spark cuts by quantiles of these, and each range is cut into slices of
-so many rows in their order.  Slices are summed with map-side combine, and rows are added up only in
-the one slice per source in which the rest runs out.
+so many rows in their order.  Ranges are added up first, then slices inside their range, and rows only in
+the slices in which the rest runs out.
 """
 
 from __future__ import annotations
@@ -95,9 +95,17 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights=WEIGHTS, most
         "epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     )
     targets = staged(targets.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "mix-targets")
-    per_slice = keyed.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
-    running = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    per_slice = per_slice.withColumn("before", F.coalesce(F.sum("slice_size").over(running), F.lit(0)))
+    # A range's number is in the upper bits, so a source has a row for each range, and a range one for each of its slices.
+    in_range = F.shiftright("slice_at", 33).alias("range")
+    per_slice = staged(keyed.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"), F.min("at").alias("slice_at")).select("source", "slice", "slice_size", in_range), "mix-slices")
+    earlier = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = per_slice.groupBy(F.col("source").alias("range_source"), "range").agg(F.sum("slice_size").alias("range_size"))
+    ranges = ranges.select("range_source", "range", F.coalesce(F.sum("range_size").over(earlier("range_source").orderBy("range")), F.lit(0)).alias("range_before"))
+    inside_range = F.coalesce(F.sum("slice_size").over(earlier("source", "range").orderBy("slice")), F.lit(0))
+    per_slice = (
+        per_slice.withColumn("inside", inside_range).join(ranges, ["range"]).where(F.col("source").eqNullSafe(F.col("range_source")))
+        .withColumn("before", F.col("range_before") + F.col("inside"))
+    )
     t = targets.withColumnRenamed("source", "target_source")
     edges = (
         per_slice.join(t, F.col("source").eqNullSafe(F.col("target_source")))
@@ -131,21 +139,44 @@ def mixed_documents(docs: DataFrame, quality: DataFrame | None = None, **options
     """The mix itself: every row of docs as often as it is taken, with the columns of docs.
 
     A row of zero words counts as taken with the epochs and key of its place.
-    Rows are matched by (doc_id, source, size); rows alike in these are taken as often each.
+    Rows are matched by (doc_id, source, size).  Of rows alike in these some may be taken once more than others, where a
+    target ends among them; those with the least hashes of their texts are, so the words taken are the plan's in any case.
     """
-    plan = mix(docs, quality, **options)
+    plan = mix(docs, quality, **options).groupBy("doc_id", "source", "size").agg(F.min("copies").alias("least"), F.max("copies").alias("copies"), F.sum("copies").alias("all"), F.count("*").alias("rows"))
+    # How many of the rows alike are taken as often as the most; copies of these differ by one at most.
+    plan = staged(plan.where("copies > 0").withColumn("most", F.when(F.col("least") == F.col("copies"), F.col("rows")).otherwise(F.col("all") - F.col("rows") * F.col("least"))), "mix-plan")
     names = docs.columns
-    plan = plan.groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")).where("copies > 0")
-    plan = plan.select(*[F.col(c).alias(f"mix plan {c}") for c in plan.columns])
+    by_plan = plan.select(*[F.col(c).alias(f"mix plan {c}") for c in plan.columns])
     sized = docs.withColumn("mix plan words", word_count(text_or_empty()))
-    joined = sized.join(
-        plan,
-        F.col("doc_id").eqNullSafe(F.col("mix plan doc_id"))
-        & F.col("source").eqNullSafe(F.col("mix plan source"))
-        & (F.col("mix plan words") == F.col("mix plan size")),
-    )
-    again = F.explode(F.sequence(F.lit(1), F.col("mix plan copies").cast("int")))
-    return joined.select(*[F.col(f"`{c}`") for c in names], again.alias("mix plan copy")).select(*[F.col(f"`{c}`") for c in names])
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("mix plan doc_id")) & F.col("source").eqNullSafe(F.col("mix plan source")) & (F.col("mix plan words") == F.col("mix plan size"))
+    even = sized.join(by_plan.where(F.col("mix plan least") == F.col("mix plan copies")), same)
+    found = even.select(*[F.col(f"`{c}`") for c in names], F.col("mix plan copies").alias("mix plan times"))
+    split = by_plan.where(F.col("mix plan least") < F.col("mix plan copies"))
+    if not split.isEmpty():
+        numbered = _numbered_alike(sized.join(split, same), ["mix plan doc_id", "mix plan source", "mix plan size"])
+        times = F.when(F.col("mix plan number") <= F.col("mix plan most"), F.col("mix plan copies")).otherwise(F.col("mix plan least"))
+        found = found.unionByName(numbered.select(*[F.col(f"`{c}`") for c in names], times.alias("mix plan times")))
+    again = F.explode(F.sequence(F.lit(1), F.col("mix plan times").cast("int")))
+    taken = found.where(F.col("mix plan times") > 0)
+    return taken.select(*[F.col(f"`{c}`") for c in names], again.alias("mix plan copy")).select(*[F.col(f"`{c}`") for c in names])
+
+
+def _numbered_alike(rows: DataFrame, key: list[str]) -> DataFrame:
+    """rows + "mix plan number": place among the rows of one key, by a hash of the text; a key's rows may lie in many ranges."""
+    order = [*[F.col(f"`{k}`") for k in key], F.col("mix plan hash"), F.col("mix plan tie")]
+    tied = rows.withColumns({"mix plan hash": F.xxhash64(text_or_empty()), "mix plan tie": F.monotonically_increasing_id()})
+    dealt = tied.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = staged(dealt.withColumns({"mix plan at": F.monotonically_increasing_id(), "mix plan range": F.spark_partition_id()}), "mix-alike")
+    by = [F.col(f"`{k}`") for k in key]
+    counts = placed.groupBy(*by, "mix plan range").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy(*by).orderBy("mix plan range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    counts = counts.select(*[F.col(f"`{k}`").alias(f"{k} too") for k in key], F.col("`mix plan range`").alias("range too"), "before")
+    same = F.col("`mix plan range`") == F.col("range too")
+    for k in key:
+        same = same & F.col(f"`{k}`").eqNullSafe(F.col(f"`{k} too`"))
+    inside = F.row_number().over(Window.partitionBy(*by, "mix plan range").orderBy("mix plan at"))
+    return placed.withColumn("mix plan inside", inside).join(counts, same).withColumn("mix plan number", F.col("before") + F.col("mix plan inside"))
 
 
 def mixing_sql(salt: str = "mix") -> str:

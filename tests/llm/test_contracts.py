@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from recordgate.llm import source_mixing as M
 from recordgate.llm import token_store as S
@@ -100,6 +101,20 @@ def test_mixing_query(spark, sf):
     assert again == {d: r.taken for d, r in got.items()}
 
 
+def test_mix_of_rows_alike_is_what_the_plan_takes(spark):
+    """A thousand rows without a doc_id and of one size, some with one text: words written are the words taken."""
+    rows = [(None, f"w{k % 300} " * 5, "a") for k in range(1000)] + [(k, "x y z " * (k % 7), "b") for k in range(300)] + [(7, "same text", "c")] * 40
+    docs = documents(spark, rows).repartition(6)
+    plan = M.mix(docs)
+    taken = {r["source"]: r["n"] for r in plan.groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+    copies = {r["source"]: r["n"] for r in plan.groupBy("source").agg(F.sum("copies").alias("n")).collect()}
+    mixed = M.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    written = {r["source"]: (r["n"], r["words"]) for r in mixed.groupBy("source").agg(F.count("*").alias("n"), F.sum(M.word_count(F.col("text"))).alias("words")).collect()}
+    assert written == {s: (copies[s], taken[s]) for s in taken}
+    assert sorted(map(repr, mixed.collect())) == sorted(map(repr, M.mixed_documents(documents(spark, rows)).collect()))
+
+
 def test_mixing_awkward_rows(spark, monkeypatch):
     monkeypatch.setattr(M, "SLICE_ROWS", 2)
     monkeypatch.setattr(M, "RANGE_ROWS", 25)
