@@ -30,10 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import staged
-from .token_store import _LETTERS, STEP, _byte_letters
+from .token_store import _LETTERS, _byte_letters
 
 #: Words that a worker remembers: the first ones it meets, among which the frequent ones are.
-KNOWN = 300_000
+KNOWN = 200_000
+#: Bytes of text that are taken at once.
+STEP = 2 << 20
 
 _WORD = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _SIGNS = r"!-&(-/:-@\[-`{-~"
