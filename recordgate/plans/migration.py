@@ -53,7 +53,7 @@ def run(t: Source, folder: str, sheet: str = "case") -> DataFrame:
     raw = counted["ingest"].watch(t.stg_case.withColumn("sheet_name", F.lit(sheet)))
     sinks.append_staging(counted["read_errors"].watch(raw, F.col("parse_errors").isNotNull()), at("raw"))
     raw = spark.read.schema(raw.schema).parquet(at("raw"))
-    checked = staging.checked(staging.accepted(raw), t.m_warehouse, t.m_unit, t.m_doc_type, t.m_retention, staging.resolved_facts(t))
+    checked = staging.checked(raw, t.m_warehouse, t.m_unit, t.m_doc_type, t.m_retention, staging.resolved_facts(t))
     checked.write.partitionBy("job_id").parquet(at("checked"))
     checked = spark.read.schema(checked.schema).parquet(at("checked"))
     errors = checked.where("error_type is not null").select("job_id", "row_num", "error_type", "error_field")

@@ -17,12 +17,15 @@ NAMES = ("warehouse", "unit_code", "doc_type", "box_code", "area", "box_status")
 KEY = ("unit_code", "box_code", "doc_date", "quantity")
 
 
-def normalised(raw: DataFrame) -> DataFrame:
+def normal_columns() -> dict[str, Column]:
     """Codes and names in upper case without outer blanks, dates as yyyy-MM-dd, numbers as digits; blank is null."""
     made = {c: text.normal_text(F.col(c)) for c in NAMES}
     made |= {c: F.nullif(dates.slashed_to_iso(F.col(c)), F.lit("")) for c in DATES}
-    made |= {c: F.nullif(numbers.number_text(F.col(c)), F.lit("")) for c in NUMBERS}
-    return raw.withColumns(made)
+    return made | {c: F.nullif(numbers.number_text(F.col(c)), F.lit("")) for c in NUMBERS}
+
+
+def normalised(raw: DataFrame) -> DataFrame:
+    return raw.withColumns(normal_columns())
 
 
 def day(c: str) -> Column:
@@ -41,17 +44,17 @@ def required_rules(columns=REQUIRED) -> list[Rule]:
     return [Rule("required", F.col(c).isNull(), "REQUIRED_MISSING", c, F.col(c), f"{c} is required", "VAL001", rules.REQUIRED) for c in columns]
 
 
-def date_rules(columns=DATES) -> list[Rule]:
-    return [Rule("date", F.col(c).isNotNull() & day(c).isNull(), "INVALID_DATE", c, F.col(c), f"{c} is not a date", "VAL002", rules.DATE) for c in columns]
+def date_rules(columns=DATES, made=day) -> list[Rule]:
+    return [Rule("date", F.col(c).isNotNull() & made(c).isNull(), "INVALID_DATE", c, F.col(c), f"{c} is not a date", "VAL002", rules.DATE) for c in columns]
 
 
-def number_rules(columns=NUMBERS) -> list[Rule]:
-    bad = lambda c: F.col(c).isNotNull() & ~F.coalesce(whole(c) > 0, F.lit(False))
+def number_rules(columns=NUMBERS, made=whole) -> list[Rule]:
+    bad = lambda c: F.col(c).isNotNull() & ~F.coalesce(made(c) > 0, F.lit(False))
     return [Rule("numeric", bad(c), "INVALID_NUMERIC", c, F.col(c), f"{c} is not a positive number", "VAL004", rules.NUMERIC) for c in columns]
 
 
-def row_rules() -> list[Rule]:
-    return required_rules() + date_rules() + number_rules()
+def row_rules(day_of=day, whole_of=whole) -> list[Rule]:
+    return required_rules() + date_rules(made=day_of) + number_rules(made=whole_of)
 
 
 def accepted(raw: DataFrame) -> DataFrame:
@@ -59,20 +62,24 @@ def accepted(raw: DataFrame) -> DataFrame:
     return normalised(raw.where("parse_errors is null"))
 
 
-def checked(rows: DataFrame, warehouses: DataFrame, units: DataFrame, kinds: DataFrame, periods: DataFrame, facts: DataFrame) -> DataFrame:
-    """rows + error_type, error_field: the first error in order of the steps, null for valid rows.
+def checked(raw: DataFrame, warehouses: DataFrame, units: DataFrame, kinds: DataFrame, periods: DataFrame, facts: DataFrame) -> DataFrame:
+    """Normalised rows of raw that were read without an error + error_type, error_field: the first error in order of the steps, null for valid rows.
 
-    Normalised rows are dealt by their key before anything is asked of them: that spreads a batch
-    that came in one piece, the window that looks for repeats needs the same dealing, and columns that
-    many rules read are made once.  Rows without a whole key are rejects, and are dealt by row number.
+    Rows are dealt by their key before anything else is asked of them: that spreads a batch
+    that came in one piece, and the window that looks for repeats needs the same dealing.  So only the key is normalised before
+    that, the other columns after it, and days and numbers, which several rules read, are made once.
+    Rows without a whole key are rejects, and are dealt by row number.
     Row rules give a number for each row, 0 for clean ones; only these can be the first of
     a key, so the window tells them apart; references and existing facts are left joins with a mark.
     One plan, one scan, one error a row.
     """
-    made = rules.in_order(row_rules())
+    made, normal = rules.in_order(row_rules(lambda c: F.col(f"__day_{c}"), lambda c: F.col(f"__whole_{c}"))), normal_columns()
+    rows = raw.where("parse_errors is null").withColumns({k: normal[k] for k in KEY})
     incomplete = F.greatest(*[F.col(k).isNull() for k in KEY])
     dealt = rows.withColumn("__alone", F.when(incomplete, F.col("row_num"))).repartition("job_id", *KEY, "__alone")
-    first = dealt.withColumn("__n", rules.first_number(made))
+    dealt = dealt.withColumns({c: how for c, how in normal.items() if c not in KEY})
+    typed = dealt.withColumns({f"__day_{c}": day(c) for c in DATES} | {f"__whole_{c}": whole(c) for c in NUMBERS})
+    first = typed.withColumn("__n", rules.first_number(made)).select(*dealt.columns, "__n")
     clean = F.col("__n") == 0
     marked = dedupe.mark_repeats(first, [F.col("job_id"), *[F.col(k) for k in KEY], F.col("__alone"), clean])
     marked = refs.with_presence(marked, refs.active(warehouses), F.col("warehouse"), "code", "__w")
@@ -98,7 +105,7 @@ def resolved_facts(t: Source) -> DataFrame:
 
 
 def checked_case(t: Source) -> DataFrame:
-    return checked(accepted(t.stg_case), t.m_warehouse, t.m_unit, t.m_doc_type, t.m_retention, resolved_facts(t))
+    return checked(t.stg_case, t.m_warehouse, t.m_unit, t.m_doc_type, t.m_retention, resolved_facts(t))
 
 
 def valid_rows(checked_rows: DataFrame) -> DataFrame:
