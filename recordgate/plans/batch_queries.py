@@ -49,7 +49,7 @@ def str06(t):
 class _Stopped(Ledger):
     """A ledger whose job is killed after the rows are written and before they are committed."""
 
-    def _commit(self, job, number, name, touched):
+    def _commit(self, job, number, name, rows, touched):
         raise InterruptedError(name)
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dedupe import first_of_each
@@ -58,7 +58,7 @@ class Ledger:
             return None
         if of_buckets is not None:
             found = found.where(F.col("bucket").isin(of_buckets))  # prunes folders
-        return found.join(F.broadcast(self.commits().select("commit").distinct()), "commit", "left_semi")
+        return found.join(self.commits().select("commit"), "commit", "left_semi")
 
     def rows(self) -> DataFrame | None:
         """Rows of all commits in the ledger; nothing before the first."""
@@ -84,9 +84,9 @@ class Ledger:
             same = [once[c].eqNullSafe(there[c]) for c in self.key]
             once = once.join(there, [once["bucket"] == there["bucket"], *same], "left_anti")
         # A folder for each bucket and commit: another try of this commit replaces its own folders and no others.
-        fresh = once.select(*batch.columns, "bucket").withColumn("commit", F.lit(name))
-        fresh.repartition("bucket").write.mode("append").partitionBy("bucket", "commit").parquet(self.rows_path)
-        return self._commit(job, number, name, touched)
+        fresh, seen = once.select(*batch.columns, "bucket").withColumn("commit", F.lit(name)), Observation()
+        fresh.repartition("bucket").observe(seen, F.count("*").alias("n")).write.mode("append").partitionBy("bucket", "commit").parquet(self.rows_path)
+        return self._commit(job, number, name, seen.get["n"], touched)
 
     def _discard(self, name: str) -> None:
         """Remove what an earlier try of this commit left: it may have had other rows."""
@@ -96,11 +96,9 @@ class Ledger:
         for status in files.globStatus(pattern) or []:
             files.delete(status.getPath(), True)
 
-    def _commit(self, job: str, number: int, name: str, touched: list[int]) -> int:
-        found = _read(self.spark, self.rows_path, None)
-        n = 0 if found is None else found.where(F.col("bucket").isin(touched) & (F.col("commit") == name)).count()
-        self.spark.createDataFrame([(job, number, name, n, touched)], _LEDGER).coalesce(1).write.mode("append").parquet(f"{self.folder}/ledger")
-        return n
+    def _commit(self, job: str, number: int, name: str, rows: int, touched: list[int]) -> int:
+        self.spark.createDataFrame([(job, number, name, rows, touched)], _LEDGER).coalesce(1).write.mode("append").parquet(f"{self.folder}/ledger")
+        return rows
 
     def consumer(self, job: str, order: str | None = None) -> Callable[[DataFrame, int], None]:
         """A stream's batch function: batch after batch as commits of the job."""
