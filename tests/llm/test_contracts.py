@@ -56,6 +56,23 @@ def test_nearest_in_small_blocks_with_ties_and_unfit_rows(spark, monkeypatch):
     assert V.nearest(frame.limit(0), frame).count() == 0
 
 
+def test_nearest_among_many_rows_of_one_vector(spark):
+    """Rows that share a vector: the smallest ids win, and only a few of them leave their group."""
+    rows = [(k, [1.0, 2.0, 0.5] if k % 3 else [float(k), -1.0, 2.0]) for k in range(600)] + [(k, [1.0, 2.0, 0.5]) for k in range(300)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in V.nearest(frame, frame.where("vec_id in (1, 3, 50, 599)"), k=4, block=8).collect())
+    want = []
+    for q in (1, 3, 50, 599):
+        best = {}
+        for x in (x for i, x in rows if i == q):
+            for i, y in rows:
+                if i != q:
+                    best[i] = min(best.get(i, np.inf), float(np.sqrt(np.cumsum((np.array(x) - np.array(y)) ** 2)[-1])))
+        want += [(q, n + 1, i, d) for n, (d, i) in enumerate(sorted((d, i) for i, d in best.items())[:4])]
+    assert got == sorted(want)
+    assert V.first_alike(np.array([5, 3, 3, 9, 1, 2]), np.array([7, 7, 7, 7, 8, 7]), 2).tolist() == [1, 4, 5]
+
+
 def test_nearest_of_vectors_whose_squares_overflow(spark):
     frame = spark.createDataFrame([(0, [1e200, 1.0]), (1, [1e200, 2.0]), (2, [-1e200, 0.0]), (5, [3.0, 4.0])], "vec_id long, embedding array<double>")
     got = [tuple(r) for r in V.nearest(frame, frame.where("vec_id = 0"), k=3).orderBy("rank").collect()]
