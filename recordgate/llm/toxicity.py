@@ -11,8 +11,8 @@ Cholesky steps on their kernel, and then those words of clean documents that com
 each landmark, the greatest resemblance among its words, and the machine works on these, whitened by the kernel between landmarks.
 Toxic documents stand in the training set twice more with their telling words misspelt: with a sign or letter put
 in, one left out, or signs or blanks between all letters.  Labels belong to documents, so sentences get theirs in
-rounds: the best sentence of a toxic document is toxic, all sentences of other documents are clean, the machine is
-trained, and best sentences are taken anew.  A document's score is its sentences'
+rounds: the best sentence of a toxic document is toxic, if it is beyond the best ones of most clean documents, all sentences of other
+documents are clean, the machine is trained, and best sentences are taken anew.  A document's score is its sentences'
 margins, turned into a probability; nothing else enters it.
 
 Scoring is one narrow pass.  Sums of landmark weights per subsequence bound what a word
@@ -47,6 +47,8 @@ COPIES, COPIED = 2, 500
 NEAREST = 2
 #: Rounds in which sentences of toxic documents get their labels, cost of a miss, and the margin from which on all sentences of theirs count as toxic.
 ROUNDS, COST, POSITIVE = 2, 3.0, 0.5
+#: A sentence is toxic only if it is beyond the best ones of this share of clean documents.
+USUAL = 0.9
 DECAY, POWER = 0.7, 2
 #: The kernel is cut off here: below this resemblance a word counts as not resembling the landmark.
 LEAST = 0.2
@@ -439,7 +441,8 @@ def fit(toxic: list[str], clean: list[str], most: int = LANDMARKS) -> Model:
     toxic = toxic + [t for k in range(1, COPIES + 1) for t in misspelt_texts(toxic[:COPIED], words, k)]
     owner, near = model.pooled(toxic)
     owner, near = owner[near.any(1)], near[near.any(1)]
-    other, seldom = np.unique(model.pooled(clean)[1], axis=0, return_counts=True)
+    clean_owner, clean_near = model.pooled(clean)
+    other, place, seldom = np.unique(clean_near, axis=0, return_inverse=True, return_counts=True)
     x, y = near @ model.landmarks.white, other @ model.landmarks.white
     none = np.zeros((1, len(chosen)))  # a sentence that resembles no landmark is clean
     # At first a sentence is as toxic as its likeness to a telling word.
@@ -447,10 +450,15 @@ def fit(toxic: list[str], clean: list[str], most: int = LANDMARKS) -> Model:
     for _ in range(ROUNDS + 1):
         best = np.full(len(toxic), -np.inf)
         np.maximum.at(best, owner, margin)
-        positive = margin >= np.minimum(best[owner], POSITIVE)
+        # A toxic document whose best sentence is no worse than those of many clean ones has none of its own.
+        usual = np.full(len(clean), -np.inf)
+        np.maximum.at(usual, clean_owner, clean_margin[place.reshape(-1)])
+        positive = (margin >= np.minimum(best[owner], POSITIVE)) & (margin > np.sort(usual)[int(USUAL * (len(clean) - 1))])
         # Clean sentences that come nearest to toxic ones say where the border lies.
         hard = np.argsort(-clean_margin, kind="stable")[:NEGATIVES]
         rows, often = np.unique(x[positive], axis=0, return_counts=True)
+        if not len(rows):
+            break
         model.weights, model.bias = train_machine(rows, np.concatenate([y[hard], none]), often, np.r_[seldom[hard], max(1, len(clean) // 4)])
         margin, clean_margin = x @ model.weights + model.bias, y @ model.weights + model.bias
     x = np.concatenate([model.summary(toxic), model.summary(clean)])
