@@ -122,3 +122,20 @@ def test_fail_fast(spark):
 def test_layout_and_titles():
     assert sinks.layout(600_000, 20)["text"] and sinks.layout(600_000, 20)["files"] == 6
     assert sinks.title("identityCard") == "Identity Card"
+
+
+def test_staging_in_buckets_has_no_folder_for_each_job(spark, tmp_path):
+    df = spark.range(3000).select(F.concat(F.lit("J"), F.col("id") % 900).alias("job_id"), F.when(F.col("id") % 2 == 0, "a").alias("sheet_name"), F.col("id").alias("n"))
+    path = str(tmp_path / "staging")
+    for _ in range(2):
+        sinks.append_buckets(df, path, 4)
+    assert len(list((tmp_path / "staging").iterdir())) <= 6 and len(spark.read.parquet(path).inputFiles()) <= 2 * (4 + 8)
+    assert spark.read.parquet(path).drop("bucket").exceptAll(df.unionByName(df)).count() == 0 and spark.read.parquet(path).count() == 6000
+    assert sorted(r.n for r in sinks.rows_of_job(spark, path, "J7", 4).collect()) == sorted([7, 907, 1807, 2707] * 2)
+    assert len(sinks.rows_of_job(spark, path, "J7", 4).columns) == 3
+
+
+def test_snk04_files_do_not_grow_with_jobs(spark, tmp_path, sf, monkeypatch):
+    monkeypatch.setattr("recordgate.plans.file_queries.scratch", lambda t, name: str(tmp_path / name))
+    assert QUERIES["SNK04"](spark, sf).count() > 100
+    assert len(list((tmp_path / "snk04").glob("*=*"))) <= sinks.BUCKETS
