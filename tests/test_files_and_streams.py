@@ -139,3 +139,9 @@ def test_snk04_files_do_not_grow_with_jobs(spark, tmp_path, sf, monkeypatch):
     monkeypatch.setattr("recordgate.plans.file_queries.scratch", lambda t, name: str(tmp_path / name))
     assert QUERIES["SNK04"](spark, sf).count() > 100
     assert len(list((tmp_path / "snk04").glob("*=*"))) <= sinks.BUCKETS
+
+
+def test_src04_writes_few_documents(spark, tmp_path, sf, monkeypatch):
+    monkeypatch.setattr("recordgate.plans.file_queries.scratch", lambda t, name: str(tmp_path / name))
+    assert QUERIES["SRC04"](spark, sf).count() == 25
+    assert len(list((tmp_path / "src04").glob("part-*"))) == 1
