@@ -45,9 +45,12 @@ def cells(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
 
 
 def cell_errors(df: DataFrame, contract: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """First fault of every cell by its column's contract: required, length, pattern, type."""
+    """First fault of every cell by its column's contract: required, length, pattern, type.
+
+    The contract has a row for each column, so it goes to the cells: dealt by column these would be as many tasks as there are columns.
+    """
     spec = contract.select("column", "required", "max_length", "pattern", "kind")
-    joined = cells(df, keys, columns).join(spec, "column")
+    joined = cells(df, keys, columns).join(F.broadcast(spec), "column")
     value = F.col("value")
     wrong_kind = F.coalesce(*[F.when(F.col("kind") == k, rules.not_convertible(value, k)) for k in ("int", "long", "double", "decimal", "boolean", "date")], F.lit(False))
     fault = (

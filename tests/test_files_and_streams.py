@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from recordgate.functions import dates, numbers, text
-from recordgate.operators import apply, rules
+from recordgate.operators import apply, contract, rules
 from recordgate.plans import ORACLE_SQL, QUERIES, registry, staging
 from recordgate.sources import readers, sinks
 from recordgate.streaming import stream
@@ -145,3 +145,10 @@ def test_src04_writes_few_documents(spark, tmp_path, sf, monkeypatch):
     monkeypatch.setattr("recordgate.plans.file_queries.scratch", lambda t, name: str(tmp_path / name))
     assert QUERIES["SRC04"](spark, sf).count() == 25
     assert len(list((tmp_path / "src04").glob("part-*"))) == 1
+
+
+def test_cells_are_not_dealt_by_column(spark):
+    spec = spark.createDataFrame([("d", "a", 1, True, 2, None, "string"), ("d", "b", 2, False, None, "^x", "string")], contract.CONTRACT)
+    rows = spark.range(100_000_000).select("id", F.lit(None).cast("string").alias("a"), F.lit("y").alias("b"))
+    plan = contract.cell_errors(rows, spec, ["id"], ["a", "b"])._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(column" not in plan and "BroadcastHashJoin" in plan
