@@ -323,19 +323,12 @@ def agg17(t):
 
 @query("WIN01", "SELECT row_num FROM case_ranked WHERE place > 1")
 def win01(t):
-    from ..operators import rules
-
-    clean = staging.accepted(t.stg_case).where(rules.first_error(staging.row_rules()).isNull())
-    return dedupe.repeats(clean, [F.col(k) for k in ("job_id", *staging.KEY)]).select("row_num")
+    return staging.repeats(t.stg_case).select("row_num")
 
 
 @query("WIN02", "SELECT row_num, 'duplicate of row ' || first_row AS message FROM case_ranked WHERE place > 1")
 def win02(t):
-    from ..operators import rules
-
-    clean = staging.accepted(t.stg_case).where(rules.first_error(staging.row_rules()).isNull())
-    found = dedupe.repeats(clean, [F.col(k) for k in ("job_id", *staging.KEY)])
-    return found.select("row_num", F.concat(F.lit("duplicate of row "), F.col("first_row").cast("string")).alias("message"))
+    return staging.repeats(t.stg_case).select("row_num", F.concat(F.lit("duplicate of row "), F.col("first_row").cast("string")).alias("message"))
 
 
 @query("WIN03", "SELECT row_num FROM (SELECT row_num, row_number() OVER (PARTITION BY contract_no, doc_kind, disbursed_on ORDER BY row_num) AS place FROM stg_contract) WHERE place > 1")

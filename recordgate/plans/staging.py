@@ -62,24 +62,45 @@ def accepted(raw: DataFrame) -> DataFrame:
     return normalised(raw.where("parse_errors is null"))
 
 
-def checked(raw: DataFrame, warehouses: DataFrame, units: DataFrame, kinds: DataFrame, periods: DataFrame, facts: DataFrame) -> DataFrame:
-    """Normalised rows of raw that were read without an error + error_type, error_field: the first error in order of the steps, null for valid rows.
+def _numbered_rules() -> list[Rule]:
+    """Row rules in order, on the columns that numbered() makes."""
+    return rules.in_order(row_rules(lambda c: F.col(f"__day_{c}"), lambda c: F.col(f"__whole_{c}")))
+
+
+def numbered(raw: DataFrame) -> DataFrame:
+    """Normalised rows of raw that were read without an error + __alone, __n: the number of the first row rule broken, 0 for clean rows.
 
     Rows are dealt by their key before anything else is asked of them: that spreads a batch
     that came in one piece, and the window that looks for repeats needs the same dealing.  So only the key is normalised before
     that, the other columns after it, and days and numbers, which several rules read, are made once.
-    Rows without a whole key are rejects, and are dealt by row number.
-    Row rules give a number for each row, 0 for clean ones; only these can be the first of
-    a key, so the window tells them apart; references and existing facts are left joins with a mark.
-    One plan, one scan, one error a row.
+    Rows without a whole key are rejects, and are dealt by row number, which is __alone.
     """
-    made, normal = rules.in_order(row_rules(lambda c: F.col(f"__day_{c}"), lambda c: F.col(f"__whole_{c}"))), normal_columns()
+    normal = normal_columns()
     rows = raw.where("parse_errors is null").withColumns({k: normal[k] for k in KEY})
     incomplete = F.greatest(*[F.col(k).isNull() for k in KEY])
     dealt = rows.withColumn("__alone", F.when(incomplete, F.col("row_num"))).repartition("job_id", *KEY, "__alone")
     dealt = dealt.withColumns({c: how for c, how in normal.items() if c not in KEY})
     typed = dealt.withColumns({f"__day_{c}": day(c) for c in DATES} | {f"__whole_{c}": whole(c) for c in NUMBERS})
-    first = typed.withColumn("__n", rules.first_number(made)).select(*dealt.columns, "__n")
+    return typed.select(*dealt.columns, rules.first_number(_numbered_rules()).alias("__n"))
+
+
+def repeats(raw: DataFrame) -> DataFrame:
+    """row_num, first_row: clean rows of raw whose job and key a clean row of a lesser number has."""
+    clean = F.col("__n") == 0
+    first = numbered(raw).select("job_id", "row_num", *KEY, "__alone", "__n")
+    marked = dedupe.mark_repeats(first, [F.col("job_id"), *[F.col(k) for k in KEY], F.col("__alone"), clean])
+    return marked.where(clean & (F.col("place") > 1)).select("row_num", "first_row")
+
+
+def checked(raw: DataFrame, warehouses: DataFrame, units: DataFrame, kinds: DataFrame, periods: DataFrame, facts: DataFrame) -> DataFrame:
+    """Normalised rows of raw that were read without an error + error_type, error_field: the first error in order of the steps, null for valid rows.
+
+    Rows come dealt by key and with the number of the rule they break, from numbered(); only clean ones can be the first of
+    a key, so the window tells them apart; references and existing facts are left joins with a mark.
+    One plan, one scan, one error a row.
+    """
+    made = _numbered_rules()
+    first = numbered(raw)
     clean = F.col("__n") == 0
     marked = dedupe.mark_repeats(first, [F.col("job_id"), *[F.col(k) for k in KEY], F.col("__alone"), clean])
     marked = refs.with_presence(marked, refs.active(warehouses), F.col("warehouse"), "code", "__w")
@@ -97,7 +118,7 @@ def checked(raw: DataFrame, warehouses: DataFrame, units: DataFrame, kinds: Data
         F.when(~clean, named([r.field for r in made])).when(F.col("place") > 1, "business_key").when(~F.col("__w"), "warehouse")
         .when(~F.col("__u"), "unit_code").when(~F.col("__d"), "doc_type").when(~F.col("__r"), "retention_years").when(F.col("__f"), "business_key")
     )
-    return marked.select(*rows.columns, kind.alias("error_type"), field.alias("error_field"))
+    return marked.select(*raw.columns, kind.alias("error_type"), field.alias("error_field"))
 
 
 def resolved_facts(t: Source) -> DataFrame:

@@ -152,3 +152,9 @@ def test_cells_are_not_dealt_by_column(spark):
     rows = spark.range(100_000_000).select("id", F.lit(None).cast("string").alias("a"), F.lit("y").alias("b"))
     plan = contract.cell_errors(rows, spec, ["id"], ["a", "b"])._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(column" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_repeats_make_each_column_once(spark, sf):
+    found = QUERIES["WIN02"](spark, sf)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 40_000 and found.count() > 0
