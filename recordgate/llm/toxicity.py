@@ -6,7 +6,7 @@ signs; so an insult with a character put in or left out still resembles it.  Run
 characters count as one word.
 
 Fitting reads a bounded sample of labelled documents.  Landmarks are words of sentences of both
-kinds: words that toxic documents hold more often than clean ones, beyond what chance explains, taken by pivoted
+kinds: words that toxic documents hold at least twice as often as clean ones, beyond what chance explains, taken by pivoted
 Cholesky steps on their kernel, and then those words of clean documents that come nearest to them.  A sentence has, for
 each landmark, the greatest resemblance among its words, and the machine works on these, whitened by the kernel between landmarks.
 Toxic documents stand in the training set twice more with their telling words misspelt: with a sign or letter put
@@ -41,6 +41,9 @@ SAMPLE, FIT_CHARS = 2000, 20_000
 POOL, LANDMARKS, NEGATIVES = 1200, 48, 12_000
 #: Documents with a word this much like a telling one are more among toxic ones than among clean ones, by so many standard errors.
 ALIKE, ERRORS = 0.4, 4.0
+#: A telling word is held by toxic documents so many times as often as by clean ones.  In a large sample endings and short words
+#: pass the test of chance too, as toxic documents differ a little in length and language, and say nothing of a sentence.
+LIFT = 2.0
 #: Misspelt copies of each toxic document, for so many documents.
 COPIES, COPIED = 2, 500
 #: Landmarks among clean words for each telling one.
@@ -285,8 +288,8 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(self.summary(texts) @ self.scale, -40, 40)))
 
 
-def pool_of_words(toxic: list[str], clean: list[str], most: int = POOL) -> tuple[list[bytes], np.ndarray]:
-    """Words of toxic texts, and by how much more of these than of clean ones they are held: the most ones, by the size of that difference."""
+def pool_of_words(toxic: list[str], clean: list[str], most: int = POOL) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Words of toxic texts, by how much more of these than of clean ones they are held, and whether LIFT times as often: the most ones, by the size of that difference."""
     held = []
     for texts in (toxic, clean):
         counts: Counter = Counter()
@@ -297,7 +300,8 @@ def pool_of_words(toxic: list[str], clean: list[str], most: int = POOL) -> tuple
         held.append(counts)
     more = {w: k / len(toxic) - held[1][w] / len(clean) for w, k in held[0].items() if features(w)}
     chosen = sorted(sorted(more, key=lambda w: (-abs(more[w]), w))[:most])
-    return chosen, np.array([more[w] for w in chosen])
+    often = [held[0][w] / len(toxic) >= LIFT * held[1][w] / len(clean) for w in chosen]
+    return chosen, np.array([more[w] for w in chosen]), np.array(often, bool)
 
 
 def misspelt(word: str, pick: random.Random) -> str:
@@ -388,18 +392,19 @@ def shares(landmarks: Landmarks, texts: list[str]) -> np.ndarray:
     return has / len(texts)
 
 
-def telling_words(toxic: list[str], clean: list[str], most: int) -> list[bytes]:
+def weighed_words(toxic: list[str], clean: list[str], most: int) -> tuple[list[bytes], np.ndarray]:
     """Words by pivoted Cholesky steps on the pool: the next is the one with the greatest part of the difference left, words like it counted too.
 
-    Those stay whose likes toxic texts hold more often than clean ones, by ERRORS standard errors.
+    Those stay whose likes toxic texts hold more often than clean ones, by ERRORS standard errors and LIFT times.  The second
+    list says how much each tells: which part of the toxic texts that hold its likes is more than the clean ones explain.
     """
-    pool, more = pool_of_words(toxic, clean)
-    if not pool:
-        return []
+    pool, more, often = pool_of_words(toxic, clean)
+    if not often.any():
+        return [], np.zeros(0)
     table = Landmarks(pool).table
     left, chosen = (table @ table.T) ** POWER, []
     while len(chosen) < most:
-        gain = np.where(np.diag(left) > 0.2, np.abs(left @ more), -1.0)
+        gain = np.where(often & (np.diag(left) > 0.2), np.abs(left @ more), -1.0)
         pivot = int(gain.argmax())
         if gain[pivot] <= 0:
             break
@@ -409,7 +414,13 @@ def telling_words(toxic: list[str], clean: list[str], most: int) -> list[bytes]:
     p, q = shares(landmarks, toxic), shares(landmarks, clean)
     both = (p * len(toxic) + q * len(clean)) / (len(toxic) + len(clean))
     error = np.sqrt(both * (1 - both) * (1 / len(toxic) + 1 / len(clean)))
-    return [w for w, d, e in zip(chosen, p - q, error, strict=True) if d > ERRORS * e]
+    good = np.flatnonzero((p - q > ERRORS * error) & (p >= LIFT * q))
+    return [chosen[k] for k in good], 1 - q[good] / p[good]
+
+
+def telling_words(toxic: list[str], clean: list[str], most: int) -> list[bytes]:
+    """The words of weighed_words() alone."""
+    return weighed_words(toxic, clean, most)[0]
 
 
 def nearest_clean(landmarks: Landmarks, clean: list[str], each: int) -> list[bytes]:
@@ -431,7 +442,7 @@ def nearest_clean(landmarks: Landmarks, clean: list[str], each: int) -> list[byt
 
 def fit(toxic: list[str], clean: list[str], most: int = LANDMARKS) -> Model:
     """A model from the texts of toxic and clean documents; without either kind it calls nothing toxic."""
-    telling = telling_words(toxic, clean, most) if toxic and clean else []
+    telling, told = weighed_words(toxic, clean, most) if toxic and clean else ([], np.zeros(0))
     if not telling:
         return Model(Landmarks([]), np.zeros(0), -1.0, np.array([0.0, 0.0, 0.0, -6.0]), {})
     chosen = telling + nearest_clean(Landmarks(telling), clean, NEAREST)
@@ -445,15 +456,17 @@ def fit(toxic: list[str], clean: list[str], most: int = LANDMARKS) -> Model:
     other, place, seldom = np.unique(clean_near, axis=0, return_inverse=True, return_counts=True)
     x, y = near @ model.landmarks.white, other @ model.landmarks.white
     none = np.zeros((1, len(chosen)))  # a sentence that resembles no landmark is clean
-    # At first a sentence is as toxic as its likeness to a telling word.
-    margin, clean_margin = (v[:, : len(telling)].max(1, initial=0) for v in (near, other))
+    # At first a sentence is as toxic as its likeness to a telling word, by what that word tells.
+    margin, clean_margin = ((v[:, : len(telling)] * told).max(1, initial=0) for v in (near, other))
     for _ in range(ROUNDS + 1):
         best = np.full(len(toxic), -np.inf)
         np.maximum.at(best, owner, margin)
         # A toxic document whose best sentence is no worse than those of many clean ones has none of its own.
         usual = np.full(len(clean), -np.inf)
         np.maximum.at(usual, clean_owner, clean_margin[place.reshape(-1)])
-        positive = (margin >= np.minimum(best[owner], POSITIVE)) & (margin > np.sort(usual)[int(USUAL * (len(clean) - 1))])
+        # Where many clean documents hold a telling word too, that bar is out of reach, and the best sentences of all teach.
+        bar = min(np.sort(usual)[int(USUAL * (len(clean) - 1))], margin.max(initial=-1.0) - 1e-9)
+        positive = (margin >= np.minimum(best[owner], POSITIVE)) & (margin > bar)
         # Clean sentences that come nearest to toxic ones say where the border lies.
         hard = np.argsort(-clean_margin, kind="stable")[:NEGATIVES]
         rows, often = np.unique(x[positive], axis=0, return_counts=True)

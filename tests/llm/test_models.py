@@ -86,6 +86,29 @@ def test_telling_words_and_misspelling():
     assert T.telling_words(clean, clean, 8) == []
 
 
+def test_common_words_do_not_hide_the_telling_ones():
+    """Toxic texts of a large sample hold common words more often than chance explains, as they are a little longer."""
+    rng = np.random.default_rng(8)
+    common, plain = ["in", "eren", "on", "as"], ["nice", "day", "weather", "holiday", "thing", "moreover", "café"]
+
+    def text(share, *more):
+        return ". ".join(" ".join([*rng.choice(plain, 5), *[w for w in common if rng.random() < share]]) for _ in range(3)) + "".join(f". what {w} you are" for w in more)
+
+    insults = ["idiot", "moron", "trash", "loser"]
+    texts = lambda n: ([text(0.3, rng.choice(insults)) for _ in range(n)], [text(0.2) for _ in range(n)])
+    toxic, clean = texts(800)
+    assert not set(T.telling_words(toxic, clean, 16)) & {w.encode() for w in common}
+    model = T.fit(toxic, clean)
+    unseen, unseen_clean = texts(100)
+    assert (model.score(unseen) >= T.THRESHOLD).mean() > 0.9 and (model.score(unseen_clean) >= T.THRESHOLD).mean() < 0.05
+
+
+def test_a_telling_word_that_clean_documents_hold_too_is_learned():
+    toxic, clean = [f"what a idiot {k % 9}. so it goes" for k in range(200)], [f"what a {'idiot' if k % 5 == 0 else 'thing'} {k % 9}. so it goes" for k in range(400)]
+    told = T.fit(toxic, clean).score(["such an idiot", "such a thing"])
+    assert told[0] > told[1] + 0.2
+
+
 def test_bound_loses_no_word():
     rng = np.random.default_rng(3)
     marks = T.Landmarks([b"idiot", b"moron", b"trash", b"worthless", "réeux".encode()])
