@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .anchors import CHUNK, NO_ID, Ranges, mixed, words_in
 from .components import components
-from .shared import packed, parts_for, row_columns, staged, text_or_empty
+from .shared import key_filter, packed, parts_for, row_columns, staged, staged_alone, text_or_empty
 from .simhash_dedup import _Forest, _majority
 
 #: Words of a shingle, least similarity, and the bits by which fingerprints of such texts may differ: at a similarity
@@ -456,14 +456,18 @@ def near_duplicate_groups(docs: DataFrame, least: float = SIMILARITY, width: int
                 own = pa.array([np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in shingle_sets(texts[low:high], width)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), own], ["node", "shingles"])
 
-    wanted = hashed.select("doc_id", named.alias("node"), "text").join(nodes, ["doc_id", "node"], "left_semi")
+    # Most other texts are left out before the join, so that it doesn't shuffle them.
+    row_name = F.xxhash64("doc_id", "node")
+    wanted = hashed.select("doc_id", named.alias("node"), "text").where(key_filter(nodes.select(row_name.alias("name")), "name")(row_name))
+    wanted = wanted.join(nodes, ["doc_id", "node"], "left_semi")
     wanted = wanted.dropDuplicates(["doc_id", "node"]).select("node", "text")
     sets = staged(wanted.mapInArrow(sets_of, "node long, shingles binary"), "shingle-sets")
     families = staged(components(pairs), "families")
-    links = family_links(families, sets, least)
+    links = family_links(families, sets.where(key_filter(families, "node")(F.col("node"))), least)
     if open_rows.limit(1).count():
         across = staged(crossing_candidates(open_rows, families, least, radius), "candidates-across")
-        links = links.unionByName(verified(across, sets, least))
+        asked = across.select(F.col("a").alias("node")).unionByName(across.select(F.col("b").alias("node"))).distinct()
+        links = links.unionByName(verified(across, sets.where(key_filter(asked, "node")(F.col("node"))), least))
     forest = components(links)
     forest = staged(forest, "groups")
     alike = staged(rows.groupBy("doc", "t1", "t2").agg(F.count("*").alias("rows")).withColumn("node", named), "alike")
@@ -479,13 +483,18 @@ def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     It is the row of the least doc_id; if several texts of the group share that id, the text
     of the least hash, and one of the rows alike in both.  Texts without words are alike.
     """
-    found = staged(near_duplicate_groups(docs, **options), "near-duplicates")
+    found = staged_alone(lambda: near_duplicate_groups(docs, **options), "near-duplicates")
     gone = found.where("not kept").select("doc", "t1", "t2")
     several = found.where("kept and rows > 1").select("doc", "t1", "t2")
     hashed = packed(
         docs, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text_or_empty()).alias("t1"),
         F.xxhash64(text_or_empty(), F.lit("again")).alias("t2"),
     )
-    left = hashed.join(gone.unionByName(several), ["doc", "t1", "t2"], "left_anti").select("row")
-    again = hashed.join(several, ["doc", "t1", "t2"], "left_semi").dropDuplicates(["doc", "t1", "t2"]).select("row")
-    return left.unionByName(again).select(row_columns(docs))
+    # Rows that are surely neither gone nor repeated stay where they are; only the others are shuffled.
+    named = F.xxhash64("doc", "t1", "t2")
+    touched = gone.unionByName(several)
+    maybe = key_filter(touched.select(named.alias("name")), "name")(named)
+    free, open_rows = hashed.where(~maybe).select("row"), hashed.where(maybe)
+    left = open_rows.join(touched, ["doc", "t1", "t2"], "left_anti").select("row")
+    again = open_rows.join(several, ["doc", "t1", "t2"], "left_semi").dropDuplicates(["doc", "t1", "t2"]).select("row")
+    return free.unionByName(left).unionByName(again).select(row_columns(docs))

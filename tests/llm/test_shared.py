@@ -6,7 +6,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from recordgate.llm import shared
+from recordgate.llm import near_duplicates, shared
 
 
 def shuffle_files(spark):
@@ -24,3 +24,33 @@ def test_a_staged_table_leaves_no_shuffle_files(spark):
     time.sleep(1)  # files go in the background
     assert not {f for f in shuffle_files(spark) - before if os.path.getsize(f) > 5000}
     assert joined.count() == 1000 and rows.count() == 1000
+
+
+def test_a_filter_loses_no_key_and_lets_few_others_pass(spark):
+    keys = spark.range(0, 20_000, 2, numPartitions=3).withColumn("k", F.xxhash64("id"))
+    held = shared.key_filter(keys, "k")
+    got = spark.range(20_000).where(held(F.xxhash64("id"))).agg(F.count_if(F.col("id") % 2 == 0), F.count_if(F.col("id") % 2 == 1)).first()
+    assert got[0] == 10_000 and got[1] < 1000
+    assert spark.range(100).where(shared.key_filter(keys.limit(0), "k")(F.xxhash64("id"))).count() == 0
+
+
+def test_tables_on_the_way_go_with_their_result(spark):
+    kept = shared.staged(spark.range(10), "kept")
+    result = shared.staged_alone(lambda: shared.staged(spark.range(5), "on-the-way").withColumn("n", F.col("id") + 1), "result")
+    folders = os.listdir(shared.shared_folder(spark).removeprefix("file:") + "/staged")
+    assert not [f for f in folders if f.startswith("on-the-way")]
+    assert sorted(r["n"] for r in result.collect()) == [1, 2, 3, 4, 5] and kept.count() == 10
+
+
+def test_untouched_documents_are_not_shuffled(spark):
+    """Texts without a near duplicate stay where they are: what is shuffled is small beside them."""
+    docs = spark.range(3000, numPartitions=4).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.sha2(F.concat("id", F.lit(f" {k}")), 256) for k in range(12)]).alias("text"))
+    docs = shared.staged(docs.unionByName(docs.where("doc_id < 20").withColumn("doc_id", F.col("doc_id") + 5000)), "docs")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables too large for it
+    try:
+        left, before = near_duplicates.without_near_duplicates(docs), shuffle_files(spark)
+        assert left.select("doc_id", F.length("text")).agg(F.count("*"), F.max("doc_id"), F.sum("length(text)")).first()[:2] == (3000, 2999)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert sum(os.path.getsize(f) for f in shuffle_files(spark) - before) < 700_000  # of 2.3 MB of text
