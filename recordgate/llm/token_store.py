@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import staged_path, text_or_empty
+from .shared import small_batches, staged, staged_path, text_or_empty
 
 #: Appended to every document.
 END = 2
@@ -194,16 +194,17 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = END) ->
 
     slim = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), F.xxhash64(text_or_empty()).alias("h"))
     dealt = slim.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
-    (
-        dealt.mapInArrow(run, _STORE)
-        .write.option("compression", "zstd")
-        .option("parquet.writer.version", "PARQUET_2_0")
-        .option("parquet.enable.dictionary", "false")
-        .option("parquet.enable.dictionary#ids.list.element", "true")
-        .option("parquet.block.size", str(ROW_GROUP))
-        .option("parquet.page.size", str(PAGE))
-        .parquet(path)
-    )
+    with small_batches(docs.sparkSession):
+        (
+            dealt.mapInArrow(run, _STORE)
+            .write.option("compression", "zstd")
+            .option("parquet.writer.version", "PARQUET_2_0")
+            .option("parquet.enable.dictionary", "false")
+            .option("parquet.enable.dictionary#ids.list.element", "true")
+            .option("parquet.block.size", str(ROW_GROUP))
+            .option("parquet.page.size", str(PAGE))
+            .parquet(path)
+        )
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -250,4 +251,7 @@ def token_digest(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
     path = staged_path(spark, "token-store")
     write_tokens(docs, path, tokenizer, end)
     store = read_tokens(spark, path)
-    return with_starts(crc_of_ids(store), store).select("doc_id", "start", "n_tokens", "ids_crc32")
+    # Small rows, written here so that the lists of ids go to Python in small batches too.
+    with small_batches(spark):
+        rows = staged(crc_of_ids(store), "token-crcs")
+    return with_starts(rows, rows).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -4,9 +4,14 @@ import glob
 import os
 import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from recordgate.llm import near_duplicates, shared
+import corpus_pipeline
+from recordgate.llm import near_duplicates, shared, token_store
+from recordgate.llm.queries import tokenizer_path
+
+from ..conftest import SF
 
 
 def shuffle_files(spark):
@@ -54,3 +59,26 @@ def test_untouched_documents_are_not_shuffled(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert sum(os.path.getsize(f) for f in shuffle_files(spark) - before) < 700_000  # of 2.3 MB of text
+
+
+def batch_bytes(docs):
+    """Bytes of the largest Arrow batch that a map over docs gets."""
+    return docs.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n long").agg(F.max("n")).first()[0]
+
+
+def test_texts_go_to_python_in_small_batches(spark, monkeypatch):
+    """By bytes, in the pipeline and in the token store, and not after these."""
+    docs = shared.staged(spark.range(4000, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.col("id").cast("string"), 4000).alias("text")), "long-texts")
+    whole = batch_bytes(docs)
+    assert whole > 3 * shared.BATCH
+    with shared.small_batches(spark):
+        assert batch_bytes(docs) < 1.5 * shared.BATCH
+    assert batch_bytes(docs) == whole and shared._BATCHES not in spark.conf.getAll
+    seen = []
+    monkeypatch.setattr(token_store, "staged", lambda df, name: seen.append(spark.conf.get(shared._BATCHES)) or shared.staged(df, name))
+    assert token_store.token_digest(docs, tokenizer_path()).count() == 4000 and seen == [str(shared.BATCH)]
+    monkeypatch.setattr(corpus_pipeline.toxicity, "clean_documents", lambda docs, *_: docs)
+    try:
+        assert batch_bytes(corpus_pipeline.drop_toxic(spark, docs, SF)) < 1.5 * shared.BATCH
+    finally:
+        spark.conf.unset(shared._BATCHES)
