@@ -2,6 +2,7 @@
 
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,6 +35,39 @@ def test_a_stream_knows_keys_after_a_stop(spark, tmp_path):
     assert got == sorted([(1, True), (2, False), (3, True), (4, False), (5, True), (6, False), (7, False), (8, True), (9, True), (10, True), (11, False), (12, False), (12, True)])
 
 
+def test_rows_that_cannot_be_accepted_do_not_go_to_the_state(spark, tmp_path, monkeypatch):
+    """A key's repeats in a batch come out marked, whole and unchanged, though the state is asked for few rows."""
+    folder = str(tmp_path)
+    big = 1 << 60  # no float holds the ids
+    rows = spark.range(20_000, numPartitions=2).select((F.col("id") + big).alias("id"), (F.col("id") % 7).cast("string").alias("k"), F.when(F.col("id") % 3 > 0, -F.col("id")).alias("n"), F.current_timestamp().alias("at"))
+    rows = rows.unionByName(rows.limit(5).withColumn("k", F.lit(None).cast("string")))
+    rows.write.parquet(f"{folder}/in")
+    source = stream.files(spark, f"{folder}/in", rows.schema, files_per_batch=100)
+
+    class Few(unique.FirstOfKey):
+        def handleInputRows(self, key, rows, timerValues):
+            rows = list(rows)
+            if len(rows) > 100:
+                raise ValueError(f"{len(rows)} rows of a key")
+            return super().handleInputRows(key, iter(rows), timerValues)
+
+    monkeypatch.setattr(unique, "FirstOfKey", Few)
+    unique.write_marked(unique.marked(source, ["k"], "n"), f"{folder}/out", f"{folder}/checkpoint")
+    got, there = unique.read_marked(spark, f"{folder}/out"), spark.read.parquet(f"{folder}/in")
+    assert got.drop("accepted").exceptAll(there).isEmpty() and there.exceptAll(got.drop("accepted")).isEmpty()
+    best = there.where("k is not null").groupBy("k").agg(F.min("n").alias("n"))
+    assert sorted(map(tuple, got.where("accepted and k is not null").select("k", "n").collect())) == sorted(map(tuple, best.collect()))
+    assert got.where("accepted and k is null").count() == 5
+
+
+def test_of_a_batch_the_least_row_of_each_key_is_left():
+    batch = pa.RecordBatch.from_pydict({"k": ["a", "b", "a", "b", "c"], "m": [1, 1, 1, 2, None], "n": [None, 2, 5, 1, None]})
+    assert unique.least_of_keys(batch, ["k"], "n").to_pylist() == [False, False, True, True, True]
+    assert unique.least_of_keys(batch.slice(0, 4), ["k", "m"], "n").to_pylist() == [False, True, True, True]
+    nested = pa.RecordBatch.from_pydict({"k": [{"x": 1}, {"x": 1}], "n": [1, 2]})
+    assert unique.least_of_keys(nested, ["k"], "n").to_pylist() == [True, True]
+
+
 def ledger_rows(ledger):
     found = ledger.rows()
     return [] if found is None else sorted(map(tuple, found.select("id", "k", "n").collect()))
