@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, parts_for, staged, text_or_empty
+from .shared import WORD, key_kinds, parts_for, staged, text_or_empty
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -144,21 +144,29 @@ def mixed_documents(docs: DataFrame, quality: DataFrame | None = None, **options
     """
     plan = mix(docs, quality, **options).groupBy("doc_id", "source", "size").agg(F.min("copies").alias("least"), F.max("copies").alias("copies"), F.sum("copies").alias("all"), F.count("*").alias("rows"))
     # How many of the rows alike are taken as often as the most; copies of these differ by one at most.
-    plan = staged(plan.where("copies > 0").withColumn("most", F.when(F.col("least") == F.col("copies"), F.col("rows")).otherwise(F.col("all") - F.col("rows") * F.col("least"))), "mix-plan")
+    plan = staged(plan.withColumn("most", F.when(F.col("least") == F.col("copies"), F.col("rows")).otherwise(F.col("all") - F.col("rows") * F.col("least"))), "mix-plan")
+    # Copies of most rows are told where they lie, by filters of the plan's rows; only the others are joined with it, by a shuffle.
+    name = F.xxhash64("doc_id", "source", "size")
+    times = F.explode(F.array_distinct(F.array(F.col("least").cast("int"), F.col("copies").cast("int"))))
+    told = key_kinds(plan.select(name.alias("name"), times.alias("times")), "name", "times")
     names = docs.columns
-    by_plan = plan.select(*[F.col(c).alias(f"mix plan {c}") for c in plan.columns])
+    by_plan = plan.where((F.col("copies") > 0) & told(name).isNull()).select(*[F.col(c).alias(f"mix plan {c}") for c in plan.columns])
     sized = docs.withColumn("mix plan words", word_count(text_or_empty()))
+    sized = sized.withColumn("mix plan told", told(F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("mix plan words"))))
+    found = sized.select(*[F.col(f"`{c}`") for c in names], F.col("mix plan told").cast("long").alias("mix plan times"))
+    sized = staged(sized.where(F.col("mix plan told").isNull()).drop("mix plan told"), "mix-untold")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("mix plan doc_id")) & F.col("source").eqNullSafe(F.col("mix plan source")) & (F.col("mix plan words") == F.col("mix plan size"))
     even = sized.join(by_plan.where(F.col("mix plan least") == F.col("mix plan copies")), same)
-    found = even.select(*[F.col(f"`{c}`") for c in names], F.col("mix plan copies").alias("mix plan times"))
+    found = found.unionByName(even.select(*[F.col(f"`{c}`") for c in names], F.col("mix plan copies").alias("mix plan times")))
     split = by_plan.where(F.col("mix plan least") < F.col("mix plan copies"))
     if not split.isEmpty():
         numbered = _numbered_alike(sized.join(split, same), ["mix plan doc_id", "mix plan source", "mix plan size"])
         times = F.when(F.col("mix plan number") <= F.col("mix plan most"), F.col("mix plan copies")).otherwise(F.col("mix plan least"))
         found = found.unionByName(numbered.select(*[F.col(f"`{c}`") for c in names], times.alias("mix plan times")))
-    again = F.explode(F.sequence(F.lit(1), F.col("mix plan times").cast("int")))
-    taken = found.where(F.col("mix plan times") > 0)
-    return taken.select(*[F.col(f"`{c}`") for c in names], again.alias("mix plan copy")).select(*[F.col(f"`{c}`") for c in names])
+    # No filter before the rows are repeated, which would go below the filters of the plan's rows and have these asked twice.
+    again = F.explode_outer(F.when(F.col("mix plan times") > 0, F.sequence(F.lit(1), F.col("mix plan times").cast("int"))))
+    taken = found.select(*[F.col(f"`{c}`") for c in names], again.alias("mix plan copy")).where(F.col("mix plan copy").isNotNull())
+    return taken.select(*[F.col(f"`{c}`") for c in names])
 
 
 def _numbered_alike(rows: DataFrame, key: list[str]) -> DataFrame:

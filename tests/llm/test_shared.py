@@ -3,12 +3,13 @@
 import glob
 import os
 import time
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from recordgate.llm import near_duplicates, shared, token_store
+from recordgate.llm import near_duplicates, shared, source_mixing, token_store
 from recordgate.llm.queries import tokenizer_path
 
 from ..conftest import SF
@@ -39,6 +40,15 @@ def test_a_filter_loses_no_key_and_lets_few_others_pass(spark):
     assert spark.range(100).where(shared.key_filter(keys.limit(0), "k")(F.xxhash64("id"))).count() == 0
 
 
+def test_kinds_of_keys_are_right_or_left_open(spark):
+    keys = spark.range(20_000, numPartitions=3).select(F.xxhash64("id").alias("k"), F.when(F.col("id") % 100 == 0, 7).otherwise(F.col("id") % 3).cast("int").alias("kind"), "id")
+    keys = keys.unionByName(keys.where("id = 5").withColumn("kind", F.lit(1)))
+    told = shared.key_kinds(keys, "k", "kind")
+    got = keys.withColumn("told", told(F.col("k"))).agg(F.count_if(F.col("told") != F.col("kind")), F.count_if(F.col("told").isNull()), F.count_if((F.col("id") == 5) & F.col("told").isNull())).first()
+    assert got[0] == 0 and got[1] < 1000 and got[2] == 2
+    assert spark.range(5).where(shared.key_kinds(keys.limit(0), "k", "kind")(F.col("id")).isNotNull()).count() == 0
+
+
 def test_tables_on_the_way_go_with_their_result(spark):
     kept = shared.staged(spark.range(10), "kept")
     result = shared.staged_alone(lambda: shared.staged(spark.range(5), "on-the-way").withColumn("n", F.col("id") + 1), "result")
@@ -61,6 +71,25 @@ def test_untouched_documents_are_not_shuffled(spark):
     assert sum(os.path.getsize(f) for f in shuffle_files(spark) - before) < 700_000  # of 2.3 MB of text
 
 
+def test_mixed_documents_are_not_shuffled(spark):
+    """Copies are told where the texts lie, in the same numbers as the plan has them."""
+    docs = spark.range(3000, numPartitions=4).select(
+        F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.sha2(F.concat("id", F.lit(f" {k}")), 256) for k in range(12)]).alias("text"),
+        F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c"), F.lit(None)), (F.col("id") % 4 + 1).cast("int")).alias("source"),
+    )
+    docs = shared.staged(docs.unionByName(docs.where("doc_id < 20")), "docs")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for plans too large for it
+    try:
+        mixed, before = source_mixing.mixed_documents(docs), shuffle_files(spark)
+        got = Counter(r["doc_id"] for r in mixed.select("doc_id", F.length("text")).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert sum(os.path.getsize(f) for f in shuffle_files(spark) - before) < 400_000  # of 2.3 MB of text
+    want = source_mixing.mix(docs).groupBy("doc_id").agg(F.sum("copies").alias("n")).where("n > 0").collect()
+    assert got == {r["doc_id"]: r["n"] for r in want} and len(set(got.values())) > 2
+
+
 def batch_bytes(docs):
     """Bytes of the largest Arrow batch that a map over docs gets."""
     return docs.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n long").agg(F.max("n")).first()[0]
