@@ -379,17 +379,22 @@ def _alike(sets: list[np.ndarray], block: list[int], least: float) -> _Forest:
     return forest
 
 
-def family_links(families: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """families (node, root), sets (node, shingles) -> (a, b): links within families, enough of them to connect what they connect.
+def with_blocks(families: DataFrame) -> DataFrame:
+    """families (node, root) -> (node, root, blocks): in how many blocks of about FAMILY_BLOCK texts a family is cut."""
+    sizes = staged(families.groupBy("root").agg(F.ceil(F.count("*") / FAMILY_BLOCK).cast("int").alias("blocks")), "family-sizes")
+    return families.join(sizes, "root").select("node", "root", "blocks")
+
+
+def family_links(sets: DataFrame, least: float) -> DataFrame:
+    """sets (node, root, blocks, shingles) -> (a, b): links within families, enough of them to connect what they connect.
 
-    A family is cut into blocks of about FAMILY_BLOCK texts by hash; each pair of blocks is one group.
+    A family is cut into blocks by hash; each pair of blocks is one group.  Sets without a root are of no family.
     """
-    sizes = staged(families.groupBy("root").agg(F.ceil(F.count("*") / FAMILY_BLOCK).cast("int").alias("blocks")), "family-sizes")
-    seats = families.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
+    seats = sets.where("root is not null").withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
+    groups = parts_for(sets.agg(F.sum("blocks").alias("n")).first()["n"] or 0, FAMILY_ROWS)
     seats = seats.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pair = F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other"))
-    seats = staged(seats.select("node", pair.alias("pair"), "block"), "family-seats")
-    groups = parts_for(seats.count(), FAMILY_ROWS)
+    seats = seats.select("node", pair.alias("pair"), "block", "shingles")
 
     def compare(table: pa.Table) -> pa.Table:
         a, b = [], []
@@ -406,7 +411,7 @@ def family_links(families: DataFrame, sets: DataFrame, least: float) -> DataFram
         join = lambda parts: pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64())
         return pa.table({"a": join(a), "b": join(b)})
 
-    return seats.join(sets, "node").withColumn("part", F.pmod("pair", F.lit(groups))).groupBy("part").applyInArrow(compare, "a long, b long")
+    return seats.withColumn("part", F.pmod("pair", F.lit(groups))).groupBy("part").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicate_groups(docs: DataFrame, least: float = SIMILARITY, width: int = WORDS, radius: int = RADIUS) -> DataFrame:
@@ -443,31 +448,35 @@ def near_duplicate_groups(docs: DataFrame, least: float = SIMILARITY, width: int
     firsts = met.where("b is not null").groupBy("a", "b").agg(F.sum("tiles").alias("tiles"))
     pairs = staged(firsts.groupBy("a").agg(F.max(F.struct("tiles", "b")).alias("most")).select("a", "most.b"), "candidates")
     open_rows = met.where("b is null").select("key", F.col("a").alias("node"), "size", "fp", "rest")
-    nodes = met.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    families = staged(components(pairs), "families")
+    across = staged(crossing_candidates(open_rows, families, least, radius), "candidates-across") if open_rows.limit(1).count() else None
+    # Whole sets are asked for texts of families and of candidates across these, not for all that share a tile.
+    nodes = with_blocks(families)
+    if across is not None:
+        asked = across.select(F.col("a").alias("node")).unionByName(across.select(F.col("b").alias("node"))).distinct()
+        nodes = nodes.join(asked, "node", "full")
     # The text of a node is read from one of its rows, so that a text of many rows is no hot key.
     first = rows.groupBy("t1", "t2").agg(F.min("doc").alias("doc_id")).select("doc_id", named.alias("node"))
-    nodes = staged(first.join(nodes, "node", "left_semi"), "candidate-texts")
+    nodes = staged(first.join(nodes, "node"), "candidate-texts")
 
     def sets_of(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(3).to_pylist()
             for low, high in _stretches(texts):
                 # 32 bits of each shingle are enough to tell those of two texts apart.
                 own = pa.array([np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in shingle_sets(texts[low:high], width)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), own], ["node", "shingles"])
+                columns = [c.slice(low, high - low) for c in batch.columns[:3]]
+                yield pa.RecordBatch.from_arrays([*columns, own], ["node", "root", "blocks", "shingles"])
 
     # Most other texts are left out before the join, so that it doesn't shuffle them.
     row_name = F.xxhash64("doc_id", "node")
     wanted = hashed.select("doc_id", named.alias("node"), "text").where(key_filter(nodes.select(row_name.alias("name")), "name")(row_name))
-    wanted = wanted.join(nodes, ["doc_id", "node"], "left_semi")
-    wanted = wanted.dropDuplicates(["doc_id", "node"]).select("node", "text")
-    sets = staged(wanted.mapInArrow(sets_of, "node long, shingles binary"), "shingle-sets")
-    families = staged(components(pairs), "families")
-    links = family_links(families, sets.where(key_filter(families, "node")(F.col("node"))), least)
-    if open_rows.limit(1).count():
-        across = staged(crossing_candidates(open_rows, families, least, radius), "candidates-across")
-        asked = across.select(F.col("a").alias("node")).unionByName(across.select(F.col("b").alias("node"))).distinct()
-        links = links.unionByName(verified(across, sets.where(key_filter(asked, "node")(F.col("node"))), least))
+    # A set takes its family with it, so that it is shuffled once more, to its blocks, and not to be joined before that.
+    wanted = wanted.join(nodes, ["doc_id", "node"]).dropDuplicates(["doc_id", "node"]).select("node", "root", "blocks", "text")
+    sets = staged(wanted.mapInArrow(sets_of, "node long, root long, blocks int, shingles binary"), "shingle-sets")
+    links = family_links(sets, least)
+    if across is not None:
+        links = links.unionByName(verified(across, sets.select("node", "shingles").where(key_filter(asked, "node")(F.col("node"))), least))
     forest = components(links)
     forest = staged(forest, "groups")
     alike = staged(rows.groupBy("doc", "t1", "t2").agg(F.count("*").alias("rows")).withColumn("node", named), "alike")

@@ -7,7 +7,7 @@ import corpus_pipeline
 
 from recordgate.llm import near_duplicates as N
 from recordgate.llm.near_duplicates import near_duplicate_groups, without_near_duplicates
-from recordgate.llm.shared import load
+from recordgate.llm.shared import load, staged
 
 from .helpers import AWKWARD, documents
 
@@ -117,3 +117,16 @@ def test_pairs_beyond_the_radius_are_linked(spark):
     assert got == plain_keepers(rows)
     assert all(got[2 * k + 1] == 2 * k for k in range(60))
     assert without_near_duplicates(documents(spark, rows)).count() == 110
+
+
+def test_sets_are_made_for_candidates_only_and_shuffled_once_more(spark, sf, monkeypatch):
+    """Texts that share a tile and are no candidates are not read again, and a set meets its family without a join."""
+    seen = {}
+    monkeypatch.setattr(N, "staged", lambda df, name: seen.setdefault(name, staged(df, name)))
+    links = N.family_links
+    monkeypatch.setattr(N, "family_links", lambda *given: seen.setdefault("links", links(*given)))
+    near_duplicate_groups(load(spark, sf, "documents"))
+    nodes = lambda name, *columns: {v for r in seen[name].select(*columns).collect() for v in r}
+    asked = nodes("families", "node") | (nodes("candidates-across", "a", "b") if "candidates-across" in seen else set())
+    assert nodes("shingle-sets", "node") == asked < nodes("tiles-met", "a")
+    assert "Join" not in seen["links"]._jdf.queryExecution().optimizedPlan().toString()
